@@ -5,6 +5,7 @@ from .text import (  # noqa: F401
     na_to_null,
     ngrams_1_2,
     normalise_label,
+    run_starts,
     strip,
     term_frequencies,
     terms,

@@ -58,25 +58,32 @@ def terms(text) -> Column:
     return ngrams_1_2(word_tokens(text))
 
 
-def term_frequencies(sorted_terms) -> Column:
-    """Run-length counts of an already sorted term array, inside the row.
-
-    Returns ``array<struct<term: string, tf: int>>`` in term order. Counting
-    within the row means term frequencies need no shuffle; the caller sorts
-    once (``array_sort``) in a separate projection so the sort is not
-    repeated inside the lambdas.
-    """
+def run_starts(sorted_terms) -> Column:
+    """0-based positions where a new term starts in a sorted term array."""
     s = _c(sorted_terms)
     n = F.size(s)
     starts = F.filter(
         F.sequence(F.lit(0), n - 1),
         lambda i: (i == 0) | (s[i] != F.get(s, i - 1)),
     )
-    starts = F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
+def term_frequencies(sorted_terms, starts) -> Column:
+    """Run-length counts of a sorted term array, inside the row.
+
+    ``sorted_terms`` (``array_sort`` of the terms) and ``starts``
+    (``run_starts`` of it) must be columns computed in earlier projections,
+    so neither is re-evaluated inside the lambda. Returns
+    ``array<struct<term: string, tf: int>>`` in term order; counting within
+    the row means term frequencies need no shuffle. O(n log n) per row.
+    """
+    s, st = _c(sorted_terms), _c(starts)
+    n = F.size(s)
     return F.transform(
-        starts,
+        st,
         lambda b, j: F.struct(
             s[b].alias("term"),
-            (F.coalesce(F.get(starts, j + 1), n) - b).alias("tf"),
+            (F.coalesce(F.get(st, j + 1), n) - b).alias("tf"),
         ),
     )

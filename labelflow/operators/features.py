@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MAX_FEATURES, MAX_LENGTH, PAD_ID, UNK_ID, WORD_PATTERN
-from ..functions.text import term_frequencies, terms, word_tokens
+from ..functions.text import ngrams_1_2, run_starts, term_frequencies, word_tokens
 
 
 def tokens(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
@@ -33,14 +33,21 @@ def tokens(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFr
 
 
 def with_terms(df: DataFrame, text_col: str = "text", out: str = "terms") -> DataFrame:
-    """unigrams then bigrams."""
-    return df.withColumn(out, terms(F.col(text_col)))
+    """unigrams then bigrams.
+
+    Tokens are projected first: the bigram lambda then indexes a column
+    instead of re-running the regex per element (Catalyst does not collapse
+    a costly expression that is used more than once)."""
+    t = df.withColumn("_t", word_tokens(F.col(text_col)))
+    return t.withColumn(out, ngrams_1_2(F.col("_t"))).drop("_t")
 
 
 def term_counts(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """F8: ``(id, term, tf)`` -- counted inside each row, no shuffle."""
-    s = df.select(id_col, F.array_sort(terms(F.col(text_col))).alias("_s"))
-    return s.select(id_col, F.inline(term_frequencies(F.col("_s"))))
+    t = df.select(id_col, word_tokens(F.col(text_col)).alias("_t"))
+    s = t.select(id_col, F.sort_array(ngrams_1_2(F.col("_t"))).alias("_s"))
+    s = s.select(id_col, "_s", run_starts(F.col("_s")).alias("_st"))
+    return s.select(id_col, F.inline(term_frequencies(F.col("_s"), F.col("_st"))))
 
 
 def vocabulary_topk(counts: DataFrame, k: int = MAX_FEATURES) -> DataFrame:
