@@ -49,6 +49,7 @@ MAX_FEATURES = 5000
 MAX_LENGTH = 128
 MAX_ITER = 1000
 INVERSE_REG = 1.0  # C of the L2-penalised logistic regression
+TOL = 1e-4  # stopping tolerance of the classifier's optimiser
 DIGITS = 4
 
 # --- Fixed values: presentation headers.

@@ -21,7 +21,7 @@ from pyspark.ml.feature import IndexToString
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER
+from ..constants import INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER, TOL
 from .features import TfidfFit, fit_tfidf, tfidf_stages
 
 
@@ -33,7 +33,7 @@ def fit_classifier(
     max_features: int = MAX_FEATURES,
     max_iter: int = MAX_ITER,
     inverse_reg: float = INVERSE_REG,
-    tol: float = 1e-6,
+    tol: float = TOL,
     tfidf: TfidfFit | None = None,
 ) -> PipelineModel:
     """M3 + M5: fit TF-IDF (unless a fitted ``tfidf`` is given) and the

@@ -97,7 +97,7 @@ def score_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_classifier(_part(s, "train"))
     docs = table(spark, sf_dir, "documents")
     out = score_stream(
-        spark, model, f"{sf_dir}/documents.parquet", docs.schema,
+        spark, model, sf_dir, docs.schema, path_glob="documents.parquet",
         sink=scratch_path(spark, "stream-sink"), checkpoint=scratch_path(spark, "stream-ckpt"),
     )
     return out.select(F.col("doc_id").alias("row_id"), "predicted_label", "status")

@@ -29,9 +29,13 @@ def score_stream(
     labels: Sequence[str] = LABELS,
     text_col: str = "text",
     max_files_per_trigger: int | None = None,
+    path_glob: str | None = None,
 ) -> DataFrame:
-    """Score every file under ``source`` into ``sink``; return the sink table."""
+    """Score every file under the folder ``source`` (optionally only names
+    matching ``path_glob``) into ``sink``; return the sink table."""
     reader = spark.readStream.schema(schema)
+    if path_glob:
+        reader = reader.option("pathGlobFilter", path_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
