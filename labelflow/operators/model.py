@@ -13,6 +13,7 @@ strength C and unpenalised intercept: Spark minimises
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -21,7 +22,7 @@ from pyspark.ml.feature import IndexToString
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER, TOL
+from ..constants import FIT_ROWS_PER_PARTITION, INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER, TOL
 from .features import TfidfFit, fit_tfidf, tfidf_stages
 
 
@@ -42,7 +43,14 @@ def fit_classifier(
     stages = tfidf_stages(fit, text_col=text_col)
     feats = PipelineModel(stages).transform(
         train.where(F.col(label_id_col).isNotNull()).withColumn("_y", F.col(label_id_col).cast("double"))
-    )
+    ).select("features", "_y")
+    # Every optimiser iteration is one job over the cached training blocks:
+    # size its partitions by rows (known from the TF-IDF fit) so a small
+    # training set does not pay per-task overhead hundreds of times, while a
+    # large one keeps all its parallelism (target >= current -> no change).
+    target = max(1, math.ceil(fit.n_docs / FIT_ROWS_PER_PARTITION))
+    if feats.rdd.getNumPartitions() > target:
+        feats = feats.repartition(target)
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="_y",

@@ -14,14 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
+from ..session import spread
 
 RULE_MODELS = ("m_len", "m_mod", "m_const")
 NBSP = "\u00a0"
 IDEOGRAPHIC_SPACE = "\u3000"
 
 
+TEXT_TABLES = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; text tables are spread over all cores when they scan as
+    fewer partitions (see ``session.spread``)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def truth_label(toxic, quality):

@@ -55,9 +55,26 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Used where one derived table feeds several passes (split counts, fits):
     a lost executor then recomputes from the checkpoint, not from the scans.
+    A table with fewer partitions than the cluster has cores (a small
+    input) is spread first, so the CPU-heavy per-row work downstream
+    (tokenising) uses every core; a large table keeps its partitioning.
     """
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return spread(df).checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table with fewer partitions than the cluster has cores.
+
+    A small file with one row group scans as one partition, which would put
+    all the per-row text work of that table into one task. Tables with at
+    least one partition per core (every large input) are returned as they
+    are, so at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def set_local_checkpoint_dir_if_unset(spark: SparkSession, path: str) -> None:
