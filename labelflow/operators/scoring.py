@@ -61,3 +61,20 @@ def blank_guard(df: DataFrame, label_expr, text_col: str = "text") -> DataFrame:
     blank = is_blank(F.col(text_col))
     return df.withColumn("predicted_label", F.when(blank, F.lit(None).cast("string")).otherwise(label_expr)) \
         .withColumn("status", F.when(blank, F.lit("empty_input")).otherwise(F.lit("ok")))
+
+
+def map_batches(df: DataFrame, make_fn, schema) -> DataFrame:
+    """Run a caller's own batch function (or model) over Arrow batches.
+
+    ``make_fn()`` is called once per task -- load a model there -- and the
+    function it returns maps a pandas DataFrame to a pandas DataFrame of
+    ``schema``. Spark partitions the work; for built-in logic prefer column
+    expressions (this is the slow path, kept for callers' own code).
+    """
+
+    def run(batches):
+        fn = make_fn()
+        for pdf in batches:
+            yield fn(pdf)
+
+    return df.mapInPandas(run, schema)
