@@ -81,14 +81,15 @@ def dirty_label(row_id, label):
     )
 
 
-def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_labelled(spark: SparkSession, sf_dir: str, with_n_chars: bool = False) -> DataFrame:
     """Raw fields as a CSV reader would deliver them (before NA tokens)."""
-    lab = labelled(spark, sf_dir)
+    lab = labelled(spark, sf_dir, with_n_chars=with_n_chars)
     return lab.select(
         "row_id",
         "language",
         dirty_text(F.col("row_id"), F.col("text")).alias("text"),
         dirty_label(F.col("row_id"), F.col("label")).alias("label"),
+        *(["n_chars"] if with_n_chars else []),
     )
 
 

@@ -97,8 +97,8 @@ def q_json_field(spark, d):
 
 
 # ---------------------------------------------------------------- distribution / split
-def _split70(spark, d):
-    return split.split_70_15_15(labelled(spark, d))
+def _split70(spark, d, with_n_chars: bool = False):
+    return split.split_70_15_15(labelled(spark, d, with_n_chars=with_n_chars))
 
 
 def q_class_distribution(spark, d):
@@ -201,8 +201,8 @@ def q_metrics_record(spark, d):
 
 
 def q_metrics_by_split(spark, d):
-    s = _split70(spark, d).select("row_id", "split")
-    preds = _preds(spark, d).join(s, "row_id")
+    # score the split table itself: each row carries its part, no join back
+    preds = rule_predictions(_split70(spark, d, with_n_chars=True))
     return evaluate.metrics_record(preds, keys=("model", "split"))
 
 
@@ -360,8 +360,7 @@ def q_prob_map(spark, d):
 
 
 def q_blank_guard(spark, d):
-    lab = labelled(spark, d, with_n_chars=True)
-    raw = raw_labelled(spark, d).join(lab.select("row_id", "n_chars"), "row_id")
+    raw = raw_labelled(spark, d, with_n_chars=True)
     return _blank_guard(raw, rule_label("m_len")).select("row_id", "predicted_label", "status")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root and sc.master.startswith("local"):
+        # a single-machine session (tests, local runs): a local folder is shared by all tasks
+        root = tempfile.mkdtemp(prefix="labelflow-ckpt-")
     if not root:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     if sc.getCheckpointDir() is None:
