@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DIGITS, LABELS, MAX_CLASSES, REPORT_ACCURACY, REPORT_MACRO, REPORT_WEIGHTED
 from ..functions.numeric import safe_div
+from ..session import materialize
 
 KEYS = ("model",)
 
@@ -49,9 +50,16 @@ def join_truth_prediction(truth: DataFrame, predictions: DataFrame, keys: Sequen
 
 
 def pair_counts(pred: DataFrame, keys: Sequence[str] = KEYS, label_col: str = "label",
-                pred_col: str = "predicted_label") -> DataFrame:
-    """Rows per (keys, label, predicted_label): the one pass over predictions."""
-    return pred.groupBy(*keys, label_col, pred_col).agg(F.count(F.lit(1)).alias("n"))
+                pred_col: str = "predicted_label", materialized: bool = True) -> DataFrame:
+    """Rows per (keys, label, predicted_label): the one pass over predictions.
+
+    The result has at most (#keys x K x K) rows. It is checkpointed by
+    default, because every metric below reads it several times (grid,
+    row sums, column sums, accuracy): without it each consumer would re-run
+    the predictions' whole lineage.
+    """
+    counts = pred.groupBy(*keys, label_col, pred_col).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counts, spread_input=False) if materialized else counts
 
 
 def observed_labels(counts: DataFrame, label_col: str = "label", pred_col: str = "predicted_label") -> list[str]:

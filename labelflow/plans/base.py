@@ -108,10 +108,8 @@ def rule_label(model: str):
 
 
 def rule_predictions(df: DataFrame, models=RULE_MODELS) -> DataFrame:
-    """Each rule model scored as a projection (all columns travel along)."""
+    """Every rule model scored as a projection of ONE scan: each row is
+    expanded (``inline``) into one row per model, all columns travel along."""
     keep = [c for c in df.columns if c != "n_chars"]
-    out = None
-    for m in models:
-        p = df.select(*keep, F.lit(m).alias("model"), rule_label(m).alias("predicted_label"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    scored = F.array(*[F.struct(F.lit(m).alias("model"), rule_label(m).alias("predicted_label")) for m in models])
+    return df.select(*keep, F.inline(scored))

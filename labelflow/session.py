@@ -54,7 +54,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/labelflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spread_input: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 
     Used where one derived table feeds several passes (split counts, fits):
@@ -64,7 +64,7 @@ def materialize(df: DataFrame) -> DataFrame:
     (tokenising) uses every core; a large table keeps its partitioning.
     """
     checkpoint_root(df.sparkSession)
-    return spread(df).checkpoint(eager=True)
+    return (spread(df) if spread_input else df).checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
