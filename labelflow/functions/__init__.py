@@ -8,7 +8,6 @@ from .text import (  # noqa: F401
     run_starts,
     strip,
     term_frequencies,
-    terms,
     word_bigrams,
     word_tokens,
 )

@@ -57,10 +57,6 @@ def ngrams_1_2(tokens) -> Column:
     return F.concat(tokens, word_bigrams(tokens))
 
 
-def terms(text) -> Column:
-    return ngrams_1_2(word_tokens(text))
-
-
 def run_starts(sorted_terms) -> Column:
     """0-based positions where a new term starts in a sorted term array."""
     s = _c(sorted_terms)

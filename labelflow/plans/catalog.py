@@ -266,12 +266,12 @@ def q_frame_confusion_cells(spark, d):
 def q_tokenize_words(spark, d):
     docs = table(spark, d, "documents")
     t = features.tokens(docs.select(F.col("doc_id").alias("row_id"), "text"))
-    return t.select("row_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return t.select("row_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def q_ngrams_1_2(spark, d):
     t = features.with_terms(labelled(spark, d))
-    return t.select("row_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+    return t.select("row_id", F.size("terms").cast("long").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
 
 
 def q_term_counts(spark, d):
