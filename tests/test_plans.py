@@ -62,3 +62,18 @@ def test_encode_aggregates_map_side(spark):
     lab = labelled(spark, SF01)
     p = plan(features.encode(lab, features.word_vocabulary(lab), 16))
     assert "partial_collect_list" in p and "BroadcastHashJoin" in p
+
+
+def test_bucketed_join_needs_no_exchange(spark, tmp_dir):
+    from labelflow.sources.bucketed import labelled_from_tables, write_bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge path
+    try:
+        write_bucketed(spark.read.parquet(f"{SF01}/documents.parquet"), "t_docs", "doc_id", 4, f"{tmp_dir}/d")
+        write_bucketed(spark.read.parquet(f"{SF01}/labels.parquet"), "t_labels", "doc_id", 4, f"{tmp_dir}/l")
+        lab = labelled_from_tables(spark, "t_docs", "t_labels")
+        p = plan(lab)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert lab.count() == labelled(spark, SF01).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
