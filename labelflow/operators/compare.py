@@ -32,7 +32,12 @@ def best_model(metrics: DataFrame, order: Sequence[str] | None = None, digits: i
                metric: str = "f1_weighted") -> DataFrame:
     """The model with the highest (rounded) metric; the first listed wins a
     tie; null and NaN are skipped. One global aggregate (``max_by``), no sort."""
-    df = metrics if "ordinal" in metrics.columns else with_ordinal(metrics, order or [])
+    if "ordinal" in metrics.columns:
+        df = metrics
+    elif order:
+        df = with_ordinal(metrics, order)
+    else:
+        raise ValueError("best_model needs an 'ordinal' column or an 'order' list (the tie-break)")
     m = F.col(metric)
     score = F.round(m, digits) if digits is not None else m
     valid = df.where(m.isNotNull() & ~F.isnan(m))
