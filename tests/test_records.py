@@ -51,3 +51,34 @@ def test_missing_metrics_file_raises(spark, tmp_dir):
     assert read_metrics(spark, [p]).first().model == "x"
     with pytest.raises(Exception):
         read_metrics(spark, [p, f"{tmp_dir}/absent.json"]).collect()
+
+
+DATA = f"{REFERENCE}/data"
+
+
+@needs_ref
+def test_class_balance_g7(spark):
+    from labelflow.operators import clean, split
+    from labelflow.sources.labelled import read_labelled_csv
+
+    df = clean.clean_labelled(read_labelled_csv(spark, [f"{DATA}/dataset.csv"], required=("text", "language", "label")))
+    assert df.count() == 120
+    cells = {(r.language, r.label): r["count"] for r in df.groupBy("language", "label").count().collect()}
+    assert len(cells) == 6 and set(cells.values()) == {20}
+    assert [r.n for r in split.class_distribution(df).collect()] == [40, 40, 40]
+
+
+@needs_ref
+def test_splits_cover_dataset_g8(spark):
+    from labelflow.sources.labelled import read_labelled_csv
+
+    cols = ["text", "language", "label"]
+    parts = {p: read_labelled_csv(spark, [f"{DATA}/splits/{p}_split.csv"]).select(*cols)
+             for p in ("train", "val", "test")}
+    assert {p: d.count() for p, d in parts.items()} == {"train": 84, "val": 18, "test": 18}
+    for d in parts.values():
+        assert {r.label: r["count"] for r in d.groupBy("label").count().collect()} == \
+            {"negative": d.count() // 3, "neutral": d.count() // 3, "positive": d.count() // 3}
+    whole = read_labelled_csv(spark, [f"{DATA}/dataset.csv"]).select(*cols)
+    union = parts["train"].unionByName(parts["val"]).unionByName(parts["test"])
+    assert union.exceptAll(whole).count() == 0 and whole.exceptAll(union).count() == 0
