@@ -83,6 +83,18 @@ def tfidf_long(counts: DataFrame, idf: DataFrame, id_col: str = "row_id") -> Dat
     return w.select(id_col, "term", "tf", "idf", F.coalesce(F.try_divide(F.col("w"), norm), F.lit(0.0)).alias("weight"))
 
 
+def tfidf_of_texts(df: DataFrame, idf: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """M4 + F10 from texts: ``(id, term, tf, idf, weight)``.
+
+    The texts are hash-partitioned by id first. Counting terms inside each
+    row keeps that partitioning, the broadcast join keeps it, and so the
+    per-row norm window needs no exchange of its own: the one shuffle moves
+    the texts, about a tenth of the exploded (id, term, weight) rows.
+    """
+    clustered = df.select(id_col, text_col).repartition(id_col)
+    return tfidf_long(term_counts(clustered, id_col, text_col), idf, id_col)
+
+
 @dataclass
 class TfidfFit:
     """A fitted vocabulary: terms (alphabetical = vector index), idf, #docs."""

@@ -300,23 +300,23 @@ def q_idf(spark, d):
     return _vocab_idf(train).select("term", "df", r6("idf").alias("idf"))
 
 
-def _weights(counts, idf):
-    return features.tfidf_long(counts, idf).select("row_id", "term", r6("weight").alias("weight"))
+def _weights(texts, idf):
+    return features.tfidf_of_texts(texts, idf).select("row_id", "term", r6("weight").alias("weight"))
 
 
 def q_tfidf(spark, d):
     lab = materialize(labelled(spark, d))
-    return _weights(features.term_counts(lab), _vocab_idf(lab))
+    return _weights(lab, _vocab_idf(lab))
 
 
 def q_tfidf_fit(spark, d):
     train, _ = _train_test(spark, d)
-    return _weights(features.term_counts(train), _vocab_idf(train))
+    return _weights(train, _vocab_idf(train))
 
 
 def q_tfidf_transform(spark, d):
     train, test = _train_test(spark, d)
-    return _weights(features.term_counts(test), _vocab_idf(train))
+    return _weights(test, _vocab_idf(train))
 
 
 def _encoded(df):

@@ -77,3 +77,13 @@ def test_bucketed_join_needs_no_exchange(spark, tmp_dir):
         assert lab.count() == labelled(spark, SF01).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tfidf_norm_window_reuses_text_partitioning(spark):
+    lab = labelled(spark, SF01)
+    idf = features.idf_table(features.vocabulary_topk(features.term_counts(lab), 100), 399)
+    p = plan(features.tfidf_of_texts(lab, idf))
+    # texts shuffled once by id; no exchange between the exploded terms and the window
+    between = p[p.index("Window ["):p.index("Exchange hashpartitioning(row_id")]
+    assert "Generate inline" in between and "BroadcastHashJoin" in between
+    assert "Exchange" not in between
