@@ -42,7 +42,6 @@ def read_labelled_csv(
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .option("nullValue", None)
         .option("emptyValue", "")
         .csv(list(paths) if not isinstance(paths, str) else paths)
     )

@@ -44,3 +44,14 @@ def test_encode_decode_roundtrip(spark):
     out = clean.label_decode(clean.label_encode(df), out="back").collect()
     assert [r.label_id for r in out] == [0, 1, 2, None]
     assert [r.back for r in out] == ["negative", "neutral", "positive", None]
+
+
+def test_freeze_row_ids(spark, tmp_dir):
+    from labelflow.sources.labelled import freeze_row_ids
+
+    p = _csv(tmp_dir, "text,label\na,positive\nb,negative\nc,neutral\n")
+    frozen = freeze_row_ids(read_labelled_csv(spark, [p]), f"{tmp_dir}/frozen")
+    rows = frozen.orderBy("row_id").collect()
+    assert [r.text for r in rows] == ["a", "b", "c"]
+    again = spark.read.parquet(f"{tmp_dir}/frozen").orderBy("row_id").collect()
+    assert [r.row_id for r in again] == [r.row_id for r in rows]
