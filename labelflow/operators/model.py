@@ -23,48 +23,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FIT_ROWS_PER_PARTITION, INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER, TOL
+from ..session import materialize
 from .features import TfidfFit, fit_tfidf, tfidf_stages
 
 
-def fit_classifier(
-    train: DataFrame,
-    labels: Sequence[str] = LABELS,
-    text_col: str = "text",
-    label_id_col: str = "label_id",
-    max_features: int = MAX_FEATURES,
-    max_iter: int = MAX_ITER,
-    inverse_reg: float = INVERSE_REG,
-    tol: float = TOL,
-    tfidf: TfidfFit | None = None,
-) -> PipelineModel:
-    """M3 + M5: fit TF-IDF (unless a fitted ``tfidf`` is given) and the
-    classifier on ``train``."""
-    fit = tfidf or fit_tfidf(train, text_col=text_col, max_features=max_features)
-    stages = tfidf_stages(fit, text_col=text_col)
-    feats = PipelineModel(stages).transform(
+def training_features(train: DataFrame, fit: TfidfFit, text_col: str = "text",
+                      label_id_col: str = "label_id") -> DataFrame:
+    """``(features, _y)`` of the labelled training rows, sized for the optimiser.
+
+    Every optimiser iteration is one job over the cached training blocks:
+    partitions are sized by rows (known from the TF-IDF fit) so a small
+    training set does not pay per-task overhead hundreds of times, while a
+    large one keeps all its parallelism (target >= current -> no change).
+    """
+    feats = PipelineModel(tfidf_stages(fit, text_col=text_col)).transform(
         train.where(F.col(label_id_col).isNotNull()).withColumn("_y", F.col(label_id_col).cast("double"))
     ).select("features", "_y")
-    # Every optimiser iteration is one job over the cached training blocks:
-    # size its partitions by rows (known from the TF-IDF fit) so a small
-    # training set does not pay per-task overhead hundreds of times, while a
-    # large one keeps all its parallelism (target >= current -> no change).
     target = max(1, math.ceil(fit.n_docs / FIT_ROWS_PER_PARTITION))
     if feats.rdd.getNumPartitions() > target:
         feats = feats.repartition(target)
+    return feats
+
+
+def fit_logistic(feats: DataFrame, n_docs: int, max_iter: int = MAX_ITER, inverse_reg: float = INVERSE_REG,
+                 tol: float = TOL):
+    """M5 on prepared ``(features, _y)`` rows."""
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="_y",
         family="multinomial",
-        regParam=1.0 / (inverse_reg * max(fit.n_docs, 1)),
+        regParam=1.0 / (inverse_reg * max(n_docs, 1)),
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=True,
         maxIter=max_iter,
         tol=tol,
     )
-    lr_model = lr.fit(feats)
+    return lr.fit(feats)
+
+
+def assemble(fit: TfidfFit, lr_model, labels: Sequence[str] = LABELS, text_col: str = "text") -> PipelineModel:
+    """One persistable pipeline: TF-IDF stages + classifier + label names."""
     decode = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(labels))
-    return PipelineModel(stages + [lr_model, decode])
+    return PipelineModel(tfidf_stages(fit, text_col=text_col) + [lr_model, decode])
+
+
+def fit_classifier(
+    train: DataFrame,
+    labels: Sequence[str] = LABELS,
+    text_col: str = "text",
+    label_id_col: str = "label_id",
+    max_features: int = MAX_FEATURES,
+    max_iter: int = MAX_ITER,
+    inverse_reg: float = INVERSE_REG,
+    tol: float = TOL,
+    tfidf: TfidfFit | None = None,
+) -> PipelineModel:
+    """M3 + M5: fit TF-IDF (unless a fitted ``tfidf`` is given) and the
+    classifier on ``train``."""
+    fit = tfidf or fit_tfidf(train, text_col=text_col, max_features=max_features)
+    feats = training_features(train, fit, text_col, label_id_col)
+    return assemble(fit, fit_logistic(feats, fit.n_docs, max_iter, inverse_reg, tol), labels, text_col)
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
@@ -92,10 +111,17 @@ def run_experiment(name: str, train: DataFrame, evaluate_on: DataFrame, **params
     return predict(model, evaluate_on).withColumn("model", F.lit(name))
 
 
-def sweep(train: DataFrame, evaluate_on: DataFrame, grid: Sequence[tuple[str, dict]]) -> DataFrame:
-    """M8 over a parameter grid; one union, evaluated by a single model-keyed job."""
+def sweep(train: DataFrame, evaluate_on: DataFrame, grid: Sequence[tuple[str, dict]],
+          labels: Sequence[str] = LABELS) -> DataFrame:
+    """M8 over a grid of classifier parameters (``max_iter``, ``inverse_reg``,
+    ``tol``). TF-IDF is fitted once and the training features are
+    checkpointed once; every run fits only the classifier. Predictions of
+    all runs form one model-keyed table, evaluated by a single job."""
+    fit = fit_tfidf(train)
+    feats = materialize(training_features(train, fit), spread_input=False)
     out = None
     for name, params in grid:
-        p = run_experiment(name, train, evaluate_on, **params)
+        model = assemble(fit, fit_logistic(feats, fit.n_docs, **params), labels)
+        p = predict(model, evaluate_on).withColumn("model", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, evaluate, split
-from ..operators.features import fit_tfidf
-from ..operators.model import fit_classifier, load_model, predict, save_model
+from ..operators.model import fit_classifier, load_model, predict, save_model, sweep
 from ..operators.scoring import score_texts
 from ..session import materialize, scratch_path
 from ..streaming import score_stream
@@ -73,13 +72,7 @@ def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: several parameter settings, one shared TF-IDF fit, evaluated on val
     by one model-keyed metrics job."""
     s = split_table(spark, sf_dir)
-    train, val = _part(s, "train"), _part(s, "val")
-    tfidf = fit_tfidf(train)
-    runs = None
-    for name, params in SWEEP:
-        model = fit_classifier(train, tfidf=tfidf, **params)
-        p = predict(model, val, keep=["row_id", "label"]).withColumn("model", F.lit(name))
-        runs = p if runs is None else runs.unionByName(p)
+    runs = sweep(_part(s, "train"), _part(s, "val").select("row_id", "text", "label"), SWEEP)
     return evaluate.metrics_record(runs)
 
 

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "labelflow",
-              shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with AQE on and the UI off; settings already given win."""
+              shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """Session with AQE on and the UI off; settings already given win.
+
+    ``driver_memory`` only takes effect when this call starts the JVM; in
+    local mode the driver heap is the executors' memory."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
