@@ -63,3 +63,16 @@ def test_blank_guard_and_stream_equals_batch(spark, fitted, tmp_dir):
     blank = {r[0]: r for r in b if r[0] >= 1000}
     assert blank[1000][2] == "empty_input" and blank[1000][1] is None
     assert blank[1001][2] == "empty_input" and blank[1002][2] == "ok"
+
+
+def test_sweep_one_table_per_run(spark, fitted):
+    from labelflow.operators import evaluate
+    from labelflow.operators.model import sweep
+
+    _, train, test = fitted
+    grid = [("c1", {}), ("c01", {"inverse_reg": 0.1}), ("it5", {"max_iter": 5})]
+    runs = sweep(train, test, grid)
+    counts = {r.model: r["count"] for r in runs.groupBy("model").count().collect()}
+    assert counts == {"c1": 18, "c01": 18, "it5": 18}
+    met = {r.model: r for r in evaluate.metrics_record(runs).collect()}
+    assert met["c1"].accuracy == 0.4444  # the reference baseline's accuracy (G9)
