@@ -1,84 +1,70 @@
-"""S7/S8/S10, A13-A15, V1 on the reference's own result files (skipped when absent)."""
+"""S7/S8/S10 and A13/A15 on record files written by the tests (G3-G5, G10 values)."""
 
 import json
-import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelflow.operators import compare
-from labelflow.sources.records import read_metrics, read_run_history, read_table_csv
-from tests.conftest import REFERENCE
-
-EXP = f"{REFERENCE}/experiments"
-needs_ref = pytest.mark.skipif(not os.path.isdir(EXP), reason="reference files absent")
-FILES = ["baseline_metrics.json", "xlmr_3ep_metrics.json", "xlmr_6ep_metrics.json", "xlmr_tuned_metrics.json"]
-
-
-@needs_ref
-def test_gather_metrics_and_best(spark):
-    met = read_metrics(spark, [f"{EXP}/{f}" for f in FILES])
+from labelflow.sources.records import read_metrics, read_run_history
+
+# model -> accuracy / precision / recall / F1 (weighted, 4 places), in file order
+METRICS = [
+    ("tfidf", 0.4444, 0.4028, 0.4444, 0.4159),
+    ("net_3", 0.3333, 0.1111, 0.3333, 0.1667),
+    ("net_6", 0.3333, 0.1111, 0.3333, 0.1667),
+    ("net_tuned", 0.3889, 0.5778, 0.3889, 0.3646),
+]
+
+
+def _write_metrics(tmp_dir):
+    paths = []
+    for i, (m, a, p, r, f) in enumerate(METRICS):
+        path = f"{tmp_dir}/m{i}_metrics.json"
+        with open(path, "w", encoding="utf-8") as fh:
+            json.dump({"model": m, "accuracy": a, "precision_weighted": p, "recall_weighted": r,
+                       "f1_weighted": f}, fh, ensure_ascii=False, indent=4)
+        paths.append(path)
+    return paths
+
+
+def test_gather_metrics_and_best(spark, tmp_dir):
+    paths = _write_metrics(tmp_dir)
+    met = read_metrics(spark, paths)
     rows = met.orderBy("ordinal").collect()
-    assert [r.source_file for r in rows] == FILES
-    assert rows[0].f1_weighted == 0.4159 and rows[3].precision_weighted == 0.5778
+    assert [r.source_file for r in rows] == [p.rsplit("/", 1)[1] for p in paths]
+    assert [r.model for r in rows] == [m[0] for m in METRICS]
     best = compare.best_model(met).first()
-    assert best.ordinal == 1 and best.f1_weighted == 0.4159
+    assert best.model == "tfidf" and best.ordinal == 1 and best.f1_weighted == 0.4159
+    # without the first file the tie between net_3 and net_6 goes to the earlier one... unless tuned wins
+    assert compare.best_model(read_metrics(spark, paths[1:])).first().model == "net_tuned"
+    assert compare.best_model(read_metrics(spark, paths[1:3])).first().model == "net_3"
 
 
-@needs_ref
-def test_verification_sample_g6(spark):
-    preds = read_table_csv(spark, f"{EXP}/baseline_predictions.csv").withColumn(
-        "row_id", F.monotonically_increasing_id() + 1)
-    out = compare.verification_sample(preds).collect()
-    assert [r.row_id for r in out if r.example_type == "correct"] == [2, 4, 11, 12, 13]
-    assert [r.row_id for r in out if r.example_type == "incorrect"] == [1, 3, 5, 6, 7]
+def _history(path, evals, trains=()):
+    log = [{"epoch": float(e), "step": s, "loss": 1.1, "learning_rate": 1e-5} for e, s in trains]
+    log += [{"epoch": float(e), "step": s, "eval_loss": 1.12, "eval_f1_weighted": f, "eval_runtime": 0.12}
+            for e, s, f in evals]
+    with open(path, "w") as fh:
+        json.dump({"best_global_step": None, "best_metric": None, "log_history": log, "global_step": 33}, fh, indent=2)
 
 
-@needs_ref
-def test_run_history_best_step_g10(spark):
-    paths = [f"{EXP}/models/xlmr_3ep/checkpoint-33/trainer_state.json",
-             f"{EXP}/models/xlmr_6ep/checkpoint-22/trainer_state.json"]
-    best = {r.run: r for r in compare.best_step(read_run_history(spark, paths)).collect()}
-    assert best["xlmr_3ep"].best_step == 11 and round(best["xlmr_3ep"].best_metric, 4) == 0.1667
-    assert best["xlmr_6ep"].best_step == 22 and round(best["xlmr_6ep"].best_metric, 4) == 0.2692
+def test_run_history_best_step_g10(spark, tmp_dir):
+    import os
+
+    for run in ("run_a", "run_b"):
+        os.makedirs(f"{tmp_dir}/{run}/checkpoint-1", exist_ok=True)
+    a, b = f"{tmp_dir}/run_a/checkpoint-1/state.json", f"{tmp_dir}/run_b/checkpoint-1/state.json"
+    _history(a, [(1, 11, 0.1667), (2, 22, 0.1667), (3, 33, 0.1667)], trains=[(1, 11), (2, 22)])
+    _history(b, [(1, 11, 0.1), (2, 22, 0.2692)])
+    hist = read_run_history(spark, [a, b])
+    assert hist.count() == 5  # training log lines are not evaluation steps
+    best = {r.run: r for r in compare.best_step(hist).collect()}
+    assert best["run_a"].best_step == 11 and best["run_a"].best_metric == 0.1667  # earliest of a tie
+    assert best["run_b"].best_step == 22 and best["run_b"].best_metric == 0.2692
 
 
 def test_missing_metrics_file_raises(spark, tmp_dir):
-    p = f"{tmp_dir}/m.json"
-    with open(p, "w") as f:
-        json.dump({"model": "x", "accuracy": 1.0, "precision_weighted": 1.0, "recall_weighted": 1.0,
-                   "f1_weighted": 1.0}, f, indent=4)
-    assert read_metrics(spark, [p]).first().model == "x"
+    paths = _write_metrics(tmp_dir)
+    assert read_metrics(spark, paths[:1]).first().model == "tfidf"
     with pytest.raises(Exception):
-        read_metrics(spark, [p, f"{tmp_dir}/absent.json"]).collect()
-
-
-DATA = f"{REFERENCE}/data"
-
-
-@needs_ref
-def test_class_balance_g7(spark):
-    from labelflow.operators import clean, split
-    from labelflow.sources.labelled import read_labelled_csv
-
-    df = clean.clean_labelled(read_labelled_csv(spark, [f"{DATA}/dataset.csv"], required=("text", "language", "label")))
-    assert df.count() == 120
-    cells = {(r.language, r.label): r["count"] for r in df.groupBy("language", "label").count().collect()}
-    assert len(cells) == 6 and set(cells.values()) == {20}
-    assert [r.n for r in split.class_distribution(df).collect()] == [40, 40, 40]
-
-
-@needs_ref
-def test_splits_cover_dataset_g8(spark):
-    from labelflow.sources.labelled import read_labelled_csv
-
-    cols = ["text", "language", "label"]
-    parts = {p: read_labelled_csv(spark, [f"{DATA}/splits/{p}_split.csv"]).select(*cols)
-             for p in ("train", "val", "test")}
-    assert {p: d.count() for p, d in parts.items()} == {"train": 84, "val": 18, "test": 18}
-    for d in parts.values():
-        assert {r.label: r["count"] for r in d.groupBy("label").count().collect()} == \
-            {"negative": d.count() // 3, "neutral": d.count() // 3, "positive": d.count() // 3}
-    whole = read_labelled_csv(spark, [f"{DATA}/dataset.csv"]).select(*cols)
-    union = parts["train"].unionByName(parts["val"]).unionByName(parts["test"])
-    assert union.exceptAll(whole).count() == 0 and whole.exceptAll(union).count() == 0
+        read_metrics(spark, [paths[0], f"{tmp_dir}/absent.json"]).collect()
