@@ -170,7 +170,7 @@ def _split(df, test_size, second, seed, label_col, id_col, parts):
     # One count pass over (label, bucket) only -- the scan reads two columns.
     # The small table is checkpointed: it feeds both the driver-side quota
     # computation (K rows) and the broadcast bucket ranges.
-    fine = materialize(_bucket_counts(df, label_col, id_col, seed, SPLIT_BUCKET_HEX_DIGITS))
+    fine = materialize(_bucket_counts(df, label_col, id_col, seed, SPLIT_BUCKET_HEX_DIGITS), spread_input=False)
     counts = class_counts_of(fine, label_col)
     digits = _hex_digits(len(counts))
     bucket_counts = fine
