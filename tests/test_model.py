@@ -75,3 +75,16 @@ def test_sweep_one_table_per_run(spark, fitted):
     assert counts == {"c1": n, "c01": n, "it5": n}
     met = {r.model: r for r in evaluate.metrics_record(runs).collect()}
     assert set(met) == {"c1", "c01", "it5"} and all(0.0 <= m.accuracy <= 1.0 for m in met.values())
+
+
+def test_score_texts_probability_map(spark, fitted):
+    from labelflow.constants import LABELS
+
+    model, _, test = fitted
+    out = score_texts(model, test.select("row_id", "text"), digits=4).collect()
+    assert out and all(r.status == "ok" for r in out)
+    for r in out:
+        assert sorted(r.probabilities) == sorted(LABELS)
+        assert all(round(v, 4) == v for v in r.probabilities.values())
+        assert math.isclose(sum(r.probabilities.values()), 1.0, abs_tol=2e-4)
+        assert r.probabilities[r.predicted_label] == max(r.probabilities.values())
