@@ -3,10 +3,12 @@
 from .bpe import op3_bpe
 from .packing import op5_packing
 from .pages import op10_html
+from .simhash import op7_simhash
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_packing": op5_packing,
+    "op7_simhash": op7_simhash,
     "op10_html": op10_html,
 }
 
