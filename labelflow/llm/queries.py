@@ -4,8 +4,10 @@ from .bpe import op3_bpe
 from .packing import op5_packing
 from .pages import op10_html
 from .simhash import op7_simhash
+from .substring import op2_substring
 
 QUERIES = {
+    "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,

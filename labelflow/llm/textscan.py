@@ -9,15 +9,13 @@ as a 2-word one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Bytes of text scanned at once (a longer document is scanned by itself).
+#: Bytes of text hashed at once (a longer word is hashed by itself).
 CHUNK_BYTES = 1 << 20
 
 
@@ -64,15 +62,6 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``size`` bytes each, in order."""
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
-
-
 class Words:
     """The words of some documents: byte spans, and the first word of each document."""
 
@@ -98,15 +87,25 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash per word; equal words have equal hashes."""
-        up, down = _byte_powers.get(len(self.data) + 1)
-        prefix = np.zeros(len(self.data) + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[:-1], out=prefix[1:])
-        raw = (prefix[self.ends] - prefix[self.starts]) * down[self.starts]
-        return mix(raw + (self.ends - self.starts).astype(U64) * U64(0xFF51AFD7ED558CCD))
-
-    def windows(self, hashes: np.ndarray, width: int, at: np.ndarray, base: int) -> np.ndarray:
-        """Hash of the ``width`` words from each word position ``at``."""
-        up, down = _window_powers[base].get(len(hashes) + 1)
-        prefix = np.zeros(len(hashes) + 1, U64)
-        np.cumsum(hashes * up[:-1], out=prefix[1:])
-        return mix((prefix[at + width] - prefix[at]) * down[at])
+        out = np.empty(len(self), U64)
+        lo = 0
+        while lo < len(self):
+            base = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + CHUNK_BYTES, "right")))
+            part = self.data[base:int(self.ends[hi - 1])]
+            up, down = _byte_powers.get(len(part) + 1)
+            prefix = np.zeros(len(part) + 1, U64)
+            np.cumsum((part.astype(U64) + U64(1)) * up[:-1], out=prefix[1:])
+            starts, ends = self.starts[lo:hi] - base, self.ends[lo:hi] - base
+            raw = (prefix[ends] - prefix[starts]) * down[starts]
+            out[lo:hi] = mix(raw + (ends - starts).astype(U64) * U64(0xFF51AFD7ED558CCD))
+            lo = hi
+        return out
+
+
+def window_hashes(hashes: np.ndarray, width: int, at: np.ndarray, base: int) -> np.ndarray:
+    """Hash of the ``width`` words from each word position ``at``."""
+    up, down = _window_powers[base].get(len(hashes) + 1)
+    prefix = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[:-1], out=prefix[1:])
+    return mix((prefix[at + width] - prefix[at]) * down[at])
