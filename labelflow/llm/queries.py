@@ -3,6 +3,7 @@
 from .bpe import op3_bpe
 from .packing import op5_packing
 from .pages import op10_html
+from .ppm import op6_lm_scoring
 from .simhash import op7_simhash
 from .substring import op2_substring
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op5_packing": op5_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_simhash": op7_simhash,
     "op10_html": op10_html,
 }
