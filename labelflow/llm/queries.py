@@ -4,6 +4,7 @@ from .bpe import op3_bpe
 from .packing import op5_packing
 from .pages import op10_html
 from .ppm import op6_lm_scoring
+from .search import TOPK_SQL, op8_topk
 from .simhash import op7_simhash
 from .substring import op2_substring
 
@@ -13,7 +14,10 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_simhash": op7_simhash,
+    "op8_topk": op8_topk,
     "op10_html": op10_html,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_topk": TOPK_SQL,
+}
