@@ -4,6 +4,7 @@ from .bpe import op3_bpe
 from .packing import op5_packing
 from .pages import op10_html
 from .ppm import op6_lm_scoring
+from .quality import op9_quality
 from .search import TOPK_SQL, op8_topk
 from .simhash import op7_simhash
 from .substring import op2_substring
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_simhash": op7_simhash,
     "op8_topk": op8_topk,
+    "op9_quality": op9_quality,
     "op10_html": op10_html,
 }
 
