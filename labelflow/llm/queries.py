@@ -3,6 +3,7 @@
 from .bpe import op3_bpe
 from .packing import op5_packing
 from .pages import op10_html
+from .pii import op4_pii
 from .ppm import op6_lm_scoring
 from .quality import op9_quality
 from .search import TOPK_SQL, op8_topk
@@ -12,6 +13,7 @@ from .substring import op2_substring
 QUERIES = {
     "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_simhash": op7_simhash,
