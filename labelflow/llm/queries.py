@@ -7,10 +7,12 @@ from .pii import op4_pii
 from .ppm import op6_lm_scoring
 from .quality import op9_quality
 from .search import TOPK_SQL, op8_topk
+from .sharding import op1_shards
 from .simhash import op7_simhash
 from .substring import op2_substring
 
 QUERIES = {
+    "op1_shards": op1_shards,
     "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
