@@ -26,8 +26,9 @@ from .textscan import WINDOW_BASES, Words, string_buffers, window_hashes
 
 #: Perfect difference covers: for a period, the cover positions (fixed values).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: Text bytes of a block, the unit one Python call holds.
-BLOCK_BYTES = 8 << 20
+#: Text bytes of a block, the unit one Python call holds (its arrays take some 20 times that).
+#: Larger blocks send fewer and longer arrays; raise it where executors have more memory.
+BLOCK_BYTES = 2 << 20
 #: Blocks for each hash range.
 BLOCKS_PER_RANGE = 2
 

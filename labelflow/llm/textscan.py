@@ -16,7 +16,7 @@ U64 = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text hashed at once (a longer word is hashed by itself).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 class _Powers:
