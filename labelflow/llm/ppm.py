@@ -32,7 +32,7 @@ from .textscan import Words, mix, string_buffers
 ORDER = 5
 BLOCK_BYTES = 16 << 20
 #: Bytes whose contexts are looked at together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Key of the token that ends every document.
 END = np.zeros(1, np.uint64)
 WORDS, STRINGS = 1, 2
@@ -76,42 +76,40 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockText:
-    """A block's documents: distinct words and strings with training counts."""
+    """A block's documents, read in slices: distinct words and strings with training counts."""
 
     def __init__(self, table: pa.Table, order: int):
-        data, offsets = string_buffers(table.column("text"))
-        data = lowered(data[int(offsets[0]):int(offsets[-1])])
-        self.offsets = offsets - offsets[0]
+        self.data, self.offsets = string_buffers(table.column("text"))
         self.order = order
         self.train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        self.words = Words(data, self.offsets)
-        self.word_hashes = self.words.hashes()
-        self.data = data
 
-    def slices(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Runs of documents of about ``SLICE_BYTES`` with their strings."""
+    def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of documents of about ``SLICE_BYTES``: their lowered bytes and offsets."""
         lo, n = 0, len(self.train)
         while lo < n:
             hi = int(np.searchsorted(self.offsets, self.offsets[lo] + SLICE_BYTES, "right")) - 1
             hi = min(max(hi, lo + 1), n)
-            yield lo, hi, contexts(self.data[self.offsets[lo]:self.offsets[hi]], self.offsets[lo:hi + 1], self.order)
+            yield (lo, hi, lowered(self.data[self.offsets[lo]:self.offsets[hi]]),
+                   self.offsets[lo:hi + 1] - self.offsets[lo])
             lo = hi
 
-    def distinct_words(self) -> tuple[np.ndarray, np.ndarray]:
-        doc = np.repeat(np.arange(len(self.train)), np.diff(self.words.first))
-        return summed(np.concatenate([self.word_hashes, END]),
-                      np.concatenate([self.train[doc], [self.train.sum()]]).astype(np.int64))
-
-    def distinct_strings(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = [], []
-        for lo, hi, strings in self.slices():
-            of_train = np.repeat(self.train[lo:hi], np.diff(self.offsets[lo:hi + 1]) + 1)
-            for part, weight in ((strings[of_train], 1), (strings[~of_train], 0)):
-                part = np.sort(part)
-                heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-                keys.append(part[heads] if len(part) else part)
-                counts.append(weight * np.diff(np.append(heads, len(part))).astype(np.int64))
-        return summed(np.concatenate(keys), np.concatenate(counts))
+    def distinct(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Words and strings, each with training counts; the end is a word of every document."""
+        words = [(END, np.array([self.train.sum()], np.int64))]
+        strings = [(END[:0], np.empty(0, np.int64))]
+        for lo, hi, data, offsets in self.slices():
+            train = self.train[lo:hi]
+            in_slice = Words(data, offsets)
+            doc = np.repeat(np.arange(hi - lo), np.diff(in_slice.first))
+            words.append(summed(in_slice.hashes(), train[doc].astype(np.int64)))
+            at = contexts(data, offsets, self.order)
+            of_train = np.repeat(train, np.diff(offsets) + 1)
+            for part, weight in ((np.sort(at[of_train]), 1), (np.sort(at[~of_train]), 0)):
+                heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else \
+                    np.empty(0, np.int64)
+                strings.append((part[heads], weight * np.diff(np.append(heads, len(part)))))
+        return tuple(summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+                     for found in (words, strings))
 
 
 def borders(keys: np.ndarray, kind: int, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +292,8 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     def send(table: pa.Table) -> pa.Table:
         block = BlockText(table, order)
         number = table.column("block")[0].as_py()
-        rows = sent(number, WORDS, *block.distinct_words(), n_ranges)
-        rows += sent(number, STRINGS, *block.distinct_strings(), n_ranges)
+        words, strings = block.distinct()
+        rows = sent(number, WORDS, *words, n_ranges) + sent(number, STRINGS, *strings, n_ranges)
         return by_range(rows, ["kind", "range", "block", "keys", "counts"],
                         [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -330,26 +328,25 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = BlockText(table, order)
         n = table.num_rows
-        words, _ = block.distinct_words()
+        (words, _), (strings, _) = block.distinct()
         counts = received(replies, WORDS, words, n_ranges, np.int64)
+        logs = received(replies, STRINGS, strings, n_ranges, np.float32)
         train_tokens = sum(replies.column("total").to_pylist())
         vocabulary = sum(replies.column("distinct").to_pylist())
-        place = np.searchsorted(words, block.word_hashes)
         end_count = int(counts[np.searchsorted(words, END)[0]])
-        doc = np.repeat(np.arange(n), np.diff(block.words.first))
-        of_word = counts[place]
-        n_tokens = np.diff(block.words.first) + 1
-        n_known = np.bincount(doc, of_word > 0, n).astype(np.int64) + (end_count > 0)
-        base = (np.bincount(doc, np.log10(of_word + 1.0), n) + np.log10(end_count + 1.0)
-                - n_tokens * np.log10(train_tokens + vocabulary + 1.0))
-        strings, _ = block.distinct_strings()
-        logs = received(replies, STRINGS, strings, n_ranges, np.float32).astype(np.float64)
-        scores = np.zeros(n)
-        for lo, hi, at in block.slices():
-            own, inverse = np.unique(at, return_inverse=True)
-            each = logs[np.searchsorted(strings, own)][inverse]
-            heads = block.offsets[lo:hi] - block.offsets[lo] + np.arange(hi - lo)
-            scores[lo:hi] = np.add.reduceat(each, heads)
+        n_tokens, n_known = np.ones(n, np.int64), np.full(n, int(end_count > 0))
+        base, scores = np.full(n, np.log10(end_count + 1.0)), np.zeros(n)
+        for lo, hi, data, offsets in block.slices():
+            in_slice = Words(data, offsets)
+            doc = np.repeat(np.arange(hi - lo), np.diff(in_slice.first))
+            of_word = counts[np.searchsorted(words, in_slice.hashes())]
+            n_tokens[lo:hi] += np.diff(in_slice.first)
+            n_known[lo:hi] += np.bincount(doc, of_word > 0, hi - lo).astype(np.int64)
+            base[lo:hi] += np.bincount(doc, np.log10(of_word + 1.0), hi - lo)
+            own, inverse = np.unique(contexts(data, offsets, order), return_inverse=True)
+            each = logs[np.searchsorted(strings, own)].astype(np.float64)[inverse]
+            scores[lo:hi] = np.add.reduceat(each, offsets[:-1] + np.arange(hi - lo))
+        base -= n_tokens * np.log10(train_tokens + vocabulary + 1.0)
         return pa.table([table.column("key"), table.column("held_out"), pa.array(n_tokens, pa.int64()),
                          pa.array(n_known, pa.int64()), pa.array(np.full(n, train_tokens), pa.int64()),
                          pa.array(base), pa.array(scores)],
