@@ -16,6 +16,7 @@ bounded, and a lost task packs the same pool again.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textscan import Words, lowered, slices, string_buffers
+
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens packed together by one task.
 POOL_TOKENS = 4 << 20
 #: Tokens of one step group: so many windows of a tier make a step.
 STEP_TOKENS = 1 << 16
-#: Distinct words whose ids one Python worker remembers before it starts afresh.
+#: Distinct units whose ids one Python worker remembers before it starts afresh.
 MEMO_SIZE = 1_000_000
+#: Bytes of text scanned at once.
+SLICE_BYTES = 2 << 20
 
 Piece = tuple[int, int, int]  # document number in the pool, start, length
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer that never joins text across white space.
+    """Ids of texts for a tokenizer that never joins text across white space,
+    nor across a border between ASCII letters or digits and punctuation.
+
+    A text is scanned in slices: equal units are found by hash, and each
+    distinct unit goes to the tokenizer once per worker. The apostrophe (it can
+    start a token of letters) and the bar (special tokens hold it) make no
+    border. Only ASCII letters are lowered before, so ``The`` and ``the`` share
+    an entry; the tokenizer lowers everything itself."""
 
-    Each distinct word is given to the tokenizer once per worker. Only ASCII
-    letters are lowered before (the tokenizer lowers everything itself), which
-    lets ``The`` and ``the`` share an entry."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123))] = 1
+    kinds[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = 2
 
     def __init__(self, path: str, memo_size: int = MEMO_SIZE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,20 +62,42 @@ class WordEncoder:
         self.memo: dict[bytes, bytes] = {}
         self.memo_size = memo_size
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.encode().lower().split()
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; a null is empty."""
+        data, offsets = string_buffers(texts)
+        for lo, hi in slices(offsets, SLICE_BYTES):
+            yield from self.encode_slice(lowered(data[offsets[lo]:offsets[hi]]), offsets[lo:hi + 1] - offsets[lo])
+
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        kind = self.kinds[data]
+        edges = np.zeros(len(data), bool)
+        edges[1:] = kind[1:] * kind[:-1] == 2
+        units = Words(data, offsets, edges)
+        _, head, inverse = np.unique(units.hashes(), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        spans = zip(units.starts[head].tolist(), units.ends[head].tolist(), strict=True)
+        ids = self.look_up([raw[a:b] for a, b in spans])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(lengths) - lengths
+        taken = lengths[inverse]
+        ends = np.cumsum(taken)
+        at = np.repeat(first[inverse] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)
+        coded = flat[at].tobytes()
+        borders = 4 * np.concatenate([[0], ends])[units.first]
+        yield from (coded[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True))
+
+    def look_up(self, units: list[bytes]) -> list[bytes]:
         memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        if len(memo) >= self.memo_size:
-            memo.clear()
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
-        return b"".join([memo[w] for w in words])
+        found = [memo.get(u) for u in units]
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            if len(memo) + len(new) > self.memo_size:
+                memo.clear()
+            coded = self.tokenizer.encode_batch([units[i].decode() for i in new], add_special_tokens=False)
+            for i, e in zip(new, coded, strict=True):
+                found[i] = memo[units[i]] = array("I", e.ids).tobytes()
+        return found
 
 
 class Pool:
@@ -206,9 +240,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, key: str =
 
         for batch in batches:
             batch_keys = batch.column(0).to_pylist()
-            for i, value in enumerate(batch.column(1)):
+            for i, coded in enumerate(encoder.encode_all(batch.column(1))):
                 keys.append(batch_keys[i])
-                ids.append(encoder.encode(value.as_py() or "") + end)
+                ids.append(coded + end)
                 held += len(ids[-1]) // 4
                 if held >= pool_tokens:
                     yield from flush()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_of, blocks_for, read_table, text_bytes
-from .textscan import Words, mix, string_buffers
+from .textscan import Words, lowered, mix, slices, string_buffers
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
@@ -41,11 +41,6 @@ SENT_SCHEMA = "kind int, range int, block int, keys binary, counts binary"
 REPLY_SCHEMA = "kind int, range int, block int, numbers binary, total bigint, distinct bigint"
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """Bytes with ASCII letters lowered."""
-    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-
-
 def contexts(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """For every byte and end of the documents the string of ``order`` bytes
     before it and itself, as a number; zero bytes stand before a document and
@@ -85,13 +80,9 @@ class BlockText:
 
     def slices(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of documents of about ``SLICE_BYTES``: their lowered bytes and offsets."""
-        lo, n = 0, len(self.train)
-        while lo < n:
-            hi = int(np.searchsorted(self.offsets, self.offsets[lo] + SLICE_BYTES, "right")) - 1
-            hi = min(max(hi, lo + 1), n)
+        for lo, hi in slices(self.offsets, SLICE_BYTES):
             yield (lo, hi, lowered(self.data[self.offsets[lo]:self.offsets[hi]]),
                    self.offsets[lo:hi + 1] - self.offsets[lo])
-            lo = hi
 
     def distinct(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Words and strings, each with training counts; the end is a word of every document."""
@@ -251,13 +242,9 @@ def byte_pairs(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             data, offsets = string_buffers(batch.column(0))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1
-                hi = min(max(hi, lo + 1), batch.num_rows)
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 strings = contexts(lowered(data[offsets[lo]:offsets[hi]]), offsets[lo:hi + 1], 1)
                 counts += np.bincount(strings.astype(np.int64), minlength=1 << 16)
-                lo = hi
         pair = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(counts[pair])], names=["pair", "n"])
 

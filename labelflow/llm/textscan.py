@@ -9,6 +9,8 @@ as a 2-word one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,6 +53,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII letters lowered."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte array and ``n + 1`` offsets of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -62,16 +69,28 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about ``size`` bytes, in order; a longer one by itself."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(max(int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1, lo + 1), n)
+        yield lo, hi
+        lo = hi
+
+
 class Words:
-    """The words of some documents: byte spans, and the first word of each document."""
+    """The words of some documents: byte spans, and the first word of each
+    document. ``edges`` marks bytes before which a word is cut as well."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, edges: np.ndarray | None = None):
         base = int(offsets[0])
         self.data = data[base:int(offsets[-1])]
         self.doc_start = offsets - base
         inside = (self.data != 32) & ((self.data < 9) | (self.data > 13))
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.doc_start] = True
+        if edges is not None:
+            edge[:-1] |= edges
         before = np.empty(len(self.data) + 1, bool)
         before[0] = False
         before[1:] = inside
