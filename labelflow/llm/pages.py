@@ -30,7 +30,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED_TAGS = frozenset("script style".split())
 BAD_TAGS = frozenset(
-    "nav footer aside form button select option noscript template iframe svg canvas object menu dialog head title "
+    "nav header footer aside form button select option noscript template iframe svg canvas object menu dialog head title "
     "textarea audio video math".split())
 CONTENT_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset(
@@ -92,22 +92,23 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks in page order with their text, link characters and surroundings."""
     blocks: list[Block] = []
     stack: list[tuple[str, bool, int]] = []
-    bad_depth = link_depth = 0
+    bad_depth = header_depth = link_depth = 0
     content = contents = 0
     parts: list[str] = []
     link_parts: list[str] = []
-    heading = False
+    heading = title = False
 
     def flush() -> None:
-        nonlocal heading
+        nonlocal heading, title
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 links = len(" ".join("".join(link_parts).split()))
-                blocks.append(Block(text, links, heading, bad_depth > 0, content))
+                own_title = title and content and bad_depth == header_depth  # an article's title in its own header
+                blocks.append(Block(text, links, heading, bad_depth > 0 and not own_title, content))
         parts.clear()
         link_parts.clear()
-        heading = False
+        heading = title = False
 
     position = 0
     while match := TOKEN.match(page, position):
@@ -145,11 +146,12 @@ def blocks_of(page: str) -> list[Block]:
                     if was_bad or open_name in CONTENT_TAGS:
                         flush()
                     bad_depth -= was_bad
+                    header_depth -= was_bad and open_name == "header"
                     content = was_content
                     if open_name == name:
                         break
             if name in HEADINGS:
-                heading = False
+                heading = title = False
         elif name not in VOID_TAGS and not match["rest"].endswith("/"):
             if name == "p" or name in HEADINGS:  # a paragraph ends where the next begins
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font"):
@@ -157,10 +159,11 @@ def blocks_of(page: str) -> list[Block]:
                     bad_depth -= was_bad
             stack.append((name, marked, content))
             bad_depth += marked
+            header_depth += marked and name == "header"
             if name in CONTENT_TAGS and not bad_depth:
                 contents += 1
                 content = contents
-            heading = name in HEADINGS
+            heading, title = name in HEADINGS, name == "h1"
     flush()
     return blocks
 
@@ -191,18 +194,23 @@ def classify(block: Block, lists: list[frozenset], marked_article: bool) -> str:
 
 
 def settle(blocks: list[Block], labels: list[str], marked_article: bool) -> list[bool]:
-    """Second pass: undecided blocks take the labels of decided neighbours."""
+    """Second pass: undecided blocks take the labels of decided neighbours.
+
+    Blocks that their markup rules out are no part of the text's flow and so
+    no neighbours: an advert between two paragraphs says nothing about them."""
     n = len(labels)
+    decides = [label in ("good", "bad") and not b.bad and (b.content > 0 or not marked_article)
+               for b, label in zip(blocks, labels, strict=True)]
     before, after = [""] * n, [""] * n
     last = ""
     for i in range(n):
         before[i] = last
-        if labels[i] in ("good", "bad") and not (marked_article and not blocks[i].content):
+        if decides[i]:
             last = labels[i]
     last = ""
     for i in reversed(range(n)):
         after[i] = last
-        if labels[i] in ("good", "bad") and not (marked_article and not blocks[i].content):
+        if decides[i]:
             last = labels[i]
     keep = []
     for i, label in enumerate(labels):
@@ -216,7 +224,7 @@ def settle(blocks: list[Block], labels: list[str], marked_article: bool) -> list
         elif blocks[i].heading:
             keep.append(after[i] == "good")
         else:
-            keep.append(around == {"good"} and bool(before[i]) and bool(after[i]))
+            keep.append(around == {"good"})
     return keep
 
 

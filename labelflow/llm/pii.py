@@ -12,7 +12,8 @@ SHA-256 of the key, the kind of value, the round and the other half:
 
 - digits: halves are numbers, added modulo a power of ten;
 - an address of four bytes: halves are 16-bit numbers, added modulo 2**16;
-- a date: the day number in a span of 2**16 days, halves of 8 bits;
+- a date: the day number in a span of 2**16 days, halves of 8 bits, walking the
+  cycle until the new day fits the old one's layout;
 - letters and digits (mail addresses, secrets): each character of a half is
   shifted within its own class, so lengths, separators and classes stay.
 
@@ -43,7 +44,7 @@ PATTERNS = {
     "iban": r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",
     "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w])"
              r"|(?<![\w+])\+(?!1[ (.-])\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?![\w]|[.-]\d)"
-             r"|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])"
+             r"|(?<![\w])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])"
              r"|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
@@ -54,8 +55,8 @@ PATTERNS = {
     "month_date": rf"(?<![\w.])\d{{1,2}} (?:{MONTHS}) \d{{4}}(?![\w])|(?<![\w])(?:{MONTHS}) \d{{1,2}}, \d{{4}}(?![\w])",
 }
 ANY = "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in PATTERNS.values())
-#: A cheap test that a text can hold any of them at all.
-HINT = r"[0-9]|(?i:token|secret|passw|api.?key|access_key|auth)"
+#: A cheap test that a text can hold any of them at all: each has a digit, or is a mail address.
+HINT = "[0-9@]"
 KINDS = ("email", "secret", "iban", "phone", "ssn", "card", "ip", "date")
 IBAN_LENGTHS = "AD24 AT20 BE16 BG22 CH21 CY28 CZ24 DE22 DK18 EE20 ES24 FI18 FR27 GB22 GR27 HR21 HU28 IE22 IS26 IT27 " \
                "LI21 LT20 LU20 LV21 MC27 MT31 NL18 NO15 PL28 PT25 RO24 SE24 SI19 SK24 SM27 TR26"
@@ -250,43 +251,58 @@ def address(value: Column, key: str, back: bool) -> Column:
     return let(parts, four)
 
 
-def other_day(day: Column, key: str, back: bool) -> Column:
-    """Another day of the span; a day outside it stays."""
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    return F.when(number.between(0, DAYS - 1), F.date_add(
-        F.lit(FIRST_DAY).cast("date"), permute_day(number, key, "date", back).cast("int"))).otherwise(day)
-
-
 def date(value: Column, key: str, back: bool) -> Column:
     """A day of the calendar becomes another in the same layout. With slashes the
-    day comes first only if the number cannot be a month; a single digit stays
-    single only where the new number has one; a full month name stays full."""
+    day comes first only if the number cannot be a month. The cycle of the
+    permutation is walked until the day is written with as many digits, and
+    reads in the same order, as the old one; a full month name stays full."""
+    first = F.lit(FIRST_DAY).cast("date")
     number = [F.regexp_extract(value, r"^(\d+)\D(\d+)\D(\d+)$", i).try_cast("int") for i in (1, 2, 3)]
     name = F.regexp_extract(value, "[A-Za-z]+", 0)
     month = F.floor((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(name, 1, 3)) + 2) / 3)
     day = F.regexp_extract(value, r"(?:^|[a-z] )(\d{1,2})[ ,]", 1).try_cast("int")
     year = F.regexp_extract(value, r"\d{4}$", 0).try_cast("int")
 
-    def made(y: Column, m: Column, d: Column) -> Column:
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m.cast("int"), d), "yyyy-MM-dd")
-
-    def shown(old: Column, pattern: str) -> Column:
-        return F.when(old.isNotNull(), F.date_format(other_day(old, key, back), pattern)).otherwise(value)
-
-    day_first = number[0] > 12
     iso, dotted, slashed = (value.rlike(r"^\d{4}-"), value.rlike(r"^\d{1,2}\."), value.rlike(r"^\d{1,2}/"))
-    full = F.length(name) > 3
-    return (
-        F.when(iso, shown(made(number[0], number[1], number[2]), "yyyy-MM-dd"))
-        .when(dotted & value.rlike(r"^\d\d\.\d\d\."), shown(made(number[2], number[1], number[0]), "dd.MM.yyyy"))
-        .when(dotted, shown(made(number[2], number[1], number[0]), "d.M.yyyy"))
-        .when(slashed & day_first, shown(made(number[2], number[1], number[0]), "dd/MM/yyyy"))
-        .when(slashed & value.rlike(r"^\d\d/\d\d/"), shown(made(number[2], number[0], number[1]), "MM/dd/yyyy"))
-        .when(slashed, shown(made(number[2], number[0], number[1]), "M/d/yyyy"))
-        .when(value.rlike(r"^\d") & full, shown(made(year, month, day), "d MMMM yyyy"))
-        .when(value.rlike(r"^\d"), shown(made(year, month, day), "d MMM yyyy"))
-        .when(full, shown(made(year, month, day), "MMMM d, yyyy"))
-        .otherwise(shown(made(year, month, day), "MMM d, yyyy")))
+    named, leading = F.length(name) > 0, value.rlike(r"^\d")
+    day_first = slashed & (number[0] > 12)
+    two, full = value.rlike(r"^\d\d\D\d\d\D"), F.length(name) > 3
+    y = F.when(iso, number[0]).when(named, year).otherwise(number[2])
+    m = F.when(named, month).when(slashed & ~day_first, number[0]).otherwise(number[1])
+    d = F.when(iso, number[2]).when(named, day).when(dotted | day_first, number[0]).otherwise(number[1])
+    numeric = F.when(dotted, F.when(two, "dd.MM.yyyy").otherwise("d.M.yyyy")).when(
+        day_first, F.when(two, "dd/MM/yyyy").otherwise("d/M/yyyy")).when(two, "MM/dd/yyyy").otherwise("M/d/yyyy")
+    words = F.when(full & leading, "d MMMM yyyy").when(leading, "d MMM yyyy").when(full, "MMMM d, yyyy").otherwise(
+        "MMM d, yyyy")
+    pattern = F.when(iso, "yyyy-MM-dd").when(named, words).otherwise(numeric)
+    old = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m.cast("int"), d), "yyyy-MM-dd")
+    plan = F.struct(F.datediff(old, first).alias("n"), pattern.alias("pattern"), day_first.alias("late"),
+                    full.alias("full"))
+
+    def layout(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Za-z]+", "A")
+
+    def renamed(p: Column) -> Column:
+        def text(n: Column) -> Column:
+            return F.call_function("date_format", F.date_add(first, n.cast("int")), p["pattern"])
+
+        def fits(n: Column) -> Column:
+            at = F.date_add(first, n.cast("int"))
+            return ((layout(text(n)) == layout(value)) & (~p["late"] | (F.day(at) > 12))
+                    & (~p["full"] | (F.month(at) != 5)))
+
+        def step(x: Column, _: Column) -> Column:  # the first step always, then until it fits
+            return F.struct(F.when(x["found"], x["n"]).otherwise(permute_day(x["n"], key, "date", back)).alias("n"),
+                            x["found"].alias("found"))
+
+        def walk(x: Column, i: Column) -> Column:
+            return let(step(x, i), lambda z: F.struct(z["n"].alias("n"), fits(z["n"]).alias("found")))
+
+        start = F.struct(p["n"].cast("long").alias("n"), F.lit(False).alias("found"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, walk)
+        return F.when(p["n"].between(0, DAYS - 1) & fits(p["n"]), text(end["n"]))
+
+    return F.coalesce(let(plan, renamed), value)
 
 
 def mail(value: Column, key: str, back: bool) -> Column:

@@ -9,7 +9,7 @@ from .quality import op9_quality
 from .search import TOPK_SQL, op8_topk
 from .sharding import op1_shards
 from .simhash import op7_simhash
-from .substring import op2_substring
+from .substring import SUBSTRING_SQL, op2_substring
 
 QUERIES = {
     "op1_shards": op1_shards,
@@ -25,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_substring": SUBSTRING_SQL,
     "op8_topk": TOPK_SQL,
 }

@@ -225,3 +225,23 @@ def op2_query(docs: DataFrame) -> DataFrame:
 def op2_substring(spark, sf_dir: str) -> DataFrame:
     """Every document without the passages of 35 words that occur elsewhere."""
     return op2_query(read_table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = """
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws
+  from documents
+), windows as (
+  select r, i, array_to_string(ws[i:i + 34], ' ') as w
+  from (select r, ws, unnest(range(1, len(ws) - 33)) as i from docs where len(ws) >= 35)
+), repeated as (
+  select w from windows group by w having count(*) > 1
+), gone as (
+  select r, list(distinct k) as ks
+  from (select r, unnest(range(i, i + 35)) as k from windows semi join repeated using (w)) group by r
+)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ks), 0) as bigint) as n_removed,
+       sha256(array_to_string(case when ks is null then ws else list_filter(ws, lambda x, i: not list_contains(ks, i)) end,
+                              ' ')) as kept_sha256
+from docs left join gone using (r)
+"""
