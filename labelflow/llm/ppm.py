@@ -30,7 +30,8 @@ from .common import block_of, blocks_for, read_table, text_bytes
 from .textscan import Words, lowered, mix, slices, string_buffers
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a block, the unit one Python call holds; larger blocks send fewer strings in all.
+BLOCK_BYTES = 10 << 20
 #: Bytes whose contexts are looked at together.
 SLICE_BYTES = 1 << 19
 #: Key of the token that ends every document.
@@ -84,23 +85,29 @@ class BlockText:
             yield (lo, hi, lowered(self.data[self.offsets[lo]:self.offsets[hi]]),
                    self.offsets[lo:hi + 1] - self.offsets[lo])
 
-    def distinct(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Words and strings, each with training counts; the end is a word of every document."""
-        words = [(END, np.array([self.train.sum()], np.int64))]
-        strings = [(END[:0], np.empty(0, np.int64))]
+    def distinct_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words with training counts; the end is a word of every document."""
+        keys, counts = [END], [np.array([self.train.sum()], np.int64)]
         for lo, hi, data, offsets in self.slices():
-            train = self.train[lo:hi]
             in_slice = Words(data, offsets)
             doc = np.repeat(np.arange(hi - lo), np.diff(in_slice.first))
-            words.append(summed(in_slice.hashes(), train[doc].astype(np.int64)))
+            found = summed(in_slice.hashes(), self.train[lo:hi][doc].astype(np.int64))
+            keys.append(found[0])
+            counts.append(found[1])
+        return summed(np.concatenate(keys), np.concatenate(counts))
+
+    def distinct_strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Strings with training counts."""
+        keys, counts = [], []
+        for lo, hi, data, offsets in self.slices():
             at = contexts(data, offsets, self.order)
-            of_train = np.repeat(train, np.diff(offsets) + 1)
+            of_train = np.repeat(self.train[lo:hi], np.diff(offsets) + 1)
             for part, weight in ((np.sort(at[of_train]), 1), (np.sort(at[~of_train]), 0)):
                 heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else \
                     np.empty(0, np.int64)
-                strings.append((part[heads], weight * np.diff(np.append(heads, len(part)))))
-        return tuple(summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
-                     for found in (words, strings))
+                keys.append(part[heads])
+                counts.append(weight * np.diff(np.append(heads, len(part))))
+        return summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def borders(keys: np.ndarray, kind: int, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,13 +283,15 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     pairs = byte_pairs(docs)
     blocks = docs.withColumn("block", block_of(F.xxhash64(F.col("key").cast("string"), "text"), n_blocks))
 
-    def send(table: pa.Table) -> pa.Table:
-        block = BlockText(table, order)
-        number = table.column("block")[0].as_py()
-        words, strings = block.distinct()
-        rows = sent(number, WORDS, *words, n_ranges) + sent(number, STRINGS, *strings, n_ranges)
-        return by_range(rows, ["kind", "range", "block", "keys", "counts"],
-                        [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+    def send(kind: int):
+        def run(table: pa.Table) -> pa.Table:
+            block = BlockText(table, order)
+            found = block.distinct_words() if kind == WORDS else block.distinct_strings()
+            return by_range(sent(table.column("block")[0].as_py(), kind, *found, n_ranges),
+                            ["kind", "range", "block", "keys", "counts"],
+                            [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+        return blocks.groupBy("block").applyInArrow(run, SENT_SCHEMA)
 
     def string_totals(table: pa.Table) -> pa.Table:
         _, keys, counts = range_totals(table)
@@ -315,7 +324,7 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = BlockText(table, order)
         n = table.num_rows
-        (words, _), (strings, _) = block.distinct()
+        words, strings = block.distinct_words()[0], block.distinct_strings()[0]
         counts = received(replies, WORDS, words, n_ranges, np.int64)
         logs = received(replies, STRINGS, strings, n_ranges, np.float32)
         train_tokens = sum(replies.column("total").to_pylist())
@@ -339,9 +348,8 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
                          pa.array(base), pa.array(scores)],
                         names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    everything = blocks.groupBy("block").applyInArrow(send, SENT_SCHEMA)
-    strings = everything.where(F.col("kind") == STRINGS)
-    words = everything.where(F.col("kind") == WORDS).groupBy("range").applyInArrow(word_replies, REPLY_SCHEMA)
+    words = send(WORDS).groupBy("range").applyInArrow(word_replies, REPLY_SCHEMA)
+    strings = send(STRINGS)
     logs = (strings.groupBy("range").applyInArrow(string_totals, "part int, range int, keys binary, counts binary")
             .groupBy("part").applyInArrow(trie, "part int, range int, logs binary"))
     answers = strings.groupBy("range").cogroup(logs.groupBy("range")).applyInArrow(string_replies, REPLY_SCHEMA)
