@@ -33,9 +33,9 @@ POOL_TOKENS = 4 << 20
 #: Tokens of one step group: so many windows of a tier make a step.
 STEP_TOKENS = 1 << 16
 #: Distinct units whose ids one Python worker remembers before it starts afresh.
-MEMO_SIZE = 1_000_000
+MEMO_SIZE = 1_500_000
 #: Bytes of text scanned at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 Piece = tuple[int, int, int]  # document number in the pool, start, length
 
@@ -73,7 +73,14 @@ class WordEncoder:
         edges = np.zeros(len(data), bool)
         edges[1:] = kind[1:] * kind[:-1] == 2
         units = Words(data, offsets, edges)
-        _, head, inverse = np.unique(units.hashes(), return_index=True, return_inverse=True)
+        hashes = units.hashes()
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        head = order[new]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         raw = data.tobytes()
         spans = zip(units.starts[head].tolist(), units.ends[head].tolist(), strict=True)
         ids = self.look_up([raw[a:b] for a, b in spans])
