@@ -45,14 +45,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of the smallest id stays (a
-    null id is the largest; of rows that repeat the id, one)."""
-    rows = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"], docs["text"],
-                              F.monotonically_increasing_id().alias("_number")), "numbered-documents")
-    groups = simhash.near_duplicates(rows, shingle_words=3, max_bits=2, key="_number")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_number"))
-    keep = (groups.join(rows.select("_number", "doc_id"), "_number").groupBy("component")
-            .agg(first.alias("first")).select(F.col("first._number").alias("_number")))
-    return rows.join(keep, "_number", "left_semi").select("_row.*")
+    null id is the largest; of rows that repeat an id and its text, one)."""
+    first, second = F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit(1), "doc_id")
+    rows = _as_row(docs, "doc_id", "text").withColumns({"_h1": first, "_h2": second})
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_h1", "_h2")
+    groups = simhash.near_duplicates(rows.select(named.alias("_id"), "text"), shingle_words=3, max_bits=2, key="_id")
+    keep = groups.select("component._h1", "component._h2").distinct()
+    return rows.join(keep, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select("_row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
