@@ -36,9 +36,8 @@ REQUIRED_STRICT = ("text", "language", "label")
 REQUIRED_LENIENT = ("text", "label")
 
 # --- Fixed values: patterns.
-# Python ``str.strip()`` whitespace: Unicode White_Space plus U+001C..U+001F.
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-# The same set as characters, built from its definition (``str.isspace``).
+# Python ``str.strip()`` whitespace (Unicode White_Space plus U+001C..U+001F),
+# built from its definition (``str.isspace``).
 STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Word tokens: runs of two or more letters, digits or underscores.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -76,5 +75,4 @@ REPORT_WEIGHTED = "weighted avg"
 PAD_ID = 0  # id of padding in fixed-length encodings
 UNK_ID = 1  # id of a word outside the vocabulary; vocabulary ids start at 2
 SPLIT_BUCKET_HEX_DIGITS = 4  # 16**4 hash buckets per class in the exact split
-MAX_CLASSES = 1000  # guard for driver-side label lists
 FIT_ROWS_PER_PARTITION = 50_000  # training rows per partition of the optimiser's input

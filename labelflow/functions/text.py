@@ -26,7 +26,7 @@ def strip(c) -> Column:
     """Strip leading/trailing Unicode whitespace, as Python ``str.strip``.
 
     ``btrim`` with the whitespace set walks in from both ends only; the
-    equivalent regex (``STRIP_PATTERN``) would probe every inner space."""
+    equivalent regex would probe every inner space."""
     return F.btrim(_c(c), F.lit(STRIP_CHARS))
 
 

@@ -3,7 +3,7 @@
 One loader with flags covers the strict and the lenient behaviour:
 ``require`` (columns), ``drop_blank`` and ``allowed_labels`` + ``strict``.
 All steps are narrow projections/filters; only the strict label check runs
-a job (a distinct over the label column, limited to 20 names).
+a job (a distinct over the label column).
 """
 
 from __future__ import annotations
@@ -52,11 +52,15 @@ def label_except(df: DataFrame, allowed: Iterable[str] = LABELS, col: str = "lab
     return df.select(col).where(~F.col(col).isin(*allowed)).distinct()
 
 
-def check_labels(df: DataFrame, allowed: Iterable[str] = LABELS, col: str = "label", limit: int = 20) -> None:
-    """P5 strict: raise ``ValueError`` listing (up to ``limit``) unknown labels."""
-    bad = [r[0] for r in label_except(df, allowed, col).limit(limit).collect()]
-    if bad:
-        raise ValueError(f"unsupported labels: {sorted(map(str, bad))}")
+def check_labels(df: DataFrame, allowed: Iterable[str] = LABELS, col: str = "label", shown: int = 20) -> None:
+    """P5 strict: raise ``ValueError`` with the number of unknown labels and their
+    names; where there are more than ``shown``, it says how many are left out."""
+    bad = label_except(df, allowed, col)
+    first = [str(r[0]) for r in bad.orderBy(col).limit(shown + 1).collect()]
+    if first:
+        more = bad.count() - shown if len(first) > shown else 0
+        names = f"{first[:shown]} and {more} more" if more else str(first)
+        raise ValueError(f"unsupported labels: {names}")
 
 
 def clean_labelled(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_TABLE_HEADERS, DIGITS, LABELS, SUMMARY_HEADERS
@@ -18,7 +18,8 @@ from .evaluate import is_correct
 
 def with_ordinal(df: DataFrame, order: Sequence[str], col: str = "model") -> DataFrame:
     """1-based position of ``col`` in ``order`` (null when absent)."""
-    return df.withColumn("ordinal", F.array_position(F.array(*[F.lit(x) for x in order]), F.col(col)).cast("int"))
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(col))
+    return df.withColumn("ordinal", F.when(place > 0, place).cast("int"))
 
 
 def results_summary(metrics: DataFrame, order: Sequence[str],
@@ -31,7 +32,8 @@ def results_summary(metrics: DataFrame, order: Sequence[str],
 def best_model(metrics: DataFrame, order: Sequence[str] | None = None, digits: int | None = DIGITS,
                metric: str = "f1_weighted") -> DataFrame:
     """The model with the highest (rounded) metric; the first listed wins a
-    tie; null and NaN are skipped. One global aggregate (``max_by``), no sort."""
+    tie; null and NaN metrics and models that are not listed (null ordinal) are
+    skipped. One global aggregate (``max_by``), no sort."""
     if "ordinal" in metrics.columns:
         df = metrics
     elif order:
@@ -40,7 +42,7 @@ def best_model(metrics: DataFrame, order: Sequence[str] | None = None, digits: i
         raise ValueError("best_model needs an 'ordinal' column or an 'order' list (the tie-break)")
     m = F.col(metric)
     score = F.round(m, digits) if digits is not None else m
-    valid = df.where(m.isNotNull() & ~F.isnan(m))
+    valid = df.where(m.isNotNull() & ~F.isnan(m) & F.col("ordinal").isNotNull())
     best = valid.agg(
         F.max_by(F.struct(F.col("model"), F.col("ordinal"), m.alias(metric)),
                  F.struct(score, -F.col("ordinal"))).alias("b")
@@ -49,9 +51,8 @@ def best_model(metrics: DataFrame, order: Sequence[str] | None = None, digits: i
 
 
 def best_model_rows(df: DataFrame, best: DataFrame, key: str = "model") -> DataFrame:
-    """Rows of the best model. ``best`` has exactly one row, so the
-    broadcast is bounded."""
-    return df.join(F.broadcast(best.select(key)), key, "left_semi")
+    """Rows of the best model (Spark picks the join by the measured sizes)."""
+    return df.join(best.select(key), key, "left_semi")
 
 
 def class_rows(report: DataFrame, labels: Sequence[str] = LABELS,
@@ -82,13 +83,12 @@ def verification_sample(pred: DataFrame, n: int = 5, order_col: str = "row_id",
                         label_col: str = "label", pred_col: str = "predicted_label") -> DataFrame:
     """V1: first ``n`` right, then first ``n`` wrong predictions, tagged.
 
-    Two distributed top-k's (each partition keeps its own n first) instead of
-    one window over the flag, which would send half of all rows to one task.
-    """
+    One pass: the rank limit is applied in every partition before the
+    shuffle, so a task gets at most ``n`` rows of each kind from each."""
     flagged = is_correct(pred, label_col, pred_col)
-    right = head_n(flagged.where(F.col("is_correct")), n, order_col).withColumn("example_type", F.lit("correct"))
-    wrong = head_n(flagged.where(~F.col("is_correct")), n, order_col).withColumn("example_type", F.lit("incorrect"))
-    return right.unionByName(wrong)
+    place = F.row_number().over(Window.partitionBy("is_correct").orderBy(order_col))
+    tag = F.when(F.col("is_correct"), F.lit("correct")).otherwise(F.lit("incorrect"))
+    return flagged.withColumn("_place", place).where(F.col("_place") <= n).drop("_place").withColumn("example_type", tag)
 
 
 def frame_model_metric(metrics: DataFrame, metrics_cols: Sequence[str] = ("accuracy", "f1_weighted")) -> DataFrame:

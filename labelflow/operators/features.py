@@ -3,21 +3,21 @@
 Term counting happens inside each row (sort the row's terms, run-length
 count), so building the (row, term, tf) table needs no shuffle. The only
 corpus-wide step is the vocabulary aggregate ``groupBy(term)`` -- partial
-aggregation first, then a distributed top-k -- whose result is at most
-``max_features`` rows: that bound is what makes broadcasting it safe.
-
-Two forms of the transform:
-* long ``(row_id, term, weight)`` for reports and checks (``tfidf_long``);
-* ML vectors for fitting/scoring (``tfidf_stages``): a persistable
-  ``SQLTransformer`` (tokens + bigrams) -> ``CountVectorizerModel`` (the
-  fitted vocabulary, broadcast by Spark) -> ``ElementwiseProduct`` (idf) ->
-  ``Normalizer`` (L2). All stages are per-row: scoring never shuffles.
+aggregation first, then a distributed top-k -- whose result, the model, is at
+most ``max_features`` rows.
+
+The transform is the persistable ML stages (``tfidf_stages``): a
+``SQLTransformer`` (tokens + bigrams) -> ``CountVectorizerModel`` (the fitted
+vocabulary) -> ``ElementwiseProduct`` (idf) -> ``Normalizer`` (L2). All stages
+are per-row: scoring never shuffles. The long ``(row_id, term, weight)`` table
+for reports is the same vectors, exploded.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
@@ -71,28 +71,16 @@ def idf_table(vocab: DataFrame, n_docs) -> DataFrame:
     return vocab.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
 
-def tfidf_long(counts: DataFrame, idf: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """M4 + F10: ``(id, term, weight)``, L2-normalised per row; unknown terms dropped.
-
-    ``idf`` has at most ``max_features`` rows (bounded broadcast). The norm
-    is a window per row id (its terms only; rows of one text are bounded by
-    the text's length, so no hot key).
-    """
-    w = counts.join(F.broadcast(idf.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", "tf", "idf", F.coalesce(F.try_divide(F.col("w"), norm), F.lit(0.0)).alias("weight"))
-
-
-def tfidf_of_texts(df: DataFrame, idf: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """M4 + F10 from texts: ``(id, term, tf, idf, weight)``.
-
-    The texts are hash-partitioned by id first. Counting terms inside each
-    row keeps that partitioning, the broadcast join keeps it, and so the
-    per-row norm window needs no exchange of its own: the one shuffle moves
-    the texts, about a tenth of the exploded (id, term, weight) rows.
-    """
-    clustered = df.select(id_col, text_col).repartition(id_col)
-    return tfidf_long(term_counts(clustered, id_col, text_col), idf, id_col)
+def tfidf_of_texts(df: DataFrame, fit: TfidfFit, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """M4 + F10 from texts: ``(id, term, weight)``, L2-normalised per row, unknown
+    terms dropped. The fitted stages run inside each row and the vector's
+    entries are exploded beside their terms: no shuffle, no join."""
+    vectors = PipelineModel(tfidf_stages(fit, text_col)).transform(df.select(id_col, text_col))
+    sparse = F.unwrap_udt("features")
+    entries = F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("w"))
+    names = F.array(*[F.lit(t) for t in fit.vocabulary]) if fit.vocabulary else F.array().cast("array<string>")
+    rows = vectors.select(id_col, F.inline(entries).alias("i", "weight"))
+    return rows.select(id_col, F.get(names, F.col("i")).alias("term"), "weight")
 
 
 @dataclass
@@ -132,29 +120,42 @@ def tfidf_stages(fit: TfidfFit, text_col: str = "text", features_col: str = "fea
     ]
 
 
-def word_vocabulary(df: DataFrame, k: int = MAX_FEATURES, id_col: str = "row_id",
+def word_vocabulary(df: DataFrame, k: int | None = None, id_col: str = "row_id",
                     text_col: str = "text") -> DataFrame:
-    """Unigram vocabulary for encodings: ``(term, id)``, ids from 2 by rank."""
+    """Unigram vocabulary for encodings: ``(term, id)``, ids from 2 by falling
+    frequency, then term; all words unless a size ``k`` is asked for.
+
+    Ids come from prefix sums over the counts of (frequency, first characters),
+    so words are only sorted within such a group, never all in one task."""
     toks = df.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term"))
-    counts = toks.groupBy("term").agg(F.count(F.lit(1)).alias("tf_total"))
-    top = counts.orderBy(F.desc("tf_total"), F.asc("term")).limit(k)
-    rank = F.row_number().over(Window.orderBy(F.desc("tf_total"), F.asc("term")))
-    return top.select("term", (rank + F.lit(UNK_ID)).cast("int").alias("id"))
+    counts = toks.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 3))
+    groups = counts.groupBy("n", "head").agg(F.count(F.lit(1)).alias("words"))
+    levels = groups.groupBy("n").agg(F.sum("words").alias("words"))
+    # one row per distinct frequency: a few thousand at most for any text (they grow as the root of the text's length)
+    above = levels.select("n", (F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")).alias("above"))
+    before = groups.select("n", "head", (F.sum("words").over(Window.partitionBy("n").orderBy("head"))
+                                         - F.col("words")).alias("before"))
+    start = before.join(above, "n").select("n", "head", (F.col("above") + F.col("before")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("n", "head").orderBy("term"))
+    ranked = counts.withColumn("r", rank).join(start, ["n", "head"]).select(
+        "term", (F.col("start") + F.col("r") + UNK_ID).cast("int").alias("id"))
+    return ranked.where(F.col("id") <= k + UNK_ID) if k else ranked
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_length, id_col: str = "row_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", validate: bool = True) -> DataFrame:
     """ids cut to ``max_length``, right-padded with PAD_ID; mask 1/0.
 
     Only the first ``max_length`` tokens are exploded (bounded per text),
-    looked up in the bounded vocabulary (broadcast; a miss is UNK_ID), and
-    regrouped; ``collect_list`` aggregates map-side, so each text crosses
-    the shuffle as one row.
+    looked up in the vocabulary (a miss is UNK_ID; Spark broadcasts it only if
+    its measured size allows), and regrouped by id; ids must be unique.
     """
+    if validate and (twice := df.groupBy(id_col).count().where("count > 1").limit(1).collect()):
+        raise ValueError(f"duplicate ids, e.g. {twice[0].asDict()}")
     ml = F.lit(max_length) if isinstance(max_length, int) else max_length
     cut = df.select(id_col, F.slice(word_tokens(F.col(text_col)), 1, ml).alias("_t"))
     exploded = cut.select(id_col, F.posexplode_outer("_t").alias("pos", "term"))
-    looked = exploded.join(F.broadcast(vocab.select("term", "id")), "term", "left")
+    looked = exploded.join(vocab.select("term", "id"), "term", "left")
     tok = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     grouped = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(tok)).alias("_p"))
     ids = F.transform(F.col("_p"), lambda s: s["id"])

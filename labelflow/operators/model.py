@@ -19,11 +19,14 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FIT_ROWS_PER_PARTITION, INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER, TOL
-from ..session import materialize
+from ..session import store
+from . import evaluate
+from .clean import clean_labelled, label_encode
 from .features import TfidfFit, fit_tfidf, tfidf_stages
 
 
@@ -31,18 +34,22 @@ def training_features(train: DataFrame, fit: TfidfFit, text_col: str = "text",
                       label_id_col: str = "label_id") -> DataFrame:
     """``(features, _y)`` of the labelled training rows, sized for the optimiser.
 
-    Every optimiser iteration is one job over the cached training blocks:
-    partitions are sized by rows (known from the TF-IDF fit) so a small
-    training set does not pay per-task overhead hundreds of times, while a
-    large one keeps all its parallelism (target >= current -> no change).
+    Every optimiser iteration is one job over the cached training blocks. A
+    training set of few rows (known from the TF-IDF fit) is gathered into
+    fewer partitions, so it does not pay per-task overhead hundreds of times;
+    a large one keeps its own.
     """
     feats = PipelineModel(tfidf_stages(fit, text_col=text_col)).transform(
-        train.where(F.col(label_id_col).isNotNull()).withColumn("_y", F.col(label_id_col).cast("double"))
+        labelled_rows(train, label_id_col).withColumn("_y", F.col(label_id_col).cast("double"))
     ).select("features", "_y")
     target = max(1, math.ceil(fit.n_docs / FIT_ROWS_PER_PARTITION))
-    if feats.rdd.getNumPartitions() > target:
-        feats = feats.repartition(target)
-    return feats
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return feats.repartition(target) if target < cores else feats
+
+
+def labelled_rows(train: DataFrame, label_id_col: str = "label_id") -> DataFrame:
+    """The rows that a fit counts: those with a known label."""
+    return train.where(F.col(label_id_col).isNotNull())
 
 
 def fit_logistic(feats: DataFrame, n_docs: int, max_iter: int = MAX_ITER, inverse_reg: float = INVERSE_REG,
@@ -81,15 +88,41 @@ def fit_classifier(
 ) -> PipelineModel:
     """M3 + M5: fit TF-IDF (unless a fitted ``tfidf`` is given) and the
     classifier on ``train``."""
-    fit = tfidf or fit_tfidf(train, text_col=text_col, max_features=max_features)
+    fit = tfidf or fit_tfidf(labelled_rows(train, label_id_col), text_col=text_col, max_features=max_features)
     feats = training_features(train, fit, text_col, label_id_col)
     return assemble(fit, fit_logistic(feats, fit.n_docs, max_iter, inverse_reg, tol), labels, text_col)
 
 
+def largest_gradient(model: PipelineModel, train: DataFrame, label_id_col: str = "label_id",
+                     inverse_reg: float = INVERSE_REG) -> DataFrame:
+    """``gradient``: the largest entry of the penalised loss's gradient at the fitted
+    weights, over the training rows; near zero where the fit has converged.
+
+    One pass: each row's non-zero entries times its class errors, summed per
+    (feature, class) map-side; the weights join that table of at most
+    features x classes rows."""
+    spark = train.sparkSession
+    lr = next(st for st in model.stages if hasattr(st, "coefficientMatrix"))
+    rows = labelled_rows(train, label_id_col)
+    n = rows.count()
+    scored = model.transform(rows).select(
+        F.unwrap_udt("features").alias("f"), vector_to_array("probability").alias("p"), F.col(label_id_col).alias("y"))
+    errors = F.transform("p", lambda p, i: p - F.when(i == F.col("y"), 1.0).otherwise(0.0))
+    # feature -1 is the intercept's
+    entries = F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.lit(1.0).alias("x"))),
+                       F.zip_with(F.col("f.indices"), F.col("f.values"), lambda j, x: F.struct(j.alias("j"), x.alias("x"))))
+    sums = (scored.select(errors.alias("e"), F.inline(entries)).select("j", F.posexplode("e").alias("k", "e"), "x")
+            .groupBy("j", "k").agg((F.sum(F.col("e") * F.col("x")) / n).alias("g")))
+    weights = lr.coefficientMatrix.toArray()
+    flat = [(int(j), int(k), float(w)) for k, row in enumerate(weights) for j, w in enumerate(row) if w]
+    table = spark.createDataFrame(flat or [(-2, 0, 0.0)], "j int, k int, w double")
+    both = sums.join(table, ["j", "k"], "full")
+    penalty = F.coalesce("w", F.lit(0.0)) / (inverse_reg * max(n, 1))
+    return both.agg(F.max(F.abs(F.coalesce("g", F.lit(0.0)) + penalty)).alias("gradient"))
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """M6: the input rows with ``predicted_label`` and ``probabilities`` (array)."""
-    from pyspark.ml.functions import vector_to_array
-
     keep = list(keep) if keep is not None else list(df.columns)
     out = model.transform(df)
     return out.select(*keep, "predicted_label", vector_to_array("probability").alias("probabilities"))
@@ -104,24 +137,55 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def run_experiment(name: str, train: DataFrame, evaluate_on: DataFrame, **params) -> DataFrame:
-    """M8: fit with ``params`` on ``train``; predictions on ``evaluate_on``
-    tagged with ``model = name`` (all runs share one model-keyed table)."""
-    model = fit_classifier(train, **params)
-    return predict(model, evaluate_on).withColumn("model", F.lit(name))
+RESULTS = ("metrics", "report", "confusion", "predictions")
+
+
+def results_of(pred: DataFrame, labels: Sequence[str] = LABELS) -> dict[str, DataFrame]:
+    """The four results of runs in one model-keyed prediction table: rounded
+    metrics, report, confusion counts, and the predictions themselves. The
+    first three share one pass over the predictions."""
+    counts = evaluate.pair_counts(pred)
+    return {"metrics": evaluate.record_of_counts(counts, list(labels)),
+            "report": evaluate.report_of_counts(counts, labels),
+            "confusion": evaluate.confusion_from_counts(counts, labels), "predictions": pred}
+
+
+def write_results(results: dict[str, DataFrame], path: str) -> None:
+    """Each result as a table of its own below ``path``."""
+    for name, frame in results.items():
+        frame.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def run_experiment(name: str, train: DataFrame, evaluate_on: DataFrame, clean: bool = True,
+                   labels: Sequence[str] = LABELS, **params) -> dict[str, DataFrame]:
+    """Clean both parts, fit with ``params`` on ``train``, and return the
+    four results on ``evaluate_on`` tagged with ``model = name``."""
+    if clean:
+        train, evaluate_on = (label_encode(clean_labelled(x, require=("text", "label"), allowed_labels=labels), labels)
+                              for x in (train, evaluate_on))
+    model = fit_classifier(train, labels, **params)
+    keep = [c for c in evaluate_on.columns if c != "text"]
+    pred = predict(model, evaluate_on, keep).withColumn("model", F.lit(name))
+    return results_of(store(pred, "predictions"), labels)
 
 
 def sweep(train: DataFrame, evaluate_on: DataFrame, grid: Sequence[tuple[str, dict]],
           labels: Sequence[str] = LABELS) -> DataFrame:
     """M8 over a grid of classifier parameters (``max_iter``, ``inverse_reg``,
-    ``tol``). TF-IDF is fitted once and the training features are
-    checkpointed once; every run fits only the classifier. Predictions of
-    all runs form one model-keyed table, evaluated by a single job."""
-    fit = fit_tfidf(train)
-    feats = materialize(training_features(train, fit), spread_input=False)
-    out = None
-    for name, params in grid:
-        model = assemble(fit, fit_logistic(feats, fit.n_docs, **params), labels)
-        p = predict(model, evaluate_on).withColumn("model", F.lit(name))
-        out = p if out is None else out.unionByName(p)
-    return out
+    ``tol``). TF-IDF is fitted once, the training features are stored once,
+    and the evaluation text is transformed once: all classifiers score the
+    same feature column, and their predictions leave the row as one array.
+    The result is one model-keyed table, evaluated by a single job."""
+    fit = fit_tfidf(labelled_rows(train))
+    feats = store(training_features(train, fit), "training-features")
+    scored = PipelineModel(tfidf_stages(fit)).transform(evaluate_on)
+    found = []
+    for i, (name, params) in enumerate(grid):
+        lr = fit_logistic(feats, fit.n_docs, **params)
+        own = f"_{i}"
+        lr.setPredictionCol(f"{own}p").setProbabilityCol(f"{own}q").setRawPredictionCol(f"{own}r")
+        scored = lr.transform(scored)
+        names = F.array(*[F.lit(x) for x in labels])
+        found.append(F.struct(F.lit(name).alias("model"), F.get(names, F.col(f"{own}p").cast("int")).alias("predicted_label"),
+                              vector_to_array(f"{own}q").alias("probabilities")))
+    return scored.select(*evaluate_on.columns, F.inline(F.array(*found)))

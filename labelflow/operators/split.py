@@ -7,13 +7,13 @@ Rows are ranked within their class by ``md5("<seed>-<row_id>")`` then
 ``row_id``: a deterministic order, so a lost task recomputes the same split.
 
 Scale: a plain ``row_number().over(partitionBy(label))`` would put a whole
-class -- possibly a third of all rows -- into one task. Instead rows are
-hashed into up to 16**4 buckets per class; bucket sizes are counted
-(partial aggregation), prefix sums over that small table give each bucket
-its rank range, and a bucket whose whole range falls in one part is
-assigned without any sort. Only the (at most two per class and cut)
-buckets that straddle a quota boundary are ranked with a window, so the
-shuffle carries ~2/B of the rows instead of all of them.
+class -- possibly a third of all rows -- into one task, with its text. Instead
+the part borders are found from ids alone: rows are counted in 16**4 hash
+buckets per class (partial aggregation), prefix sums tell the one bucket per
+class and cut that holds the border, and only the ids of those buckets are
+ranked. The border is the (hash, row_id) of the last row of a part: at most
+two small rows per class. One narrow pass over the input then compares each
+row with its class's borders; the text is neither shuffled nor sorted.
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MAX_CLASSES, RANDOM_STATE, SPLIT_BUCKET_HEX_DIGITS, TEST_SIZE, VAL_TEST_SIZE
-from ..session import materialize
-
-_BUCKET_TABLE_ROWS = 1 << 18  # broadcast bound for the (class, bucket) table
+from ..constants import RANDOM_STATE, SPLIT_BUCKET_HEX_DIGITS, TEST_SIZE, VAL_TEST_SIZE
+from ..session import materialize, store
 
 
 def approximate_mode(counts: Mapping[str, int], n_draws: int) -> dict[str, int]:
@@ -77,71 +75,62 @@ def _hash_key(seed: int, id_col: str):
     return F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def _hex_digits(n_classes: int) -> int:
-    d = SPLIT_BUCKET_HEX_DIGITS
-    while d > 1 and n_classes * 16**d > _BUCKET_TABLE_ROWS:
-        d -= 1
-    return d
+def _bucket(h):
+    return F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX_DIGITS), 16, 10).cast("int")
 
 
-def _bucket_counts(df: DataFrame, label_col: str, id_col: str, seed: int, digits: int) -> DataFrame:
-    bucket = F.conv(F.substring(_hash_key(seed, id_col), 1, digits), 16, 10).cast("int")
-    return df.select(label_col, bucket.alias("_b")).groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+def _bucket_counts(df: DataFrame, label_col: str, id_col: str, seed: int) -> DataFrame:
+    return df.select(label_col, _bucket(_hash_key(seed, id_col)).alias("_b")).groupBy(label_col, "_b").agg(
+        F.count(F.lit(1)).alias("_n"))
 
 
 def class_counts_of(bucket_counts: DataFrame, label_col: str) -> dict[str, int]:
-    rows = (
-        bucket_counts.groupBy(label_col).agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
-    )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    """Rows per class: one row per class comes to the driver."""
+    rows = bucket_counts.groupBy(label_col).agg(F.sum("_n").alias("n")).collect()
     if any(r[0] is None for r in rows):
         raise ValueError("null labels cannot be stratified; clean the input first")
     return {r[0]: int(r[1]) for r in rows}
 
 
-def assign_parts(
-    df: DataFrame,
-    quotas: Mapping[str, Sequence[int]],
-    parts: Sequence[str],
-    bucket_counts: DataFrame,
-    digits: int,
-    seed: int = RANDOM_STATE,
-    label_col: str = "label",
-    id_col: str = "row_id",
-    out_col: str = "split",
-) -> DataFrame:
-    """Give each row the part its within-class rank falls in."""
-    cut_map = F.create_map(
-        *[x for lab, q in quotas.items()
-          for x in (F.lit(lab), F.array(*[F.lit(int(c)) for c in _cumulative(q)[:-1]]))]
-    )
-
-    def part_of(rank):
-        return F.size(F.filter(cut_map[F.col(label_col)], lambda c: c < rank))
-
-    w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = bucket_counts.withColumn("_hi", F.sum("_n").over(w)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    bucket_table = ranges.select(
-        label_col,
-        "_b",
-        "_lo",
-        F.when(part_of(F.col("_lo") + 1) == part_of(F.col("_hi")), part_of(F.col("_hi"))).alias("_part"),
-    )
-    # Bounded broadcast: at most (#classes x 16**digits) rows, checked in _hex_digits.
-    keyed = df.withColumn("_h", _hash_key(seed, id_col)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int")
-    )
-    joined = keyed.join(F.broadcast(bucket_table), [label_col, "_b"])
-    whole = joined.where(F.col("_part").isNotNull())
-    rank = F.col("_lo") + F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", id_col))
-    straddling = joined.where(F.col("_part").isNull()).withColumn("_part", part_of(rank))
+def part_borders(df: DataFrame, quotas: Mapping[str, Sequence[int]], bucket_counts: DataFrame, seed: int,
+                 label_col: str, id_col: str) -> DataFrame:
+    """``(label, borders)``: for each class the (hash, id) of the last row of
+    every part but the last, in order; a part without rows has the border of
+    the one before it (or an empty hash). At most two borders per class."""
+    spark = df.sparkSession
+    types = f"_l {df.schema[label_col].dataType.simpleString()}, _cut int, _rank long"
+    cuts = spark.createDataFrame(
+        [(lab, i, c) for lab, q in quotas.items() for i, c in enumerate(_cumulative(q)[:-1])], types)
+    upto = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = bucket_counts.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    held = ranges.join(cuts, (F.col(label_col) == F.col("_l")) & (F.col("_rank") > F.col("_lo"))
+                       & (F.col("_rank") <= F.col("_hi"))).select(label_col, "_b", "_lo", "_cut", "_rank")
+    ids = df.select(label_col, F.col(id_col).alias("_id"), _hash_key(seed, id_col).alias("_h"))
+    inside = ids.withColumn("_b", _bucket(F.col("_h"))).join(
+        held.groupBy(label_col, "_b", "_lo").agg(F.collect_list(F.struct("_cut", "_rank")).alias("_cuts")),
+        [label_col, "_b"])
+    place = F.col("_lo") + F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", "_id"))
+    last = inside.withColumn("_place", place).select(
+        label_col, "_h", "_id", "_place", F.explode("_cuts").alias("_c")).where("_place = _c._rank")
+    found = last.groupBy(label_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_c._cut").alias("cut"), "_h", "_id"))).alias("borders"))
+    return cuts.select(F.col("_l").alias(label_col)).distinct().join(found, label_col, "left")
+
+
+def assign_parts(df: DataFrame, borders: DataFrame, parts: Sequence[str], seed: int = RANDOM_STATE,
+                 label_col: str = "label", id_col: str = "row_id", out_col: str = "split") -> DataFrame:
+    """Give each row the part it falls in: the number of its class's borders
+    that it lies behind. Cuts without a border (empty parts at the start) are
+    behind every row."""
+    n_cuts = len(parts) - 1
+    here = F.struct(_hash_key(seed, id_col).alias("_h"), F.col(id_col).alias("_id"))
+    borders = borders.withColumnRenamed("borders", "_borders")
+    joined = df.join(borders, label_col, "left")
+    marks = F.coalesce(F.col("_borders"), F.array().cast(borders.schema["_borders"].dataType))
+    missing = F.lit(n_cuts) - F.size(marks)
+    ahead = F.size(F.filter(marks, lambda m: F.struct(m["_h"].alias("_h"), m["_id"].alias("_id")) < here))
     names = F.array(*[F.lit(p) for p in parts])
-    return (
-        whole.unionByName(straddling)
-        .withColumn(out_col, F.element_at(names, F.col("_part") + 1))
-        .drop("_h", "_b", "_lo", "_part")
-    )
+    return joined.withColumn(out_col, F.element_at(names, missing + ahead + 1)).drop("_borders")
 
 
 def _cumulative(q: Sequence[int]) -> list[int]:
@@ -167,19 +156,13 @@ def split_70_15_15(df: DataFrame, seed: int = RANDOM_STATE, label_col: str = "la
 
 
 def _split(df, test_size, second, seed, label_col, id_col, parts):
-    # One count pass over (label, bucket) only -- the scan reads two columns.
-    # The small table is checkpointed: it feeds both the driver-side quota
-    # computation (K rows) and the broadcast bucket ranges.
-    fine = materialize(_bucket_counts(df, label_col, id_col, seed, SPLIT_BUCKET_HEX_DIGITS), spread_input=False)
-    counts = class_counts_of(fine, label_col)
-    digits = _hex_digits(len(counts))
-    bucket_counts = fine
-    if digits < SPLIT_BUCKET_HEX_DIGITS:
-        shift = 16 ** (SPLIT_BUCKET_HEX_DIGITS - digits)
-        bucket_counts = fine.groupBy(label_col, (F.col("_b") / shift).cast("int").alias("_b")).agg(
-            F.sum("_n").alias("_n"))
-    quotas = split_quotas(counts, test_size, second)
-    return assign_parts(df, quotas, parts, bucket_counts, digits, seed, label_col, id_col)
+    # The counts feed the quotas (a row per class on the driver) and the borders.
+    counts = materialize(_bucket_counts(df, label_col, id_col, seed))
+    quotas = split_quotas(class_counts_of(counts, label_col), test_size, second)
+    if not quotas:
+        return df.withColumn("split", F.lit(parts[0]))
+    borders = store(part_borders(df, quotas, counts, seed, label_col, id_col).coalesce(1), "part-borders")
+    return assign_parts(df, borders, parts, seed, label_col, id_col)
 
 
 def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -199,4 +182,4 @@ def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
 
 def train_val_union(df: DataFrame, split_col: str = "split") -> DataFrame:
     """Train and val rows together, duplicates kept."""
-    return df.where(F.col(split_col) == "train").unionByName(df.where(F.col(split_col) == "val"))
+    return df.where(F.col(split_col).isin("train", "val"))

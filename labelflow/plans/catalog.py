@@ -17,11 +17,14 @@ from ..constants import LABELS, MAX_FEATURES, MAX_LENGTH
 from ..functions.text import na_to_null
 from ..operators import clean, compare, evaluate, features, split
 from ..operators.scoring import blank_guard as _blank_guard
-from ..operators.scoring import score_logits
-from ..session import materialize, scratch_path
-from ..sinks import write_split_table
+from ..operators.scoring import linear_score
+from ..session import scratch_path, store
+from ..sinks import write_keyed_csv, write_metrics_json, write_split_table, write_table_csv
+from ..sources.labelled import read_labelled_csv
 from ..sources.labelled import read_split as _read_split
-from .base import RULE_MODELS, labelled, raw_labelled, rule_label, rule_predictions, table
+from ..sources.records import read_keyed_csv, read_metrics, read_run_history
+from .base import (CANDIDATES, RULE_MODELS, labelled, linear_weights, raw_labelled, rule_label, rule_predictions, table,
+                   with_unknown_truth)
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIGS = (("length rule", "m_len"), ("modulo rule", "m_mod"), ("constant", "m_const"))
@@ -91,6 +94,52 @@ def q_read_split(spark, d):
     return _read_split(spark, path, "val").select("row_id", "label", "split")
 
 
+def q_csv_round_trip(spark, d):
+    """Dirty rows written as CSV (quotes, commas, line breaks, NA tokens) and read back."""
+    path = scratch_path(spark, "labelled-csv")
+    write_table_csv(raw_labelled(spark, d).select("row_id", "language", "text", "label"), path)
+    back = read_labelled_csv(spark, [path], required=("text", "language", "label"), multi_line=True)
+    return back.select(F.col("row_id").cast("long").alias("row_id"), "language", "text", "label")
+
+
+def q_keyed_report_csv(spark, d):
+    """One model's report as a keyed CSV, read back."""
+    path = scratch_path(spark, "report-csv")
+    report = evaluate.classification_report(_preds(spark, d)).where(F.col("model") == RULE_MODELS[0])
+    write_keyed_csv(report.select("row_name", "row_idx", "precision", "recall", "f1_score", "support"), path)
+    back = read_keyed_csv(spark, path)
+    return back.select("row_name", *[r6(F.col(c).cast("double")).alias(c)
+                                     for c in ("precision", "recall", "f1_score", "support")])
+
+
+def q_metrics_gather(spark, d):
+    """Each model's metrics in a folder of its own, gathered in list order."""
+    root = scratch_path(spark, "metrics")
+    metrics = store(_metrics(spark, d), "metrics-table")
+    paths = [f"{root}/{m}/metrics.json" for m in RULE_MODELS]
+    for model, path in zip(RULE_MODELS, paths, strict=True):
+        write_metrics_json(metrics.where(F.col("model") == model), path)
+    return read_metrics(spark, paths, pretty=False).drop("source_file")
+
+
+def q_run_history_best_step(spark, d):
+    """Events as the run history of their users: two checkpoints a run, the later one repeating the steps."""
+    path = scratch_path(spark, "history")
+    events = table(spark, d, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.round("value", 3).alias("f1"))
+    steps = events.select("run", F.explode(F.array(F.lit(1), F.lit(2))).alias("checkpoint"), "step", "f1").where(
+        (F.col("checkpoint") == 2) | (F.col("step") % 2 == 0))
+    entry = F.struct((F.col("step") / 10.0).alias("epoch"), "step", F.lit(0.5).alias("eval_loss"),
+                     F.col("f1").alias("eval_f1_weighted"))
+    history = steps.groupBy("run", "checkpoint").agg(
+        F.max("f1").alias("best_metric"), F.max_by("step", F.struct("f1", -F.col("step"))).alias("best_global_step"),
+        F.collect_list(entry).alias("log_history"))
+    history.write.partitionBy("run", "checkpoint").json(path)
+    best = compare.best_step(read_run_history(spark, [f"{path}/*/*/*.json"]))
+    return best.select(F.regexp_extract("run", "run=(.*)", 1).cast("long").alias("run"), "best_step",
+                       r6("best_metric").alias("best_metric"))
+
+
 def q_json_field(spark, d):
     ev = table(spark, d, "events")
     return ev.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
@@ -131,7 +180,7 @@ def q_train_val_union(spark, d):
 
 # ---------------------------------------------------------------- evaluate
 def _preds(spark, d):
-    return rule_predictions(labelled(spark, d, with_n_chars=True))
+    return with_unknown_truth(rule_predictions(labelled(spark, d, with_n_chars=True)))
 
 
 def _metrics(spark, d):
@@ -202,7 +251,7 @@ def q_metrics_record(spark, d):
 
 def q_metrics_by_split(spark, d):
     # score the split table itself: each row carries its part, no join back
-    preds = rule_predictions(_split70(spark, d, with_n_chars=True))
+    preds = with_unknown_truth(rule_predictions(_split70(spark, d, with_n_chars=True)))
     return evaluate.metrics_record(preds, keys=("model", "split"))
 
 
@@ -213,11 +262,11 @@ def q_round4(spark, d):
 
 # ---------------------------------------------------------------- compare
 def _best(spark, d):
-    return compare.best_model(compare.with_ordinal(_metrics(spark, d), RULE_MODELS))
+    return compare.best_model(_metrics(spark, d), CANDIDATES)
 
 
 def q_results_summary(spark, d):
-    return compare.results_summary(_metrics(spark, d), RULE_MODELS)
+    return compare.results_summary(_metrics(spark, d), CANDIDATES)
 
 
 def q_best_model(spark, d):
@@ -279,7 +328,7 @@ def q_term_counts(spark, d):
 
 
 def _train_test(spark, d):
-    s = materialize(_split70(spark, d).select("row_id", "text", "label", "split"))
+    s = store(_split70(spark, d).select("row_id", "text", "label", "split"), "splits", partition_by="split")
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
 
 
@@ -300,23 +349,22 @@ def q_idf(spark, d):
     return _vocab_idf(train).select("term", "df", r6("idf").alias("idf"))
 
 
-def _weights(texts, idf):
-    return features.tfidf_of_texts(texts, idf).select("row_id", "term", r6("weight").alias("weight"))
+def _weights(fit_on, texts):
+    return features.tfidf_of_texts(texts, features.fit_tfidf(fit_on)).select("row_id", "term", r6("weight").alias("weight"))
 
 
 def q_tfidf(spark, d):
-    lab = materialize(labelled(spark, d))
-    return _weights(lab, _vocab_idf(lab))
+    lab = store(labelled(spark, d).select("row_id", "text"), "labelled")
+    return _weights(lab, lab)
 
 
 def q_tfidf_fit(spark, d):
     train, _ = _train_test(spark, d)
-    return _weights(train, _vocab_idf(train))
+    return _weights(train, train)
 
 
 def q_tfidf_transform(spark, d):
-    train, test = _train_test(spark, d)
-    return _weights(test, _vocab_idf(train))
+    return _weights(*_train_test(spark, d))
 
 
 def _encoded(df):
@@ -338,25 +386,27 @@ def q_encode_longest(spark, d):
 
 
 # ---------------------------------------------------------------- score
-def _logits(spark, d):
-    emb = table(spark, d, "embeddings")
-    logits = F.slice(F.col("embedding"), 1, len(LABELS)).cast("array<double>")
-    return emb.select("vec_id", "label", logits.alias("logits"))
+def _scored(spark, d, digits=None):
+    emb = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("true_class"), "embedding")
+    return linear_score(emb, "embedding", linear_weights(), digits=digits)
 
 
 def q_softmax(spark, d):
-    s = score_logits(_logits(spark, d), "logits")
+    s = _scored(spark, d)
     return s.select("vec_id", *[r6(F.col("probs")[i]).alias(f"p{i}") for i in range(len(LABELS))])
 
 
 def q_argmax_class(spark, d):
-    s = score_logits(_logits(spark, d), "logits")
-    return s.select("vec_id", "class_id", "predicted_label")
+    return _scored(spark, d).select("vec_id", "class_id", "predicted_label")
 
 
 def q_prob_map(spark, d):
-    s = score_logits(_logits(spark, d), "logits", digits=4)
-    return s.select("vec_id", F.explode("probabilities").alias("label", "prob"))
+    return _scored(spark, d, digits=4).select("vec_id", F.explode("probabilities").alias("label", "prob"))
+
+
+def q_linear_score(spark, d):
+    return _scored(spark, d).select("vec_id", "true_class", "predicted_label", r6("margin").alias("margin"),
+                                    r6(F.array_max("probs")).alias("p_max"))
 
 
 def q_blank_guard(spark, d):
@@ -364,12 +414,6 @@ def q_blank_guard(spark, d):
     return _blank_guard(raw, rule_label("m_len")).select("row_id", "predicted_label", "status")
 
 
-def q_linear_score(spark, d):
-    s = score_logits(_logits(spark, d), "logits")
-    return s.select("vec_id", F.col("label").alias("true_class"), "predicted_label",
-                    r6(F.array_max("probs")).alias("p_max"))
-
-
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -11,9 +11,9 @@ bucketed Spark operator must reproduce.
 from __future__ import annotations
 
 from ..constants import LABELS, MAX_FEATURES, MAX_LENGTH, NA_TOKENS
-from .base import IDEOGRAPHIC_SPACE, NBSP, RULE_MODELS
+from .base import CANDIDATES, IDEOGRAPHIC_SPACE, NBSP, RULE_MODELS, UNKNOWN_EVERY
 
-# RE2 twin of constants.STRIP_PATTERN (RE2's \s lacks \v and U+0085).
+# RE2 twin of the strip characters (RE2's \s lacks \v and U+0085).
 _WS = r"[\s\x0b\p{Z}\x{85}\x1c-\x1f]"
 STRIP_RE2 = f"^{_WS}+|{_WS}+$"
 WORD_RE2 = r"[\p{L}\p{N}_]{2,}"
@@ -33,6 +33,8 @@ NA_LIST = ", ".join(_q(x) for x in NA_TOKENS)
 LABEL_IDX = "CASE {c} " + " ".join(f"WHEN {_q(x)} THEN {i}" for i, x in enumerate(LABELS)) + " END"
 MODEL_ORD = "CASE model " + " ".join(f"WHEN {_q(m)} THEN {i + 1}" for i, m in enumerate(RULE_MODELS)) + " END"
 
+CANDIDATE_ORD = "CASE model " + " ".join(f"WHEN {_q(m)} THEN {i + 1}" for i, m in enumerate(CANDIDATES)) + " END"
+
 LAB = """lab AS (
   SELECT d.doc_id AS row_id, d.text, d.lang AS language,
          CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS label,
@@ -59,7 +61,7 @@ cl AS (SELECT row_id, language, {_strip('text')} AS text, lower({_strip('label')
 nb AS (SELECT * FROM cl WHERE text <> ''),
 enc AS (SELECT row_id, text, label, CAST({LABEL_IDX.format(c='label')} AS INTEGER) AS label_id FROM nb)"""
 
-PREDS = f"""R AS (
+PREDS = f"""R0 AS (
   SELECT row_id, text, language, label, 'm_len' AS model,
          CASE WHEN n_chars < 800 THEN 'negative' WHEN n_chars < 2000 THEN 'neutral' ELSE 'positive' END
            AS predicted_label FROM lab
@@ -67,11 +69,12 @@ PREDS = f"""R AS (
   SELECT row_id, text, language, label, 'm_mod' AS model,
          CASE row_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END FROM lab
   UNION ALL
-  SELECT row_id, text, language, label, 'm_const' AS model, 'positive' FROM lab)"""
+  SELECT row_id, text, language, label, 'm_const' AS model, 'positive' FROM lab),
+R AS (SELECT * REPLACE (CASE WHEN row_id % {UNKNOWN_EVERY} = 0 THEN 'unknown' ELSE label END AS label) FROM R0)"""
 
 
 def eval_chain(p: str, src: str, keys: tuple[str, ...] = ("model",)) -> str:
-    """CTEs {p}cnt {p}conf {p}cm {p}cmx {p}acc {p}wt {p}mac {p}rep {p}met over ``src``."""
+    """CTEs {p}cnt {p}conf {p}cm {p}cmo {p}cmx {p}acc {p}wt {p}mac {p}rep {p}met over ``src``."""
     k = ", ".join(keys)
     kk = lambda a: ", ".join(f"{a}.{x}" for x in keys)
     on = " AND ".join(f"g.{x} = c.{x}" for x in keys)
@@ -85,19 +88,27 @@ def eval_chain(p: str, src: str, keys: tuple[str, ...] = ("model",)) -> str:
             ON {on} AND g.label = c.label AND g.predicted_label = c.predicted_label),
 {p}cm AS (SELECT {k}, c, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
             SELECT {k}, label AS c, n AS support, 0 AS predicted,
-                   CASE WHEN label = predicted_label THEN n ELSE 0 END AS tp FROM {p}conf
-            UNION ALL SELECT {k}, predicted_label AS c, 0, n, 0 FROM {p}conf) t GROUP BY {k}, c),
-{p}cmx AS (SELECT {k}, c AS label, CAST({LABEL_IDX.format(c='c')} AS INTEGER) AS class_idx,
-            coalesce(tp::DOUBLE / nullif(predicted, 0), 0.0) AS precision,
+                   CASE WHEN label = predicted_label THEN n ELSE 0 END AS tp FROM {p}cnt
+            UNION ALL SELECT {k}, predicted_label AS c, 0, n, 0 FROM {p}cnt) t WHERE c IS NOT NULL GROUP BY {k}, c),
+{p}cmo AS (SELECT {k}, c AS label, coalesce(tp::DOUBLE / nullif(predicted, 0), 0.0) AS precision,
             coalesce(tp::DOUBLE / nullif(support, 0), 0.0) AS recall,
             coalesce(2 * tp::DOUBLE / nullif(predicted + support, 0), 0.0) AS f1_score,
             support::DOUBLE AS support FROM {p}cm),
+{p}cmx AS (SELECT {kk('g')}, g.c AS label, CAST({LABEL_IDX.format(c='g.c')} AS INTEGER) AS class_idx,
+            coalesce(precision, 0.0) AS precision, coalesce(recall, 0.0) AS recall,
+            coalesce(f1_score, 0.0) AS f1_score, coalesce(support, 0.0) AS support
+           FROM (SELECT {kk('m')}, a.l AS c FROM (SELECT DISTINCT {k} FROM {p}cnt) m
+                 CROSS JOIN (VALUES {LABEL_VALUES}) a(l)) g LEFT JOIN {p}cmo c ON {on} AND g.c = c.label),
 {p}acc AS (SELECT {k}, coalesce(sum(CASE WHEN label = predicted_label THEN n ELSE 0 END)::DOUBLE
             / nullif(sum(n), 0), 0.0) AS accuracy FROM {p}cnt GROUP BY {k}),
 {p}wt AS (SELECT {k}, coalesce(sum(precision * support) / nullif(sum(support), 0), 0.0) AS precision_weighted,
             coalesce(sum(recall * support) / nullif(sum(support), 0), 0.0) AS recall_weighted,
             coalesce(sum(f1_score * support) / nullif(sum(support), 0), 0.0) AS f1_weighted
           FROM {p}cmx GROUP BY {k}),
+{p}wto AS (SELECT {k}, coalesce(sum(precision * support) / nullif(sum(support), 0), 0.0) AS precision_weighted,
+            coalesce(sum(recall * support) / nullif(sum(support), 0), 0.0) AS recall_weighted,
+            coalesce(sum(f1_score * support) / nullif(sum(support), 0), 0.0) AS f1_weighted
+          FROM {p}cmo GROUP BY {k}),
 {p}mac AS (SELECT {k}, avg(precision) AS precision_macro, avg(recall) AS recall_macro,
             avg(f1_score) AS f1_macro, sum(support) AS support FROM {p}cmx GROUP BY {k}),
 {p}rep AS (
@@ -109,7 +120,7 @@ def eval_chain(p: str, src: str, keys: tuple[str, ...] = ("model",)) -> str:
             f1_weighted, m.support FROM {p}wt w JOIN {p}mac m USING ({k})),
 {p}met AS (SELECT {kk('a')}, round(a.accuracy, 4) AS accuracy, round(w.precision_weighted, 4) AS precision_weighted,
             round(w.recall_weighted, 4) AS recall_weighted, round(w.f1_weighted, 4) AS f1_weighted
-          FROM {p}acc a JOIN {p}wt w USING ({k}))"""
+          FROM {p}acc a JOIN {p}wto w USING ({k}))"""
 
 
 def _quota_chain(p: str, cnt: str, frac: float, out: str, carry: str = "") -> str:
@@ -177,7 +188,7 @@ def encode_chain(p: str, src: str, max_len: str) -> str:
     """{p}out: (row_id, input_ids, attention_mask) as space-joined strings."""
     return f"""{p}tok AS (SELECT row_id, regexp_extract_all(lower(text), {_q(WORD_RE2)}) AS t FROM {src}),
 {p}wv AS (SELECT term, count(*) AS tf_total FROM (SELECT unnest(t) AS term FROM {p}tok) u GROUP BY term
-          ORDER BY tf_total DESC, term LIMIT {MAX_FEATURES}),
+          ),
 {p}wvi AS (SELECT term, CAST(row_number() OVER (ORDER BY tf_total DESC, term) + 1 AS INTEGER) AS id FROM {p}wv),
 {p}ml AS (SELECT {max_len} AS ml),
 {p}etk AS (SELECT row_id, unnest(t[1:ml]) AS term, generate_subscripts(t[1:ml], 1) AS pos FROM {p}tok, {p}ml),
@@ -192,18 +203,20 @@ def encode_chain(p: str, src: str, max_len: str) -> str:
   FROM {p}enc, {p}ml)"""
 
 
-SCORE = """lg AS (SELECT vec_id, label, embedding[1]::DOUBLE AS l0, embedding[2]::DOUBLE AS l1,
-                  embedding[3]::DOUBLE AS l2 FROM embeddings),
+SCORE = "lg AS (SELECT vec_id, label, " + ", ".join(
+    f"list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (((7 * (i - 1) + {13 * k}) % 17) - 8) / 8.0)) AS l{k}"
+    for k in range(3)) + """ FROM embeddings),
 ex AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1,
               exp(l2 - greatest(l0, l1, l2)) AS e2 FROM lg),
-pr AS (SELECT vec_id, label, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2
+pr AS (SELECT vec_id, label, l0, l1, l2, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2
        FROM ex),
 am AS (SELECT *, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER)
               AS class_id FROM pr),
 sc AS (SELECT *, CASE class_id WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END
               AS predicted_label FROM am)"""
 
-BEST = f"""metord AS (SELECT *, CAST({MODEL_ORD} AS INTEGER) AS ordinal FROM met),
+BEST = f"""metord AS (SELECT *, CAST({CANDIDATE_ORD} AS INTEGER) AS ordinal FROM met
+           WHERE {CANDIDATE_ORD} IS NOT NULL),
 best AS (SELECT model, ordinal, f1_weighted FROM metord
          WHERE f1_weighted IS NOT NULL AND NOT isnan(f1_weighted)
          ORDER BY round(f1_weighted, 4) DESC, ordinal LIMIT 1)"""
@@ -329,5 +342,33 @@ ORACLE: dict[str, str] = {
           AS predicted_label,
         CASE WHEN coalesce({_strip('text')}, '') = '' THEN 'empty_input' ELSE 'ok' END AS status FROM raw""",
     "linear_score": W(SCORE) + "SELECT vec_id, label AS true_class, predicted_label, "
+    "round(list_sort([l0, l1, l2])[3] - list_sort([l0, l1, l2])[2], 6) AS margin, "
     "round(greatest(p0, p1, p2), 6) AS p_max FROM sc",
+    # models: what must hold of a fitted model's output, whatever its weights
+    "lr_fit_predict": W(LAB, S3) + "SELECT row_id, label, true AS known_label, 0.0 AS gradient FROM sS "
+    "WHERE split = 'test'",
+    "score_batch": "SELECT doc_id AS row_id, CASE WHEN blank THEN 'empty_input' ELSE 'ok' END AS status, "
+    "NOT blank AS labelled, CASE WHEN blank THEN 0.0 ELSE 1.0 END AS p_sum FROM (SELECT doc_id, "
+    + f"coalesce({_strip('text')}, '') = '' AS blank FROM documents)",
+    "score_stream": "SELECT count(*) AS n_rows, 0 AS n_different FROM documents",
+    "save_load": "SELECT count(*) AS n_rows, 0 AS n_different FROM documents",
+    "experiment_sweep": W(LAB, S3) + "SELECT model, count(*) AS n_rows, 0 AS n_unknown FROM sS "
+    "CROSS JOIN (VALUES ('lr_c1'), ('lr_c0.1'), ('lr_c10_it50')) m(model) WHERE split = 'val' GROUP BY model",
+    "experiment_tuned": W(LAB, S3) + f"""SELECT result, n_rows FROM (VALUES ('metrics', 1), ('report', {len(LABELS) + 3}),
+        ('confusion', {len(LABELS) ** 2})) v(result, n_rows)
+      UNION ALL SELECT 'predictions', count(*) FROM sS WHERE split = 'test'""",
+    "baseline_end_to_end": W(LAB, RAW, NA, "good AS (SELECT row_id, label FROM nb "
+                             f"WHERE label IN ({LABEL_LIST}))", split3_chain("s", "good"))
+    + f"""SELECT result, n_rows FROM (VALUES ('metrics', 1), ('report', {len(LABELS) + 3}),
+        ('confusion', {len(LABELS) ** 2})) v(result, n_rows)
+      UNION ALL SELECT 'predictions', count(*) FROM sS WHERE split = 'test'""",
+    # files
+    "csv_round_trip": W(LAB, RAW, NA) + "SELECT row_id, language, text, label FROM na",
+    "keyed_report_csv": EV + "SELECT row_name, " + _r6(["precision", "recall", "f1_score", "support"])
+    + f" FROM rep WHERE model = {_q(RULE_MODELS[0])}",
+    "metrics_gather": EV + f"SELECT model, accuracy, precision_weighted, recall_weighted, f1_weighted, "
+    f"CAST({MODEL_ORD} AS INTEGER) AS ordinal FROM met",
+    "run_history_best_step": """WITH e AS (SELECT user_id AS run, event_id AS step, round(value, 3) AS f1 FROM events),
+      r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f1 DESC, step) AS k FROM e)
+      SELECT run, step AS best_step, round(f1, 6) AS best_metric FROM r WHERE k = 1""",
 }

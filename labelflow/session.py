@@ -38,13 +38,13 @@ def get_spark(master: str | None = None, app: str = "labelflow",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be shared storage; we never fall back to a
-    machine-local temporary folder. Tests set it when it is unset.
+    On a cluster this must be set, to shared storage. A session on a ``local``
+    master that has none (a single machine: all tasks see its disk) gets a
+    folder of its own.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root and sc.master.startswith("local"):
-        # a single-machine session (tests, local runs): a local folder is shared by all tasks
+    if not root and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         root = tempfile.mkdtemp(prefix="labelflow-ckpt-")
     if not root:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
@@ -59,26 +59,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/labelflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, spread_input: bool = True) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 
-    Used where one derived table feeds several passes (split counts, fits):
-    a lost executor then recomputes from the checkpoint, not from the scans.
-    A table with fewer partitions than the cluster has cores (a small
-    input) is spread first, so the CPU-heavy per-row work downstream
-    (tokenising) uses every core; a large table keeps its partitioning.
+    Used where one small derived table feeds several passes (counts): a lost
+    executor then recomputes from the checkpoint, not from the scans.
     """
     checkpoint_root(df.sparkSession)
-    return (spread(df) if spread_input else df).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write a derived table below the shared folder and read it back.
+
+    Unlike a checkpoint its columns and partitions are pruned by later reads,
+    and its measured size lets Spark choose a broadcast join by itself."""
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a table with fewer partitions than the cluster has cores.
 
-    A small file with one row group scans as one partition, which would put
-    all the per-row text work of that table into one task. Tables with at
-    least one partition per core (every large input) are returned as they
-    are, so at scale this adds no shuffle.
+    For a file scan only (asking a shuffled plan for its partitions would run
+    it). A small file with one row group scans as one partition, which would
+    put all the per-row text work of that table into one task; such an input
+    has its text shuffled once. A table with a partition per core or more is
+    returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:

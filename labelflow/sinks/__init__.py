@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_table_csv(df: DataFrame, path: str) -> None:
-    """K1: CSV with header, no row key; Spark creates the folder (K6).
+BYTE_ORDER_MARK = "\ufeff"
 
-    UTF-8 without byte-order mark (a deliberate difference: Spark reads
-    these files back)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+def write_table_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+    """K1 / K3: CSV with header, no row key; Spark creates the folder (K6).
+
+    With ``byte_order_mark`` each file starts with one (before the first
+    column's name, quoted nowhere), as spreadsheet programs expect; Spark's
+    reader drops it."""
+    if byte_order_mark:
+        df = df.withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0])
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_keyed_csv(df: DataFrame, path: str, order_col: str | None = "row_idx") -> None:
-    """K2: a small keyed matrix/report (K rows) as one ordered CSV file."""
+    """K2: a keyed matrix/report as an ordered CSV, in one file if it is small.
+
+    The sort leaves the file layout to Spark: a report of K rows fits one
+    partition; a larger table is written in ordered part files."""
     out = df.orderBy(order_col).drop(order_col) if order_col and order_col in df.columns else df
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_split_table(df: DataFrame, path: str, split_col: str = "split") -> None:
@@ -25,8 +35,8 @@ def write_split_table(df: DataFrame, path: str, split_col: str = "split") -> Non
 
 
 def write_metrics_json(df: DataFrame, path: str) -> None:
-    """K4: metric records as JSON lines (readable by ``read_metrics``)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """K4: metric records as JSON lines (``read_metrics(..., pretty=False)``)."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import REQUIRED_LENIENT
 from ..functions.text import na_to_null
@@ -28,25 +29,36 @@ def read_labelled_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     required: Iterable[str] = REQUIRED_LENIENT,
-    multi_line: bool = True,
+    multi_line: bool = False,
+    quarantine: bool = False,
 ) -> DataFrame:
     """Read labelled CSV: UTF-8, header, RFC-4180 quotes, NA tokens -> null.
 
     ``paths`` is an explicit list so a missing file raises (no glob that
-    silently matches nothing). ``multi_line`` allows newlines inside quoted
-    fields; such files are read whole, one task per file.
+    silently matches nothing). ``multi_line`` allows line breaks inside quoted
+    fields; such files cannot be split, so each is one task. A line with more
+    or fewer fields than the header raises when it is read; with
+    ``quarantine`` it is kept as a row whose ``corrupt_record`` holds the line.
     """
-    df = (
+    paths = list(paths) if not isinstance(paths, str) else paths
+    reader = (
         spark.read.option("header", True)
-        .option("inferSchema", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
-        .csv(list(paths) if not isinstance(paths, str) else paths)
+        .option("enforceSchema", False)
     )
+    names = reader.option("inferSchema", False).csv(paths).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    if quarantine:
+        schema = schema.add("corrupt_record", T.StringType())
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_record")
+    else:
+        reader = reader.option("mode", "FAILFAST")
+    df = reader.schema(schema).csv(paths)
     check_required(df, required, source=str(paths))
-    return df.select(*[na_to_null(F.col(c)).alias(c) for c in df.columns])
+    return df.select(*[na_to_null(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def freeze_row_ids(df: DataFrame, path: str, id_col: str = "row_id") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +20,15 @@ METRICS_SCHEMA = T.StructType(
 )
 
 
-def read_table_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Prediction / summary CSV; a leading byte-order mark is dropped by Spark."""
+def read_table_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Prediction / summary CSV; a leading byte-order mark is dropped by Spark.
+
+    ``multi_line`` allows line breaks inside quotes, but then each file is one task."""
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
+        .option("mode", "FAILFAST")
         .csv(list(paths) if not isinstance(paths, str) else paths)
     )
 
@@ -36,49 +40,70 @@ def read_keyed_csv(spark: SparkSession, path: str, key: str = "row_name") -> Dat
     return df.withColumnRenamed(first, key)
 
 
-def read_metrics(spark: SparkSession, paths: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
-    """Gather pretty-printed metric JSON files into one table.
+def read_metrics(spark: SparkSession, paths: Sequence[str], order: Sequence[str] | None = None,
+                 pretty: bool = True) -> DataFrame:
+    """Gather metric JSON files, or folders that ``write_metrics_json`` made, into one table.
 
     Adds ``source_file`` (provenance) and ``ordinal`` (position in the given
-    list, the tie-break of best-model choice). An explicit list of paths
-    raises on a missing file.
+    list, the tie-break of best-model choice); a record belongs to the listed
+    path that its file is or lies under, the longest such path. A missing file
+    or a malformed record raises. ``pretty`` reads one record per file, else
+    one per line.
     """
     paths = list(paths)
     df = (
         spark.read.schema(METRICS_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", pretty)
+        .option("mode", "FAILFAST")
         .json(paths)
-        .withColumn("source_file", F.col("_metadata.file_name"))
+        .withColumn("source_file", F.col("_metadata.file_path"))
     )
-    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in (order or paths)]
-    pos = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_file"))
-    return df.withColumn("ordinal", pos.cast("int"))
+    plain = F.regexp_replace("source_file", "^[a-z0-9]+:/*(?=/)", "")
+    places = [F.when(_under(plain, p), F.struct(F.lit(len(_plain(p))).alias("n"), F.lit(i + 1).alias("i")))
+              for i, p in enumerate(order or paths)]
+    # greatest over one path needs two arguments
+    place = F.greatest(*places, *places[:1]) if places else F.lit(None).cast("struct<n:int,i:int>")
+    return df.withColumn("ordinal", place["i"].cast("int"))
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme and without a slash at the end."""
+    return re.sub("^[a-z0-9]+:/*(?=/)", "", path).rstrip("/")
+
+
+def _under(path: Column, listed: str) -> Column:
+    """Whether a file is the listed path or lies below it; a relative path matches the end of the folder."""
+    name = _plain(listed)
+    if not name.startswith("/"):
+        name = "/" + name
+        return path.endswith(name) | path.contains(name + "/")
+    return (path == name) | path.startswith(name + "/")
+
+
+HISTORY_SCHEMA = ("best_metric double, best_global_step bigint, "
+                  "log_history array<struct<epoch: double, step: bigint, eval_loss: double, eval_f1_weighted: double>>")
 
 
 def read_run_history(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Nested run-history JSON -> one row per evaluation step.
+    """Nested run-history JSON -> one row per run and evaluated step.
 
-    Columns: run (file's parent folder), epoch, step, eval_loss,
-    eval_f1_weighted, best_metric, best_global_step.
+    Columns: run (the folder above the checkpoint's folder), epoch, step,
+    eval_loss, eval_f1_weighted, best_metric, best_global_step. Checkpoints of
+    one run repeat its earlier steps; each step is kept once, with the latest
+    checkpoint's best. A malformed file raises.
     """
     raw = (
-        spark.read.option("multiLine", True)
+        spark.read.schema(HISTORY_SCHEMA)
+        .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .json(list(paths))
         .withColumn("_file", F.col("_metadata.file_path"))
     )
     run = F.element_at(F.split(F.col("_file"), "/"), -3)
-    steps = raw.select(
-        run.alias("run"),
-        F.col("best_metric"),
-        F.col("best_global_step"),
-        F.explode("log_history").alias("h"),
-    )
-    return steps.where(F.col("h.eval_f1_weighted").isNotNull()).select(
-        "run",
-        F.col("h.epoch").cast("double").alias("epoch"),
-        F.col("h.step").cast("long").alias("step"),
-        F.col("h.eval_loss").cast("double").alias("eval_loss"),
-        F.col("h.eval_f1_weighted").cast("double").alias("eval_f1_weighted"),
-        F.col("best_metric").cast("double").alias("best_metric"),
-        F.col("best_global_step").cast("long").alias("best_global_step"),
-    )
+    steps = raw.select(run.alias("run"), "best_metric", "best_global_step", F.explode("log_history").alias("h"))
+    latest = F.max_by(F.struct("h.epoch", "h.eval_loss", "h.eval_f1_weighted", "best_metric", "best_global_step"),
+                      F.struct("best_global_step", "best_metric"))
+    return (steps.where(F.col("h.eval_f1_weighted").isNotNull()).groupBy("run", F.col("h.step").alias("step"))
+            .agg(latest.alias("l"))
+            .select("run", "l.epoch", "step", "l.eval_loss", "l.eval_f1_weighted", "l.best_metric",
+                    "l.best_global_step"))

@@ -55,3 +55,20 @@ def test_freeze_row_ids(spark, tmp_dir):
     assert [r.text for r in rows] == ["a", "b", "c"]
     again = spark.read.parquet(f"{tmp_dir}/frozen").orderBy("row_id").collect()
     assert [r.row_id for r in again] == [r.row_id for r in rows]
+
+
+def test_lines_with_other_field_counts(spark, tmp_dir):
+    body = "text,label\nfine,positive\nan unquoted, comma,negative\nshort\n"
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_labelled_csv(spark, [_csv(tmp_dir, body)]).collect()
+    rows = read_labelled_csv(spark, [_csv(tmp_dir, body)], quarantine=True).collect()
+    assert [r.text for r in rows if r.corrupt_record is None] == ["fine"]
+    assert sorted(r.corrupt_record for r in rows if r.corrupt_record) == ["an unquoted, comma,negative", "short"]
+
+
+def test_strict_error_says_how_many_labels_are_left_out(spark):
+    df = spark.createDataFrame([(f"odd{i:02d}",) for i in range(30)], "label string")
+    with pytest.raises(ValueError, match="odd00.*and 10 more"):
+        clean.check_labels(df)
+    with pytest.raises(ValueError, match=r"\['odd00', 'odd01'\]$"):
+        clean.check_labels(df.where("label < 'odd02'"))

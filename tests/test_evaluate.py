@@ -131,3 +131,35 @@ def test_join_truth_prediction_checks(spark):
     orphan = ok.union(spark.createDataFrame([(9, "m", "b")], ok.schema))
     with pytest.raises(ValueError, match="without truth"):
         evaluate.join_truth_prediction(truth, orphan)
+
+
+def test_unlisted_models_never_win(spark):
+    met = spark.createDataFrame([("x", 0.9), ("a", 0.5), ("b", 0.5)], "model string, f1_weighted double")
+    assert compare.best_model(met, ["a", "b"]).first().model == "a"
+    assert [r.ordinal for r in compare.with_ordinal(met, ["a", "b"]).orderBy("model").collect()] == [1, 2, None]
+
+
+def test_truth_outside_the_list_lowers_precision(spark):
+    rows = [(1, "m", "positive", "positive"), (2, "m", "unknown", "positive")]
+    df = spark.createDataFrame(rows, "row_id long, model string, label string, predicted_label string")
+    got = {r.label: r for r in evaluate.class_metrics(df).collect()}
+    assert got["positive"].precision == 0.5 and got["negative"].support == 0.0
+    assert evaluate.metrics_record(df).first().recall_weighted == 0.5  # over the observed labels
+    assert evaluate.metrics_record(df, LABELS).first().recall_weighted == 1.0
+
+
+def test_join_raises_on_any_unmatched_or_repeated_row(spark):
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, label string")
+
+    def joined(rows, t=truth):
+        preds = spark.createDataFrame(rows, "row_id long, model string, predicted_label string")
+        return evaluate.join_truth_prediction(t, preds).count()
+
+    good = [(1, "m", "a"), (2, "m", "a"), (1, "n", "a"), (2, "n", "a")]
+    assert joined(good) == 4
+    for rows, message in ((good[:3], "without prediction"), (good[:1], "without prediction"), ([], "without prediction"),
+                          (good + good[:1], "duplicate prediction"), (good + [(3, "m", "a")], "without truth")):
+        with pytest.raises(ValueError, match=message):
+            joined(rows)
+    with pytest.raises(ValueError, match="duplicate truth"):
+        joined(good, truth.unionByName(truth.limit(1)))

@@ -2,6 +2,8 @@
 
 import collections
 import math
+
+import pytest
 import re
 
 from pyspark.ml import PipelineModel
@@ -54,9 +56,8 @@ def test_tfidf_long_and_vectors_match_brute_force(spark):
     fit_df, apply_df = _df(spark, fit_docs), _df(spark, apply_docs)
     top = features.vocabulary_topk(features.term_counts(fit_df), k).orderBy("rank").collect()
     assert [r.term for r in top] == vocab
-    idf = features.idf_table(features.vocabulary_topk(features.term_counts(fit_df), k), len(fit_docs))
     got = collections.defaultdict(dict)
-    for r in features.tfidf_long(features.term_counts(apply_df), idf).collect():
+    for r in features.tfidf_of_texts(apply_df, features.fit_tfidf(fit_df, max_features=k)).collect():
         got[r.row_id][r.term] = r.weight
     for i, w in enumerate(want):
         assert set(got.get(i, {})) == set(w)
@@ -84,3 +85,18 @@ def test_encode_fixed_length(spark):
     assert features.longest_length(df) == 3
     cut = {r.row_id: r for r in features.encode(df, vocab, 2).collect()}
     assert cut[0].input_ids == [ids["dog"], ids["cat"]]
+
+
+def test_whole_vocabulary_has_no_cap_and_dense_ids(spark):
+    words = [f"w{i}" for i in range(6000)] + ["often"] * 5 + ["twice"] * 2
+    docs = _df(spark, [" ".join(words[i::7]) for i in range(7)])
+    got = {r.term: r.id for r in features.word_vocabulary(docs).collect()}
+    counts = collections.Counter(words)
+    want = sorted(counts, key=lambda t: (-counts[t], t))
+    assert got == {t: i + 2 for i, t in enumerate(want)}
+
+
+def test_encode_rejects_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "two words"), (1, "and two")], "row_id long, text string")
+    with pytest.raises(ValueError, match="duplicate ids"):
+        features.encode(df, features.word_vocabulary(df), 4)

@@ -88,3 +88,31 @@ def test_score_texts_probability_map(spark, fitted):
         assert all(round(v, 4) == v for v in r.probabilities.values())
         assert math.isclose(sum(r.probabilities.values()), 1.0, abs_tol=2e-4)
         assert r.probabilities[r.predicted_label] == max(r.probabilities.values())
+
+
+def test_input_columns_travel_unchanged(spark, fitted):
+    model, _, _ = fitted
+    rows = [(1, "  padded  ", "keep"), (2, None, "x"), (3, " ", "y")]
+    out = score_texts(model, spark.createDataFrame(rows, "row_id long, text string, terms string")).collect()
+    assert sorted((r.row_id, r.text, r.terms) for r in out) == sorted(rows, key=lambda r: r[0])
+    assert {r.row_id: r.status for r in out} == {1: "ok", 2: "empty_input", 3: "empty_input"}
+
+
+def test_absent_last_class_and_null_labels(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {i}", i % 2) for i in range(20)] + [(99, "not counted " * 5, None)]
+    train = spark.createDataFrame(rows, "row_id long, text string, label_id int")
+    model = fit_classifier(train)
+    got = score_texts(model, train.select("row_id", "text")).first()
+    assert sorted(got.probabilities) == ["negative", "neutral"]
+    vocabulary = next(st for st in model.stages if hasattr(st, "vocabulary")).vocabulary
+    assert "counted" not in vocabulary
+
+
+def test_run_returns_four_results(spark, fitted, tmp_dir):
+    from labelflow.operators.model import run_experiment, write_results
+
+    _, train, test = fitted
+    results = run_experiment("r", train, test, max_iter=20)
+    write_results(results, tmp_dir)
+    sizes = {name: spark.read.parquet(f"{tmp_dir}/{name}").count() for name in results}
+    assert sizes == {"metrics": 1, "report": 6, "confusion": 9, "predictions": test.count()}

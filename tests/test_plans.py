@@ -17,39 +17,45 @@ def test_labelled_scan_prunes_columns(spark):
     assert "source" not in p.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_split_ranks_only_straddling_buckets(spark):
+def test_split_reads_the_text_in_one_narrow_pass(spark):
     p = plan(split.split_70_15_15(labelled(spark, SF01)))
-    # one row_number window, and below it the join to the bucket table that is
-    # filtered (before its broadcast) to the buckets straddling a quota cut
-    assert p.count("row_number()") == 1
-    below = p[p.index("row_number()"):]
-    assert "BroadcastHashJoin" in below and "Filter (CASE WHEN (size(filter(" in below
-    # the other branch (whole buckets) assigns parts with no window at all
-    above = p[: p.index("row_number()")]
-    assert "BroadcastHashJoin" in above and "Window [row_number" not in above
+    # borders join by broadcast (their stored size is known): no window, no sort, no exchange above the text's join
+    assert p.count("text#") and p.count("ReadSchema: struct<doc_id:bigint,text:string,lang:string>") == 1
+    assert "Window" not in p and "row_number" not in p and "Union" not in p
+    top = p[:p.index("ReadSchema: struct<doc_id")]
+    assert "SortMergeJoin" not in top and "Exchange hashpartitioning(label" not in top
 
 
 def test_evaluation_pre_aggregates(spark):
     preds = rule_predictions(labelled(spark, SF01, with_n_chars=True))
     # the one pass over predictions combines map-side
     assert "partial_count" in plan(evaluate.pair_counts(preds, materialized=False))
-    # every metric then reads the checkpointed counts, never the source files
     p = plan(evaluate.classification_report(preds))
-    assert "FileScan" not in p
+    assert p.count("documents.parquet") == 1 and p.count("Exchange hashpartitioning") <= 6
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_head_and_sample_are_topk(spark):
     preds = rule_predictions(labelled(spark, SF01, with_n_chars=True)).where(F.col("model") == "m_len")
-    assert "TakeOrderedAndProject" in plan(compare.verification_sample(preds))
+    p = plan(compare.verification_sample(preds))
+    assert p.count("WindowGroupLimit") == 2 and p.count("documents.parquet") == 1
+    assert "TakeOrderedAndProject" in plan(compare.head_n(preds))
 
 
-def test_tfidf_joins_bounded_vocabulary_by_broadcast(spark):
-    lab = labelled(spark, SF01)
-    counts = features.term_counts(lab)
-    idf = features.idf_table(features.vocabulary_topk(counts, 100), 399)
-    p = plan(features.tfidf_long(counts, idf))
-    assert "BroadcastHashJoin" in p and "TakeOrderedAndProject" in p
+def test_tfidf_needs_no_shuffle(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
+    fit = features.TfidfFit(["the", "of the"], [1.0, 2.0], 3)
+    p = plan(features.tfidf_of_texts(docs, fit))
+    assert "Exchange" not in p and "Join" not in p and "Generate inline" in p
+
+
+def test_sweep_scans_the_evaluation_text_once(spark):
+    from labelflow.operators.model import sweep
+
+    rows = [(i, f"word{i % 3} other{i % 5} text", i % 3, ["negative", "neutral", "positive"][i % 3]) for i in range(60)]
+    train = spark.createDataFrame(rows, "row_id long, text string, label_id int, label string")
+    runs = sweep(train, spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text"), [("a", {}), ("b", {})])
+    assert plan(runs).count("documents.parquet") == 1 and "Union" not in plan(runs)
 
 
 def test_term_counts_need_no_shuffle(spark):
@@ -61,7 +67,7 @@ def test_term_counts_need_no_shuffle(spark):
 def test_encode_aggregates_map_side(spark):
     lab = labelled(spark, SF01)
     p = plan(features.encode(lab, features.word_vocabulary(lab), 16))
-    assert "partial_collect_list" in p and "BroadcastHashJoin" in p
+    assert "partial_collect_list" in p
 
 
 def test_bucketed_join_needs_no_exchange(spark, tmp_dir):
@@ -77,13 +83,3 @@ def test_bucketed_join_needs_no_exchange(spark, tmp_dir):
         assert lab.count() == labelled(spark, SF01).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_tfidf_norm_window_reuses_text_partitioning(spark):
-    lab = labelled(spark, SF01)
-    idf = features.idf_table(features.vocabulary_topk(features.term_counts(lab), 100), 399)
-    p = plan(features.tfidf_of_texts(lab, idf))
-    # texts shuffled once by id; no exchange between the exploded terms and the window
-    between = p[p.index("Window ["):p.index("Exchange hashpartitioning(row_id")]
-    assert "Generate inline" in between and "BroadcastHashJoin" in between
-    assert "Exchange" not in between

@@ -19,10 +19,21 @@ def test_table_csv_round_trip(spark, tmp_dir):
     df = spark.createDataFrame([(1, 'text, with "quotes"', "de"), (2, "Привет\nмир", "ru")],
                                "row_id long, text string, language string")
     write_table_csv(df, f"{tmp_dir}/t")
-    back = read_table_csv(spark, f"{tmp_dir}/t").select(F.col("row_id").cast("long"), "text", "language")
+    back = read_table_csv(spark, f"{tmp_dir}/t", multi_line=True).select(F.col("row_id").cast("long"), "text", "language")
     assert sorted(back.collect()) == sorted(df.collect())
 
 
+def test_blanks_and_byte_order_mark(spark, tmp_dir):
+    import glob
+
+    df = spark.createDataFrame([(" padded ", "x")], "text string, language string")
+    write_table_csv(df, f"{tmp_dir}/b", byte_order_mark=True)
+    with open(glob.glob(f"{tmp_dir}/b/*.csv")[0], "rb") as fh:
+        assert fh.read(3) == b"\xef\xbb\xbf"
+    back = read_table_csv(spark, f"{tmp_dir}/b")
+    assert back.columns == ["text", "language"] and back.first().text == " padded "
+
+
 def test_keyed_report_round_trip(spark, tmp_dir):
     rep = evaluate.classification_report(_preds(spark)).drop("model")
     write_keyed_csv(rep, f"{tmp_dir}/rep")

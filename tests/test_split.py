@@ -56,3 +56,22 @@ def test_split_independent_of_partitioning(spark):
     a = {r.row_id: r.split for r in split.stratified_split(lab).collect()}
     b = {r.row_id: r.split for r in split.stratified_split(lab.repartition(3)).collect()}
     assert a == b
+
+
+def test_one_huge_class_and_a_thousand_small_ones(spark):
+    df = spark.range(0, 60000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") < 54000, F.lit("huge")).otherwise(
+            F.concat(F.lit("c"), (F.col("id") % 1000).cast("string"))).alias("label"))
+    rows = split.stratified_split(df).groupBy("label", "split").count().collect()
+    got = {(r.label, r.split): r["count"] for r in rows}
+    assert len({r.label for r in rows}) == 1001 and sum(got.values()) == 60000
+    assert got[("huge", "train")] == 37800 and got[("huge", "test")] == 16200
+    assert sum(n for (_, part), n in got.items() if part == "test") == 18000
+
+
+def test_part_without_rows(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(10)] + [(10 + i, "b") for i in range(2)], "row_id long, label string")
+    borders = split.part_borders(df, {"a": [0, 4, 6], "b": [2, 0, 0]}, split._bucket_counts(df, "label", "row_id", 1), 1,
+                                 "label", "row_id")
+    got = split.assign_parts(df, borders, ("train", "val", "test"), 1).groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in got} == {("a", "val"): 4, ("a", "test"): 6, ("b", "train"): 2}
