@@ -1,4 +1,4 @@
-"""Column expressions (JVM-side, code-generated): text, arrays, numbers."""
+"""Column expressions (JVM-side; lambdas over arrays are interpreted, the rest is code-generated)."""
 
 from .text import (  # noqa: F401
     is_blank,

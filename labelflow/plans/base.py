@@ -55,6 +55,14 @@ def labelled(spark: SparkSession, sf_dir: str, with_n_chars: bool = False) -> Da
     return docs.join(labs, "doc_id").select(*cols)
 
 
+def labelled_from_tables(spark: SparkSession, documents: str, labels: str) -> DataFrame:
+    """LABELLED from two tables bucketed alike (``sources.bucketed``): a bucket-wise join."""
+    d, lab = spark.table(documents), spark.table(labels)
+    return d.join(lab, "doc_id").select(
+        F.col("doc_id").alias("row_id"), F.col("text"), F.col("lang").alias("language"),
+        truth_label(F.col("toxic"), F.col("quality")).alias("label"))
+
+
 def dirty_text(row_id, text):
     k = row_id % 13
     return (

@@ -71,7 +71,8 @@ def test_encode_aggregates_map_side(spark):
 
 
 def test_bucketed_join_needs_no_exchange(spark, tmp_dir):
-    from labelflow.sources.bucketed import labelled_from_tables, write_bucketed
+    from labelflow.plans.base import labelled_from_tables
+    from labelflow.sources.bucketed import write_bucketed
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge path
     try:
