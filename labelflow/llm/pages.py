@@ -60,7 +60,7 @@ STOP_WORDS = {
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|(?P<text>[^<]+|<)", re.S)
 CLASS_OR_ID = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
@@ -75,7 +75,6 @@ class Block:
     heading: bool
     bad: bool
     content: int
-    label: str = ""
 
 
 def _marked_bad(name: str, attributes: str) -> bool:
@@ -135,9 +134,7 @@ def blocks_of(page: str) -> list[Block]:
             link_depth = 0 if match["close"] else 1
             continue
         marked = not match["close"] and _marked_bad(name, match["rest"])
-        if name in BLOCK_TAGS or name in BAD_TAGS:
-            flush()
-        elif marked:
+        if marked or name in BLOCK_TAGS or name in BAD_TAGS:
             flush()
         if match["close"]:
             if any(open_name == name for open_name, _, _ in stack):

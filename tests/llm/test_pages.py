@@ -53,7 +53,7 @@ def test_article_of_short_blocks_only():
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("<", ""), ("<article>", ""), ("<article><p>a<b>b</b>\n c&nbsp;&lt;d&gt;</p>", "ab c <d>"),
     ("<article><p>one<p>two<br>three</article>", "one\ntwo three"), ("<article><p title='a>b'>x</p><!-- > --></article>", "x"),
-    ("<article>a < b and c</article>", "a < b and c"), ("<article><p>x</p><script>if (a < b) '</p>'", "x"),
+    ("<article><p data=it's>x</p><p>y</p></article>", "x\ny"), ("<article>a < b and c</article>", "a < b and c"), ("<article><p>x</p><script>if (a < b) '</p>'", "x"),
     ("<p>" * 3000, ""), ("<article>" + "<div>" * 2000 + "deep", "deep")])
 def test_odd_markup(page, text):
     assert main_text(page) == text
