@@ -59,8 +59,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memo: dict[bytes, bytes] = {}
         self.memo_size = memo_size
+        # a run of lower ASCII letters that normalising and splitting leave alone can go to the model at once
+        self.letters_are_plain = all(
+            [t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids
+            for w in ("a", "the", "zqxj", "internationalisation", "ll", "re", "abcdefghijklmnopqrstuvwxyz" * 3))
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null is empty."""
@@ -98,12 +103,15 @@ class WordEncoder:
         memo = self.memo
         found = [memo.get(u) for u in units]
         new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            if len(memo) + len(new) > self.memo_size:
-                memo.clear()
-            coded = self.tokenizer.encode_batch([units[i].decode() for i in new], add_special_tokens=False)
-            for i, e in zip(new, coded, strict=True):
-                found[i] = memo[units[i]] = array("I", e.ids).tobytes()
+        if len(memo) + len(new) > self.memo_size:
+            memo.clear()
+        plain = [i for i in new if self.letters_are_plain and units[i].isalpha()]
+        for i in plain:
+            found[i] = memo[units[i]] = array("I", [t.id for t in self.model.tokenize(units[i].decode())]).tobytes()
+        other = [i for i in new if found[i] is None]
+        coded = self.tokenizer.encode_batch([units[i].decode() for i in other], add_special_tokens=False)
+        for i, e in zip(other, coded, strict=True):
+            found[i] = memo[units[i]] = array("I", e.ids).tobytes()
         return found
 
 
