@@ -2,8 +2,8 @@
 
 The model is a trie of byte contexts of up to ``order`` bytes, pretrained on
 the training documents. A byte is coded in the longest context that training
-has seen; a context that has not seen the byte pays an escape (method C: its
-share is the number of distinct bytes seen there) and hands over to the next
+has seen; a context that has not seen the byte pays an escape (method D: each
+distinct byte seen there gives half a count to it) and hands over to the next
 shorter one, where the bytes already ruled out are excluded. Below the empty
 context all remaining bytes are equally likely. A document's score is the log10
 probability of its bytes, ASCII letters lowered, and of its end.
@@ -208,7 +208,7 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order:
         live = new > 0
         rows, count, left, new = rows[live], count[live], left[live], new[live]
         hit = count > 0
-        logs[rows] += np.log10(np.where(hit, count, new) / (left + new))
+        logs[rows] += np.log10(np.where(hit, count - 0.5, new / 2) / left)
         open_[rows[hit]] = False
 
     for k in range(order, 1, -1):

@@ -50,19 +50,18 @@ def skeleton(text):
     return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text)))
 
 
-@pytest.mark.parametrize("kind", sorted(PRIVATE))
-def test_values_change_within_their_format(spark, kind):
-    values = PRIVATE[kind]
-    texts = [f"see {v} or" for v in values] + [f"{v}, again" for v in values] + [f"({v})" for v in values]
+def test_values_change_within_their_format(spark):
+    values = [(kind, v) for kind in sorted(PRIVATE) for v in PRIVATE[kind]]
+    texts = [form.format(v) for form in ("see {} or", "{}, again", "({})") for _, v in values]
     new = renamed(spark, texts)
-    for i, value in enumerate(values):
+    for i, (kind, value) in enumerate(values):
         other = new[i].removeprefix("see ").removesuffix(" or")
-        assert other != value and SHAPES[kind](other)
+        assert other != value and SHAPES[kind](other), (kind, value, other)
         assert new[i + len(values)] == f"{other}, again" and new[i + 2 * len(values)] == f"({other})"
         if kind not in ("ip", "date"):
             assert skeleton(other) == skeleton(value)
     assert renamed(spark, new, back=True) == texts
-    assert renamed(spark, texts, key="another") != new
+    assert all(a != b for a, b in zip(renamed(spark, texts, key="another"), new))
 
 
 def test_dates_are_days_of_the_calendar(spark):
@@ -71,12 +70,15 @@ def test_dates_are_days_of_the_calendar(spark):
     assert len({datetime.date.fromisoformat(d) for d in new}) == len(days)
 
 
-@pytest.mark.parametrize("text", [
+OTHER = [
     "4111111111111112", "1234567890123456", "999.1.1.1", "1.2.3", "01.2.3.4", "1983-02-29", "13/13/2000",
     "000-12-3456", "666-12-3456", "DE89370400440532013001", "in 2020 for 3.50", "v1.2.3.4.5", "a@b", "token of love",
-    "token = abc", "0000000000000000", "secret: aaaaaaaaaaaaaaaaaaaaaaaa", "3.14159265358979", "", "plain words"])
-def test_other_values_stay(spark, text):
-    assert renamed(spark, [text, f"x {text} y"]) == [text, f"x {text} y"]
+    "token = abc", "0000000000000000", "secret: aaaaaaaaaaaaaaaaaaaaaaaa", "3.14159265358979", "", "plain words"]
+
+
+def test_other_values_stay(spark):
+    texts = OTHER + [f"x {t} y" for t in OTHER]
+    assert renamed(spark, texts) == texts
 
 
 def test_secrets_keep_class_and_case(spark):
@@ -87,7 +89,7 @@ def test_secrets_keep_class_and_case(spark):
     assert skeleton(new[2][8:]) == skeleton(large) and large not in new[2]
 
 
-@pytest.mark.parametrize("length", [2, 3, 4])
+@pytest.mark.parametrize("length", [2, 3])
 def test_digits_are_permuted(spark, length):
     frame = spark.range(10 ** length).select(F.lpad(F.col("id").cast("string"), length, "0").alias("d"))
     rows = frame.select("d", pii.permute_digits(F.col("d"), "k", "t").alias("p")).select(

@@ -26,10 +26,10 @@ def symbol_log(counts, context, symbol):
         seen = {a: n for a, n in counts.get(context[len(context) - k:], {}).items() if a not in out}
         if not seen:
             continue
-        total = sum(seen.values()) + len(seen)
+        total = sum(seen.values())
         if symbol in seen:
-            return log + math.log10(seen[symbol] / total)
-        log += math.log10(len(seen) / total)
+            return log + math.log10((seen[symbol] - 0.5) / total)
+        log += math.log10(len(seen) / 2 / total)
         out |= set(seen)
     return log - math.log10(max(1, 256 - len(out)))
 
