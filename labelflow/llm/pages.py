@@ -30,16 +30,19 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED_TAGS = frozenset("script style".split())
 BAD_TAGS = frozenset(
-    "nav header footer aside form button select option noscript template iframe svg canvas object menu dialog head title "
+    "nav footer aside form button select option noscript template iframe svg canvas object menu dialog head title "
     "textarea audio video math".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Elements that hold the page or the article itself; class words on them say nothing about their text.
+WHOLE_TAGS = frozenset("html body article main".split())
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot banner banners breadcrumb "
-    "breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer gdpr header "
-    "login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo "
-    "promos promotion recommended related respond share sharing shoutbox sidebar sidebars signup skip social "
-    "sponsor sponsored sponsors subscribe subscription tags toolbar widget widgets".split())
-MAX_LINK_DENSITY = 0.2
+    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot alert alertdialog banner banners "
+    "breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright "
+    "dialog disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices "
+    "pagination pager popup promo promos promotion recommended related respond share sharing shoutbox sidebar "
+    "sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
+HEADER = "header"
+MAX_LINK_DENSITY, MAX_ARTICLE_LINK_DENSITY = 0.2, 0.8
 SHORT_LENGTH, LONG_LENGTH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 STOP_WORDS = {
@@ -77,20 +80,22 @@ class Block:
     content: int
 
 
-def _marked_bad(name: str, attributes: str) -> bool:
+def _mark(name: str, attributes: str) -> str:
+    """``bad`` or ``header`` for an element whose tag, class, id or role rules out its text."""
+    if name == HEADER:
+        return HEADER
     if name in BAD_TAGS:
-        return True
-    for groups in CLASS_OR_ID.findall(attributes):
-        for token in "".join(groups).lower().split():
-            if BAD_WORDS.intersection(NAME_PART.findall(token)):
-                return True
-    return False
+        return "bad"
+    if name in WHOLE_TAGS:
+        return ""
+    words = {w for groups in CLASS_OR_ID.findall(attributes) for w in NAME_PART.findall("".join(groups).lower())}
+    return "bad" if words & BAD_WORDS else HEADER if HEADER in words else ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order with their text, link characters and surroundings."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, str, int]] = []
     bad_depth = header_depth = link_depth = 0
     content = contents = 0
     parts: list[str] = []
@@ -133,17 +138,17 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             link_depth = 0 if match["close"] else 1
             continue
-        marked = not match["close"] and _marked_bad(name, match["rest"])
+        marked = "" if match["close"] else _mark(name, match["rest"])
         if marked or name in BLOCK_TAGS or name in BAD_TAGS:
             flush()
         if match["close"]:
             if any(open_name == name for open_name, _, _ in stack):
                 while stack:
-                    open_name, was_bad, was_content = stack.pop()
-                    if was_bad or open_name in CONTENT_TAGS:
+                    open_name, was_marked, was_content = stack.pop()
+                    if was_marked or open_name in CONTENT_TAGS:
                         flush()
-                    bad_depth -= was_bad
-                    header_depth -= was_bad and open_name == "header"
+                    bad_depth -= was_marked != ""
+                    header_depth -= was_marked == HEADER
                     content = was_content
                     if open_name == name:
                         break
@@ -152,11 +157,12 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID_TAGS and not match["rest"].endswith("/"):
             if name == "p" or name in HEADINGS:  # a paragraph ends where the next begins
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font"):
-                    _, was_bad, content = stack.pop()
-                    bad_depth -= was_bad
+                    _, was_marked, content = stack.pop()
+                    bad_depth -= was_marked != ""
+                    header_depth -= was_marked == HEADER
             stack.append((name, marked, content))
-            bad_depth += marked
-            header_depth += marked and name == "header"
+            bad_depth += marked != ""
+            header_depth += marked == HEADER
             if name in CONTENT_TAGS and not bad_depth:
                 contents += 1
                 content = contents
@@ -176,7 +182,9 @@ def classify(block: Block, lists: list[frozenset], marked_article: bool) -> str:
     length = len(block.text)
     if block.bad or (marked_article and not block.content):
         return "bad"
-    if block.links > MAX_LINK_DENSITY * length:
+    if block.links > (MAX_ARTICLE_LINK_DENSITY if marked_article else MAX_LINK_DENSITY) * length:
+        return "bad"
+    if marked_article and block.links > MAX_LINK_DENSITY * length and stop_density(block.text, lists) < STOP_LOW:
         return "bad"
     if not marked_article and ("©" in block.text and length < LONG_LENGTH):
         return "bad"

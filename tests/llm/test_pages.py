@@ -45,6 +45,17 @@ def test_second_pass_labels_short_blocks_by_neighbours():
     assert main_text(page) == f"{LONG.strip()}\nFound.\n{LONG.strip()}"
 
 
+def test_titles_bylines_and_links_of_an_article_stay():
+    page = ("<html lang=en><body class='menu-open'><article class='post related-x'><header class='entry-header'>"
+            "<h1>Title</h1><p>Section name</p></header><div class='article-header'><h1>Second</h1></div>"
+            f"<p class='byline'>By one of us</p><p>{LONG}</p><p>It is all in <a href='x'>the text of the page</a> as it was"
+            " when it was written and read by all of us.</p><ul><li><a href='/a'>Archive overview page</a></li></ul>"
+            "</article></body></html>")
+    assert main_text(page).split("\n") == [
+        "Title", "Second", "By one of us", LONG.strip(),
+        "It is all in the text of the page as it was when it was written and read by all of us."]
+
+
 def test_article_of_short_blocks_only():
     page = "<body><nav><a href=x>Home</a></nav><article><h1>Of.</h1><p>That it.</p></article><footer>&copy; x</footer>"
     assert main_text(page) == "Of.\nThat it."
