@@ -33,7 +33,7 @@ POOL_TOKENS = 4 << 20
 #: Tokens of one step group: so many windows of a tier make a step.
 STEP_TOKENS = 1 << 16
 #: Distinct units whose ids one Python worker remembers before it starts afresh.
-MEMO_SIZE = 1_500_000
+MEMO_SIZE = 400_000
 #: Bytes of text scanned at once.
 SLICE_BYTES = 4 << 20
 
