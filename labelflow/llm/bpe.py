@@ -28,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import read_table, ship
+
 #: Byte strings up to this length are merged directly; longer ones are halved.
 LEAF_BYTES = 32
 #: Distinct matches remembered by one Python worker before it starts afresh.
@@ -155,6 +157,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", de
     gives an empty table. Input columns called ``ids`` or ``decoded`` are
     replaced. ``rank_file`` must be readable on every executor, or be
     ``files:<name>`` after ``SparkContext.addFile``."""
+    ship(docs.sparkSession)
     names = ["ids", "decoded"] if decode else ["ids"]
     docs = docs.drop(*names)
     position = docs.columns.index(text)
@@ -184,8 +187,6 @@ def op3_bpe(spark, sf_dir: str) -> DataFrame:
     """Every whole document text encoded and decoded again, as digests."""
     import public_tokenizers
 
-    from .common import read_table
-
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return coded.select(

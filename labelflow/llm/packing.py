@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import read_table, ship
 from .textscan import Words, lowered, slices, string_buffers
 
 TIERS = (512, 1024, 2048, 4096)
@@ -216,6 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, key: str =
     documents of their own; an empty table gives no piece; other columns are
     not carried. A sequence id holds the task and a running number, so it is
     unique without a shuffle and the same when a task is run again."""
+    ship(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +297,4 @@ def op5_query(docs: DataFrame) -> DataFrame:
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 tokens."""
-    from .common import read_table
-
     return op5_query(read_table(spark, sf_dir, "documents"))

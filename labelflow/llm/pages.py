@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import read_table, ship
+
 # Tag names, class words, thresholds and common words.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset "
@@ -252,6 +254,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     A narrow pass without a shuffle; each page is parsed whole. A null or empty
     page gives an empty text; repeated rows each get their own result; input
     columns called ``text`` or ``n_chars`` are replaced."""
+    ship(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     source = pages.select(*[pages[c] for c in kept], pages[html])
 
@@ -271,6 +274,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    from .common import read_table
-
     return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, read_table, text_bytes
+from .common import block_of, blocks_for, read_table, ship, text_bytes
 from .textscan import Words, lowered, mix, slices, string_buffers
 
 ORDER = 5
@@ -275,6 +275,7 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     their counts are kept by 64-bit hash."""
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
+    ship(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"),
                        F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
     total = docs.agg(F.sum(text_bytes()).alias("b")).first()["b"]

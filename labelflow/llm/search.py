@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, ship
 
 BLOCK_VECTORS = 4096
 GROUP_QUERIES = 512
@@ -105,6 +105,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     shorter than the longest has zeros after its end. Ties go to the smaller
     key; with fewer other rows all are returned; an empty table gives an empty
     table. Other columns are not carried."""
+    ship(vectors.sparkSession)
     rows = (vectors.select(F.col(key).alias("id"), integer_vector(vector, scale).alias("v"), is_query.alias("query"))
             .where("id is not null and v is not null")
             .groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query")))

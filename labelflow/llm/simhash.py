@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, ship, stored
 from .components import components
 
 BITS = 64
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle_words: int, seed:
     """``key``, ``fp`` (the fingerprint's 64 bits as a long) for every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     key_type = to_arrow_type(source.schema["key"].dataType)
 
@@ -159,6 +160,7 @@ def block_links(members: np.ndarray, queries: np.ndarray, max_bits: int) -> tupl
 def links(classes: DataFrame, max_bits: int, block_members: int = BLOCK_MEMBERS,
           slice_members: int = SLICE_MEMBERS) -> DataFrame:
     """Links ``a``, ``b`` that connect all distinct ``fp`` within ``max_bits`` of each other."""
+    ship(classes.sparkSession)
     total = classes.count()
     prefix_bits = min(24, max(5, math.ceil(math.log2(max(1, total) / block_members)) if total else 0))
     masks = [sum(1 << i for i in flips) for k in range(max_bits + 1) for flips in combinations(range(prefix_bits), k)]

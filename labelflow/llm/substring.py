@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, read_table, text_bytes
+from .common import block_of, blocks_for, read_table, ship, text_bytes
 from .textscan import WINDOW_BASES, Words, string_buffers, window_hashes
 
 #: Perfect difference covers: for a period, the cover positions (fixed values).
@@ -166,6 +166,7 @@ def remove_repeats(docs: DataFrame, width: int, text: str = "text", key: str = "
     with ``one_space``); a text shorter than the window stays as it is; an
     empty table gives an empty table. Input columns called ``n_words`` or
     ``n_removed`` are replaced."""
+    ship(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "block")
     total = docs.agg(F.sum(text_bytes(text)).alias("b")).first()["b"]
     n_blocks = blocks_for(total, block_bytes)
