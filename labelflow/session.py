@@ -59,6 +59,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/labelflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this library's tables below the shared folder, when no frame that reads them is used any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/labelflow")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 

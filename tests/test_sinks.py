@@ -69,3 +69,15 @@ def test_map_batches_loads_once_per_task(spark):
 
     out = map_batches(df, make, "row_id long, x long, y long")
     assert all(r.y == r.x * r.x for r in out.collect())
+
+
+def test_scratch_is_dropped_only_when_asked(spark, tmp_dir, monkeypatch):
+    import os
+
+    from labelflow import session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda _: tmp_dir)
+    frame = session.store(spark.range(5), "numbers")
+    assert frame.count() == 5 and os.listdir(f"{tmp_dir}/labelflow")
+    session.drop_scratch(spark)
+    assert not os.path.exists(f"{tmp_dir}/labelflow") and os.path.exists(tmp_dir)
