@@ -32,13 +32,14 @@ MAX_REPEAT_PERCENT = 30
 CORE = 0.75
 STEPS = 4
 #: A clean document is rejected with about this probability if the statistics are normal.
-TAIL = 1e-7
+TAIL = 1e-5
 #: A group with fewer documents is judged by its language, or else by all documents.
 MIN_GROUP = 200
 #: Words (or lines) added to a document before its shares are taken, so that short texts are not extreme by chance.
 PRIOR_WORDS, PRIOR_LINES, PRIOR_WORD_CHARS = 50, 5, 5.0
-#: The transformed statistics, with the least standard deviation each is given.
-DIMENSIONS = {"x_word_chars": 0.25, "x_symbols": 0.06, "x_dup_lines": 0.15, "x_repeats": 0.15}
+#: The transformed statistics, with the least standard deviation each is given: small enough that each statistic can
+#: reject a document alone, large enough that one repeated line or window does not where the core has none.
+DIMENSIONS = {"x_word_chars": 0.25, "x_symbols": 0.06, "x_dup_lines": 0.1, "x_repeats": 0.075}
 P = len(DIMENSIONS)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 DISTANCE_BINS = 32

@@ -57,6 +57,32 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert not any(kept[i] for i in range(900, 1100))
 
 
+def test_duplicate_lines_and_repeats_each_reject_alone(spark):
+    pick = random.Random(9)
+
+    def words(n):
+        return ["".join(pick.choice("abcdefghij") for _ in range(pick.randrange(2, 9))) + str(pick.random())[2:5] for _ in range(n)]
+
+    def lines_of(n, pool):  # short lines in random order: few windows of eight words occur twice
+        pool = [" ".join(words(2)) for _ in range(pool)]
+        return "\n".join(pick.choice(pool) for _ in range(n))
+
+    clean = [" ".join(words(pick.randrange(25, 400))) for _ in range(600)]
+    clean += ["\n".join(" ".join(words(3)) for _ in range(pick.randrange(10, 90))) for _ in range(300)]
+    # one line or one window that comes twice is no reason to go
+    clean += ["\n".join([*x.split("\n"), x.split("\n")[0]]) for x in clean[600:640]]
+    clean += [" ".join([*w, *words(9), *w, *words(40)]) for w in (words(8) for _ in range(20))]
+    duplicates = [lines_of(70, 14) for _ in range(40)]
+    repeats = [" ".join([*w, *words(424), *w]) for w in (words(88) for _ in range(40))]
+    texts = clean + duplicates + repeats
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in rate(docs).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert [i for i in range(len(clean)) if not rows[i].kept] == []
+    assert [i for i in range(len(clean), len(texts)) if rows[i].kept] == []
+
+
 def test_labels_of_the_test_data(spark):
     labels = pd.read_parquet(f"{SF01}/labels.parquet")
     got = op9_quality(spark, SF01).toPandas().merge(labels, on="doc_id")
