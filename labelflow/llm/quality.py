@@ -33,7 +33,7 @@ CORE = 0.75
 STEPS = 4
 #: A clean document is rejected with about this probability if the statistics are normal.
 TAIL = 1e-5
-#: A group with fewer documents is judged by its language, or else by all documents.
+#: A group with fewer documents is judged by the estimate of its whole language, or else of all documents.
 MIN_GROUP = 200
 #: Words (or lines) added to a document before its shares are taken, so that short texts are not extreme by chance.
 PRIOR_WORDS, PRIOR_LINES, PRIOR_WORD_CHARS = 50, 5, 5.0
@@ -137,6 +137,15 @@ def chi_square_quantile(share: float, half_degrees: int) -> float:
     return low
 
 
+def tail_probability(distance_: Column, core_n: Column) -> Column:
+    """Chance of a distance this large: F distribution with ``P`` (even, here 4)
+    and ``core_n - P`` degrees of freedom, the chi-square of ``P`` for a large
+    core. It is 1 where the core has too few rows for a covariance."""
+    free = F.greatest(core_n - P, F.lit(0)) / 2
+    z = 1 / (1 + distance_ / F.greatest(core_n - 1, F.lit(1)))
+    return F.pow(z, free) * (1 + free * (1 - z))
+
+
 def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, inverse Cholesky factor and log determinant of each group's covariance."""
     names = list(DIMENSIONS)
@@ -214,12 +223,14 @@ def rate(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
          keep_columns: list[str] | None = None, tail: float = TAIL) -> DataFrame:
     """The given columns (all of ``docs``) plus the base statistics and ``kept``.
 
-    A null language or source is a group of its own; a group of fewer than
-    ``MIN_GROUP`` documents is judged with its language, or with all documents;
-    with fewer than ``MIN_GROUP`` in all, no document is an outlier. Null and
-    empty texts fail the word limit. Repeated rows are rated alike; an empty
-    table gives an empty table; input columns named like a statistic are
-    replaced."""
+    A null language or source is a group of its own. A group of fewer than
+    ``MIN_GROUP`` documents is judged by the estimate of its language, fitted on
+    all documents of that language whatever their group; a language of fewer
+    than ``MIN_GROUP`` by the estimate of all documents, however few these are:
+    the tail probability allows for the size of the core, so that a handful of
+    documents rejects none. Null and empty texts fail the word limit. Repeated
+    rows are rated alike; an empty table gives an empty table; input columns
+    named like a statistic are replaced."""
     names = [c for c in (keep_columns or docs.columns) if c not in (*BASE, "kept")]
     labelled = docs.select(
         *names, F.col(text).alias("_text"),
@@ -229,17 +240,19 @@ def rate(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     passed = rated.where("not base_failed")
     sizes = passed.groupBy("_language", "_group").agg(F.count("*").alias("k"))
     sizes = sizes.withColumn("in_language", F.sum("k").over(Window.partitionBy("_language")))
-    groups = sizes.select("_group", F.when(F.col("k") >= MIN_GROUP, F.col("_group"))
-                          .when(F.col("in_language") >= MIN_GROUP, F.col("_language")).otherwise("all").alias("group"))
-    groups = stored(groups, "quality-groups")
-    vectors = stored(with_vector(passed.join(groups, "_group")).select("group", *DIMENSIONS), "quality-vectors")
+    levels = F.array(F.concat(F.lit("group "), "_group"), F.concat(F.lit("language "), "_language"), F.lit("all"))
+    groups = stored(sizes.select("_group", levels.alias("levels"), F.get(
+        levels, F.when(F.col("k") >= MIN_GROUP, 0).when(F.col("in_language") >= MIN_GROUP, 1).otherwise(2)
+    ).alias("group")), "quality-groups")
+    # a row takes part in each estimate above it by which some group is judged
+    fitted = stored(groups.select("_group", F.explode("levels").alias("group")).join(
+        groups.select("group").distinct(), "group"), "quality-levels")
+    vectors = stored(with_vector(passed.join(fitted, "_group")).select("group", *DIMENSIONS), "quality-vectors")
     core = chi_square_quantile(CORE, P // 2)
     spread = CORE / chi_square(core, P // 2 + 1)  # the core's covariance is too small by this factor
-    limit = spread * chi_square_quantile(1 - tail, P // 2)
     found = robust_estimates(vectors)
-    judged = (with_vector(rated).join(groups, "_group", "left").join(found, "group", "left"))
-    enough = F.col("n") >= CORE * MIN_GROUP
-    outlier = F.coalesce(enough & (distance() > limit), F.lit(False))
+    judged = (with_vector(rated).join(groups.drop("levels"), "_group", "left").join(found, "group", "left"))
+    outlier = F.coalesce(tail_probability(distance() / spread, F.col("n")) < tail, F.lit(False))
     return judged.select(*names, *BASE, (~F.col("base_failed") & ~outlier).alias("kept"))
 
 

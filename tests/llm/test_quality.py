@@ -83,6 +83,32 @@ def test_duplicate_lines_and_repeats_each_reject_alone(spark):
     assert [i for i in range(len(clean), len(texts)) if rows[i].kept] == []
 
 
+def test_small_groups_are_judged_by_all_rows_above_them(spark):
+    pick = random.Random(10)
+
+    def text(mark=""):
+        return " ".join("".join(pick.choice("abcdefghij") for _ in range(pick.randrange(2, 9))) + mark
+                        for _ in range(pick.randrange(60, 200)))
+
+    groups = [("en", "big", 700, 0), ("en", None, 250, 0), ("en", "small", 60, 60), ("en", "junk", 0, 50),
+              ("fr", "few", 0, 40), (None, "small", 30, 5)]
+    rows = [(text("***" if j >= good else ""), lang, source, j >= good)
+            for lang, source, good, bad in groups for j in range(good + bad)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, junk boolean")
+    got = rate(docs).collect()
+    assert len(got) == len(rows)
+    assert [(r.lang, r.source) for r in got if r.kept == r.junk] == []
+
+
+def test_a_small_corpus_loses_its_outliers(spark):
+    pick = random.Random(11)
+    rows = [(i, " ".join("".join(pick.choice("abcdefghij") for _ in range(pick.randrange(2, 9)))
+                         + "***" * (i >= 100) for _ in range(90)), "en", "s") for i in range(120)]
+    got = rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept == (r.doc_id < 100) for r in got)
+
+
 def test_labels_of_the_test_data(spark):
     labels = pd.read_parquet(f"{SF01}/labels.parquet")
     got = op9_quality(spark, SF01).toPandas().merge(labels, on="doc_id")
