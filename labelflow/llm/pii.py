@@ -12,8 +12,10 @@ SHA-256 of the key, the kind of value, the round and the other half:
 
 - digits: halves are numbers, added modulo a power of ten;
 - an address of four bytes: halves are 16-bit numbers, added modulo 2**16;
-- a date: the day number in a span of 2**16 days, halves of 8 bits, walking the
+- a date: the day number in its span of 2**16 days, halves of 8 bits, walking the
   cycle until the new day fits the old one's layout;
+- a card number among other numbers: the cycle is walked until the new number is
+  again the one that is found in its run of digits;
 - letters and digits (mail addresses, secrets): each character of a half is
   shifted within its own class, so lengths, separators and classes stay.
 
@@ -30,9 +32,26 @@ from .common import read_table
 from .quality import let
 
 ROUNDS = 8
-#: First day and number of days of the dates that are permuted among each other.
+#: First day of a span of dates that are permuted among each other, and its days; spans before and after follow on.
 FIRST_DAY, DAYS = "1900-01-01", 1 << 16
 
+IBAN_LENGTHS = "AD24 AT20 BE16 BG22 CH21 CY28 CZ24 DE22 DK18 EE20 ES24 FI18 FR27 GB22 GR27 HR21 HU28 IE22 IS26 IT27 " \
+               "LI21 LT20 LU20 LV21 MC27 MT31 NL18 NO15 PL28 PT25 RO24 SE24 SI19 SK24 SM27 TR26"
+
+
+def iban_pattern() -> str:
+    """The country fixes the length, so that no word after the number is taken with it."""
+    by_length: dict[int, list[str]] = {}
+    for entry in IBAN_LENGTHS.split():
+        by_length.setdefault(int(entry[2:]), []).append(entry[:2])
+    forms = []
+    for length, countries in sorted(by_length.items()):
+        fours, rest = divmod(length - 4, 4)
+        forms.append(rf"(?:{'|'.join(countries)})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}"
+                     + (rf" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return rf"(?<![\w])(?:{'|'.join(forms)})(?![\w])"
+
+
 # Patterns of private values. Order decides where two could start at the same place.
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|" \
          "Nov(?:ember)?|Dec(?:ember)?"
@@ -41,25 +60,26 @@ PATTERNS = {
              r"(?![\w-])",
     "secret": r"(?i)(?<![\w/+-])(?=[\w/+-]{16})(?<=(?:token|secret|passwd|password|api_key|apikey|api-key|access_key|auth)"
               r"[\"']? ?[:=] ?[\"']?)[A-Za-z0-9_/+-]{16,128}(?![\w/+-])",
-    "iban": r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",
+    "iban": iban_pattern(),
     "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w])"
              r"|(?<![\w+])\+(?!1[ (.-])\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?![\w]|[.-]\d)"
              r"|(?<![\w])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])"
              r"|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "iso_date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])",
+    "iso_date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![A-SU-Za-z0-9_-]|T(?!\d))",
     "slash_date": r"(?<![\w./-])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
     "dot_date": r"(?<![\w./-])\d{1,2}\.\d{1,2}\.\d{4}(?![\w])",
     "month_date": rf"(?<![\w.])\d{{1,2}} (?:{MONTHS}) \d{{4}}(?![\w])|(?<![\w])(?:{MONTHS}) \d{{1,2}}, \d{{4}}(?![\w])",
 }
 ANY = "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in PATTERNS.values())
+#: Runs of digits that may hold card numbers, looked for between the other values; a card's groups in a longer run
+#: have three digits or more.
+RUN = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})[\d -]*\d(?![\w-])"
+CARD_DIGITS, CARD_GROUP = (13, 19), 3
 #: A cheap test that a text can hold any of them at all: each has a digit, or is a mail address.
 HINT = "[0-9@]"
 KINDS = ("email", "secret", "iban", "phone", "ssn", "card", "ip", "date")
-IBAN_LENGTHS = "AD24 AT20 BE16 BG22 CH21 CY28 CZ24 DE22 DK18 EE20 ES24 FI18 FR27 GB22 GR27 HR21 HU28 IE22 IS26 IT27 " \
-               "LI21 LT20 LU20 LV21 MC27 MT31 NL18 NO15 PL28 PT25 RO24 SE24 SI19 SK24 SM27 TR26"
 
 
 def keyed(key: str, kind: str, step: Column, half: Column) -> Column:
@@ -171,16 +191,106 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda n, d: n + d)
 
 
-def card(value: Column, key: str, back: bool) -> Column:
-    """A valid number gets another body and its check digit."""
-    def number(d: Column) -> Column:
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        other = let(permute_digits(body, key, "card", back),
-                    lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
-        real = (luhn_sum(d, 1) % 10 == 0) & (F.length(d) >= 13) & ~d.rlike("^(.)\\1*$")
-        return F.when(real, let(other, lambda n: regroup(n, value))).otherwise(value)
+def is_card(digits: Column) -> Column:
+    return (F.length(digits).between(*CARD_DIGITS) & ~digits.rlike("^(.)\\1*$")
+            & (luhn_sum(digits, 1) % 10 == 0))
 
-    return let(digits_of(value), number)
+
+def other_card(digits: Column, key: str, back: bool) -> Column:
+    """Another body and its check digit."""
+    return let(permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", back),
+               lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
+
+
+def cards(run: Column, key: str, back: bool) -> Column:
+    """A run of digits with its card numbers replaced, and their number.
+
+    The whole run is a card if it can be one. Else, of all pieces between group
+    borders that are valid cards, the one that ends first is taken (of these
+    the longest), and then the next behind it. What is found depends only on
+    digits up to its end, so a new number for which the same piece is found
+    again can be undone."""
+    whole_form = run.rlike(r"^\d(?:[ -]?\d){12,18}$")
+
+    def found_at(digits: Column, groups: Column, k: Column, last: Column) -> Column:
+        """Start of the longest card that ends with group ``k``, or null."""
+        widest = CARD_DIGITS[1] // CARD_GROUP
+
+        def begins(i: Column) -> Column:
+            return F.get(groups, i)["end"] - F.get(groups, i)["size"]
+
+        def fits(i: Column) -> Column:
+            end = F.get(groups, k)["end"]
+            return ((begins(i) >= last) & (end - begins(i)).between(*CARD_DIGITS)
+                    & F.forall(F.slice(groups, i + 1, k - i + 1), lambda g: g["size"] >= CARD_GROUP)
+                    & is_card(F.substring(digits, begins(i) + 1, end - begins(i))))
+
+        return F.get(F.transform(F.filter(F.sequence(F.greatest(k - widest, F.lit(0)), k), fits), begins), F.lit(0))
+
+    def parsed(p: Column) -> Column:
+        digits, groups = p["digits"], p["groups"]
+        total = F.length(digits)
+
+        def replaced(state: Column, k: Column, start: Column) -> Column:
+            end = F.get(groups, k)["end"]
+            before, behind = F.substring(digits, F.lit(1), start), F.substring(digits, end + 1, total)
+
+            def same(new: Column) -> Column:  # the same piece is found in the new run
+                def check(text: Column) -> Column:
+                    earlier = F.filter(
+                    F.filter(F.sequence(F.greatest(k - CARD_DIGITS[1] // CARD_GROUP, F.lit(0)), k), lambda j: j < k),
+                    lambda j: F.get(groups, j)["end"] > start)
+                    return (F.forall(earlier, lambda j: found_at(text, groups, j, state["last"]).isNull())
+                            & F.coalesce(found_at(text, groups, k, state["last"]) == start, F.lit(False))
+                            & ~(p["form"] & is_card(F.concat(text, behind))))
+
+                return let(F.concat(before, new), check)
+
+            def walk(x: Column, _: Column) -> Column:
+                return F.when(x["found"], x).otherwise(let(other_card(x["d"], key, back), lambda d: F.struct(
+                    d.alias("d"), same(d).alias("found"))))
+
+            first = F.struct(F.substring(digits, start + 1, end - start).alias("d"), F.lit(False).alias("found"))
+            return let(F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, walk), lambda w: F.struct(
+                F.concat(state["out"], F.substring(digits, state["last"] + 1, start - state["last"]), w["d"]).alias("out"),
+                end.alias("last"), (state["n"] + 1).alias("n")))
+
+        def step(state: Column, k: Column) -> Column:
+            return let(found_at(digits, groups, k, state["last"]),
+                       lambda start: F.when(start.isNull(), state).otherwise(replaced(state, k, start)))
+
+        none = F.struct(F.lit("").alias("out"), F.lit(0).alias("last"), F.lit(0).alias("n"))
+        pieces = let(F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), none, step), lambda z: F.struct(
+            F.concat(z["out"], F.substring(digits, z["last"] + 1, total)).alias("d"), z["n"].alias("n")))
+        whole = F.struct(other_card(digits, key, back).alias("d"), F.lit(1).alias("n"))
+        return F.when(p["form"] & is_card(digits), whole).otherwise(pieces)
+
+    def group_ends(sizes: Column) -> Column:
+        ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda to, x: F.concat(
+            to, F.array(x + F.coalesce(F.try_element_at(to, F.lit(-1)), F.lit(0)))))
+        return F.zip_with(sizes, ends, lambda a, b: F.struct(a.alias("size"), b.alias("end")))
+
+    def written(z: Column, groups: Column) -> Column:
+        separators = F.split(F.regexp_replace(run, "[0-9]", ""), "")
+        return F.array_join(F.zip_with(groups, separators, lambda g, c: F.concat(
+            F.substring(z["d"], g["end"] - g["size"] + 1, g["size"]), F.coalesce(c, F.lit("")))), "")
+
+    groups = let(F.transform(F.split(run, "[ -]"), F.length), group_ends)
+    start = F.struct(digits_of(run).alias("digits"), whole_form.alias("form"), groups.alias("groups"))
+    return let(start, lambda p: let(parsed(p), lambda z: F.struct(
+        F.when(z["n"] > 0, written(z, p["groups"])).otherwise(run).alias("text"), z["n"].alias("n"))))
+
+
+def without_cards(piece: Column, key: str, back: bool) -> Column:
+    """A piece of text between other values with its card numbers replaced, and their number."""
+    def rebuilt(new: Column) -> Column:
+        return F.struct(F.array_join(F.zip_with(F.split(piece, RUN, -1), new, lambda a, b: F.concat(
+            a, F.coalesce(b["text"], F.lit("")))), "").alias("text"),
+            F.aggregate(new, F.lit(0), lambda n, x: n + x["n"]).alias("n"))
+
+    runs = F.regexp_extract_all(piece, F.lit(f"({RUN})"), F.lit(1))
+    return F.when(piece.rlike(RUN), let(F.transform(runs, lambda r: cards(r, key, back)), rebuilt)).otherwise(
+        F.struct(piece.alias("text"), F.lit(0).alias("n")))
 
 
 def mod97(letters_and_digits: Column) -> Column:
@@ -255,7 +365,8 @@ def date(value: Column, key: str, back: bool) -> Column:
     """A day of the calendar becomes another in the same layout. With slashes the
     day comes first only if the number cannot be a month. The cycle of the
     permutation is walked until the day is written with as many digits, and
-    reads in the same order, as the old one; a full month name stays full."""
+    reads in the same order, as the old one; a full month name stays full, a
+    zero before the day stays beside a month's name or a number without one."""
     first = F.lit(FIRST_DAY).cast("date")
     number = [F.regexp_extract(value, r"^(\d+)\D(\d+)\D(\d+)$", i).try_cast("int") for i in (1, 2, 3)]
     name = F.regexp_extract(value, "[A-Za-z]+", 0)
@@ -266,41 +377,56 @@ def date(value: Column, key: str, back: bool) -> Column:
     iso, dotted, slashed = (value.rlike(r"^\d{4}-"), value.rlike(r"^\d{1,2}\."), value.rlike(r"^\d{1,2}/"))
     named, leading = F.length(name) > 0, value.rlike(r"^\d")
     day_first = slashed & (number[0] > 12)
-    two, full = value.rlike(r"^\d\d\D\d\d\D"), F.length(name) > 3
+    full = F.length(name) > 3
     y = F.when(iso, number[0]).when(named, year).otherwise(number[2])
     m = F.when(named, month).when(slashed & ~day_first, number[0]).otherwise(number[1])
     d = F.when(iso, number[2]).when(named, day).when(dotted | day_first, number[0]).otherwise(number[1])
-    numeric = F.when(dotted, F.when(two, "dd.MM.yyyy").otherwise("d.M.yyyy")).when(
-        day_first, F.when(two, "dd/MM/yyyy").otherwise("d/M/yyyy")).when(two, "MM/dd/yyyy").otherwise("M/d/yyyy")
-    words = F.when(full & leading, "d MMMM yyyy").when(leading, "d MMM yyyy").when(full, "MMMM d, yyyy").otherwise(
-        "MMM d, yyyy")
-    pattern = F.when(iso, "yyyy-MM-dd").when(named, words).otherwise(numeric)
     old = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m.cast("int"), d), "yyyy-MM-dd")
-    plan = F.struct(F.datediff(old, first).alias("n"), pattern.alias("pattern"), day_first.alias("late"),
+    width = [F.length(F.regexp_extract(value, r"^(\d+)\D(\d+)\D(\d+)$", i)) for i in (1, 2)]
+    wide_d = F.when(iso, 2).when(named, F.length(F.regexp_extract(value, r"(?:^|[a-z] )(\d{1,2})[ ,]", 1))).when(
+        dotted | day_first, width[0]).otherwise(width[1])
+    wide_m = F.when(iso | named, 2).when(dotted | day_first, width[1]).otherwise(width[0])
+    plan = F.struct(F.datediff(old, first).alias("n"), d.alias("d"), m.cast("int").alias("m"), wide_d.alias("wd"),
+                    wide_m.alias("wm"), (named | (wide_d != wide_m)).alias("strict"), day_first.alias("late"),
                     full.alias("full"))
-
-    def layout(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Za-z]+", "A")
+    names = F.array(*[F.lit(x) for x in "January February March April May June July August September October November "
+                      "December".split()])
 
     def renamed(p: Column) -> Column:
         def text(n: Column) -> Column:
-            return F.call_function("date_format", F.date_add(first, n.cast("int")), p["pattern"])
+            at = F.date_add(first, n.cast("int"))
+            yy = F.lpad(F.year(at).cast("string"), 4, "0")
+            mm, dd = F.lpad(F.month(at).cast("string"), p["wm"], F.lit("0")), F.lpad(F.day(at).cast("string"), p["wd"], F.lit("0"))
+            word = F.get(names, F.month(at) - 1)
+            word = F.when(p["full"], word).otherwise(F.substring(word, 1, 3))
+            return (F.when(iso, F.concat_ws("-", yy, mm, dd)).when(named & leading, F.concat_ws(" ", dd, word, yy))
+                    .when(named, F.concat(word, F.lit(" "), dd, F.lit(", "), yy)).when(dotted, F.concat_ws(".", dd, mm, yy))
+                    .when(day_first, F.concat_ws("/", dd, mm, yy)).otherwise(F.concat_ws("/", mm, dd, yy)))
 
         def fits(n: Column) -> Column:
             at = F.date_add(first, n.cast("int"))
-            return ((layout(text(n)) == layout(value)) & (~p["late"] | (F.day(at) > 12))
-                    & (~p["full"] | (F.month(at) != 5)))
+
+            def written(new: Column, was: Column, wide: Column, strict: Column) -> Column:
+                return F.when(wide == 1, new < 10).otherwise(~strict | ((new < 10) == (was < 10)))
+
+            return (F.year(at).between(1, 9999) & written(F.day(at), p["d"], p["wd"], p["strict"])
+                    & written(F.month(at), p["m"], p["wm"], p["strict"] & ~named)
+                    & (~p["late"] | (F.day(at) > 12)) & (~p["full"] | (F.month(at) != 5)))
+
+        def moved(n: Column) -> Column:  # within the span of 2**16 days that the day lies in
+            within = F.pmod(n, F.lit(DAYS).cast("long"))
+            return n - within + permute_day(within, key, "date", back)
 
         def step(x: Column, _: Column) -> Column:  # the first step always, then until it fits
-            return F.struct(F.when(x["found"], x["n"]).otherwise(permute_day(x["n"], key, "date", back)).alias("n"),
+            return F.struct(F.when(x["found"], x["n"]).otherwise(moved(x["n"])).alias("n"),
                             x["found"].alias("found"))
 
         def walk(x: Column, i: Column) -> Column:
             return let(step(x, i), lambda z: F.struct(z["n"].alias("n"), fits(z["n"]).alias("found")))
 
         start = F.struct(p["n"].cast("long").alias("n"), F.lit(False).alias("found"))
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, walk)
-        return F.when(p["n"].between(0, DAYS - 1) & fits(p["n"]), text(end["n"]))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(2000)), start, walk)
+        return F.when(fits(p["n"]), let(end, lambda e: F.when(e["found"], text(e["n"]))))
 
     return F.coalesce(let(plan, renamed), value)
 
@@ -332,7 +458,6 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
         .when(is_a("ip"), address(value, key, back))
         .when(dates, date(value, key, back))
         .when(is_a("phone"), phone(value, key, back))
-        .when(is_a("card"), card(value, key, back))
         .otherwise(secret(value, key, back)))
 
 
@@ -355,13 +480,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
 
     def rebuilt(values: Column) -> Column:
         new = F.transform(values, lambda v: pseudonym(v, key, back))
-        between = F.split(value, ANY, -1)
-        return let(new, lambda n: F.struct(
-            F.array_join(F.zip_with(between, n, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"),
-            F.aggregate(F.zip_with(values, n, lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0).cast("long"),
-                        lambda x, y: x + y).alias("n")))
-
-    done = let(found, lambda v: F.when(F.size(v) > 0, rebuilt(v)))
+        between = F.transform(F.split(value, ANY, -1), lambda piece: without_cards(piece, key, back))
+        return let(F.struct(new.alias("new"), between.alias("between")), lambda x: F.struct(
+            F.array_join(F.zip_with(x["between"], x["new"], lambda a, b: F.concat(
+                a["text"], F.coalesce(b, F.lit("")))), "").alias("text"),
+            (F.aggregate(F.zip_with(values, x["new"], lambda a, b: F.when(a == b, 0).otherwise(1)),
+                         F.lit(0).cast("long"), lambda x, y: x + y)
+             + F.aggregate(x["between"], F.lit(0).cast("long"), lambda n, a: n + a["n"])).alias("n")))
+
+    done = let(found, lambda v: F.when((F.size(v) > 0) | value.rlike(RUN), rebuilt(v)))
     names = [c for c in docs.columns if c != "n_private"]
     changed = docs.withColumn("_done", done)
     return changed.select(
