@@ -7,7 +7,9 @@ forms, comments and the like are bad. The second pass lets near-good and short
 blocks inherit from the nearest decided neighbours. In a page that marks its
 article (``<article>`` or ``<main>``) only blocks of that part are candidates
 and only they are neighbours; there a long block with few stop words is
-undecided instead of bad.
+undecided instead of bad. Where no list of stop words fits the page (its
+declared language has none, or no block is dense enough in any) length and link
+density decide alone.
 """
 
 from __future__ import annotations
@@ -70,6 +72,9 @@ TOKEN = re.compile(
 CLASS_OR_ID = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+#: Letters of scripts written without spaces count as this many in lengths where no stop words are known.
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
+DENSE_FACTOR = 3
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -174,13 +179,15 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def stop_density(text: str, lists: list[frozenset]) -> float:
+    if not lists:
+        return 0.0
     words = [EDGE.sub("", w) for w in text.lower().split()]
     words = [w for w in words if w]
     return max(sum(w in words_of for w in words) for words_of in lists) / len(words) if words else 0.0
 
 
 def classify(block: Block, lists: list[frozenset], marked_article: bool) -> str:
-    """First pass: a block by itself."""
+    """First pass: a block by itself; without lists by length and links alone."""
     length = len(block.text)
     if block.bad or (marked_article and not block.content):
         return "bad"
@@ -190,8 +197,11 @@ def classify(block: Block, lists: list[frozenset], marked_article: bool) -> str:
         return "bad"
     if not marked_article and ("©" in block.text and length < LONG_LENGTH):
         return "bad"
-    if length < SHORT_LENGTH:
+    size = length if lists else length + (DENSE_FACTOR - 1) * len(DENSE.findall(block.text))
+    if size < SHORT_LENGTH:
         return "bad" if block.links and not marked_article else "short"
+    if not lists:
+        return "good" if size > LONG_LENGTH else "near"
     density = stop_density(block.text, lists)
     if density >= STOP_HIGH:
         return "good" if length > LONG_LENGTH else "near"
@@ -241,8 +251,10 @@ def main_text(page: str | None) -> str:
         return ""
     language = LANG.search(page)
     named = STOP_WORDS.get(language[1].lower()) if language else None
-    lists = [named] if named else list(STOP_WORDS.values())
+    lists = [named] if named else [] if language else list(STOP_WORDS.values())
     blocks = blocks_of(page)
+    if not any(len(b.text) >= SHORT_LENGTH and not b.bad and stop_density(b.text, lists) >= STOP_LOW for b in blocks):
+        lists = []  # none of the known languages
     marked_article = any(b.content for b in blocks)
     labels = [classify(b, lists, marked_article) for b in blocks]
     return "\n".join(b.text for b, keep in zip(blocks, settle(blocks, labels, marked_article), strict=True) if keep)

@@ -56,6 +56,21 @@ def test_titles_bylines_and_links_of_an_article_stay():
         "It is all in the text of the page as it was when it was written and read by all of us."]
 
 
+ITALIAN = ("Il governo presenta oggi una nuova legge sulla scuola pubblica, mentre i sindacati annunciano scioperi in tutte "
+           "le regioni; secondo il ministro, servono risorse maggiori e insegnanti meglio pagati entro settembre. ") * 2
+RUSSIAN = "Правительство представило сегодня новый закон о школах, а профсоюзы объявили забастовки во всех регионах страны. " * 3
+CHINESE = "政府今天公布了一项关于公立学校的新法律，工会宣布将在全国各地举行罢工，部长表示需要更多的资金和教师。" * 2
+
+
+@pytest.mark.parametrize("text", [ITALIAN, RUSSIAN, CHINESE])
+@pytest.mark.parametrize("lang", [" lang='xx'", ""])
+def test_languages_without_a_list_of_stop_words(text, lang):
+    links = "".join(f"<li><a href='/{i}'>{text[:20]} {i}</a></li>" for i in range(9))
+    page = (f"<html{lang}><body><ul>{links}</ul><div class='content'><h1>{text[:15]}</h1><p>{text}</p><p>{text[:9]}.</p>"
+            f"<p>{text}</p></div><ul>{links}</ul><div class='cookie'>{text}</div></body></html>")
+    assert main_text(page) == "\n".join([text[:15].strip(), text.strip(), f"{text[:9]}.", text.strip()])
+
+
 def test_article_of_short_blocks_only():
     page = "<body><nav><a href=x>Home</a></nav><article><h1>Of.</h1><p>That it.</p></article><footer>&copy; x</footer>"
     assert main_text(page) == "Of.\nThat it."
