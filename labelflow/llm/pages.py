@@ -5,9 +5,12 @@ block by itself: link density, length and stop-word density make it *good*,
 *bad*, *near-good* or *short*; blocks inside navigation, adverts, notices,
 forms, comments and the like are bad. The second pass lets near-good and short
 blocks inherit from the nearest decided neighbours. In a page that marks its
-article (``<article>`` or ``<main>``) only blocks of that part are candidates
-and only they are neighbours; there a long block with few stop words is
-undecided instead of bad. Where no list of stop words fits the page (its
+article (``<article>`` or ``<main>``) the blocks of that part are neighbours of
+each other only, and there a long block with few stop words is undecided
+instead of bad; blocks outside it are judged by the plain rules among
+themselves and need a good block beside them. An ``<article>`` whose class, id
+or role names comments, teasers or the like is bad unless it holds more good
+text than all that is not so named. Where no list of stop words fits the page (its
 declared language has none, or no block is dense enough in any) length and link
 density decide alone.
 """
@@ -85,6 +88,11 @@ class Block:
     heading: bool
     bad: bool
     content: int
+    named_bad: int  # the innermost <article> around it with a bad class word, or 0
+
+
+def _class_words(attributes: str) -> set[str]:
+    return {w for groups in CLASS_OR_ID.findall(attributes) for w in NAME_PART.findall("".join(groups).lower())}
 
 
 def _mark(name: str, attributes: str) -> str:
@@ -95,16 +103,16 @@ def _mark(name: str, attributes: str) -> str:
         return "bad"
     if name in WHOLE_TAGS:
         return ""
-    words = {w for groups in CLASS_OR_ID.findall(attributes) for w in NAME_PART.findall("".join(groups).lower())}
+    words = _class_words(attributes)
     return "bad" if words & BAD_WORDS else HEADER if HEADER in words else ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order with their text, link characters and surroundings."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int, int]] = []
     bad_depth = header_depth = link_depth = 0
-    content = contents = 0
+    content = contents = named_bad = 0
     parts: list[str] = []
     link_parts: list[str] = []
     heading = title = False
@@ -116,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 links = len(" ".join("".join(link_parts).split()))
                 own_title = title and content and bad_depth == header_depth  # an article's title in its own header
-                blocks.append(Block(text, links, heading, bad_depth > 0 and not own_title, content))
+                blocks.append(Block(text, links, heading, bad_depth > 0 and not own_title, content, named_bad))
         parts.clear()
         link_parts.clear()
         heading = title = False
@@ -149,14 +157,14 @@ def blocks_of(page: str) -> list[Block]:
         if marked or name in BLOCK_TAGS or name in BAD_TAGS:
             flush()
         if match["close"]:
-            if any(open_name == name for open_name, _, _ in stack):
+            if any(entry[0] == name for entry in stack):
                 while stack:
-                    open_name, was_marked, was_content = stack.pop()
+                    open_name, was_marked, was_content, was_named = stack.pop()
                     if was_marked or open_name in CONTENT_TAGS:
                         flush()
                     bad_depth -= was_marked != ""
                     header_depth -= was_marked == HEADER
-                    content = was_content
+                    content, named_bad = was_content, was_named
                     if open_name == name:
                         break
             if name in HEADINGS:
@@ -164,15 +172,17 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID_TAGS and not match["rest"].endswith("/"):
             if name == "p" or name in HEADINGS:  # a paragraph ends where the next begins
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font"):
-                    _, was_marked, content = stack.pop()
+                    _, was_marked, content, named_bad = stack.pop()
                     bad_depth -= was_marked != ""
                     header_depth -= was_marked == HEADER
-            stack.append((name, marked, content))
+            stack.append((name, marked, content, named_bad))
             bad_depth += marked != ""
             header_depth += marked == HEADER
             if name in CONTENT_TAGS and not bad_depth:
                 contents += 1
                 content = contents
+                if name == "article" and _class_words(match["rest"]) & BAD_WORDS:
+                    named_bad = contents
             heading, title = name in HEADINGS, name == "h1"
     flush()
     return blocks
@@ -186,10 +196,26 @@ def stop_density(text: str, lists: list[frozenset]) -> float:
     return max(sum(w in words_of for w in words) for words_of in lists) / len(words) if words else 0.0
 
 
+def drop_named_articles(blocks: list[Block], lists: list[frozenset]) -> None:
+    """Blocks of articles named as comments, teasers or the like become bad, but
+    for an article with more good text than all blocks outside such articles."""
+    if not any(b.named_bad for b in blocks):
+        return
+    held: dict[int, tuple[int, int]] = {0: (0, 0)}
+    for b in blocks:
+        if not b.bad:
+            good = len(b.text) if classify(b, lists, b.content > 0) == "good" else 0
+            before = held.get(b.named_bad, (0, 0))
+            held[b.named_bad] = (before[0] + good, before[1] + (len(b.text) if b.content else 0))
+    for b in blocks:
+        if b.named_bad and held.get(b.named_bad, (0, 0)) <= held[0]:
+            b.bad, b.content = True, 0
+
+
 def classify(block: Block, lists: list[frozenset], marked_article: bool) -> str:
     """First pass: a block by itself; without lists by length and links alone."""
     length = len(block.text)
-    if block.bad or (marked_article and not block.content):
+    if block.bad:
         return "bad"
     if block.links > (MAX_ARTICLE_LINK_DENSITY if marked_article else MAX_LINK_DENSITY) * length:
         return "bad"
@@ -210,14 +236,14 @@ def classify(block: Block, lists: list[frozenset], marked_article: bool) -> str:
     return "near" if marked_article else "bad"
 
 
-def settle(blocks: list[Block], labels: list[str], marked_article: bool) -> list[bool]:
+def settle(blocks: list[Block], labels: list[str], marked_article: bool, alone: bool = True) -> list[bool]:
     """Second pass: undecided blocks take the labels of decided neighbours.
+    ``alone`` is false for what stands outside a page's marked article.
 
     Blocks that their markup rules out are no part of the text's flow and so
     no neighbours: an advert between two paragraphs says nothing about them."""
     n = len(labels)
-    decides = [label in ("good", "bad") and not b.bad and (b.content > 0 or not marked_article)
-               for b, label in zip(blocks, labels, strict=True)]
+    decides = [label in ("good", "bad") and not b.bad for b, label in zip(blocks, labels, strict=True)]
     before, after = [""] * n, [""] * n
     last = ""
     for i in range(n):
@@ -237,7 +263,7 @@ def settle(blocks: list[Block], labels: list[str], marked_article: bool) -> list
         elif marked_article:  # only an article's own parts surround it
             keep.append("good" in around or not before[i] or not after[i])
         elif label == "near":
-            keep.append("good" in around or not around)
+            keep.append("good" in around or (alone and not around))
         elif blocks[i].heading:
             keep.append(after[i] == "good")
         else:
@@ -255,9 +281,15 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page)
     if not any(len(b.text) >= SHORT_LENGTH and not b.bad and stop_density(b.text, lists) >= STOP_LOW for b in blocks):
         lists = []  # none of the known languages
+    drop_named_articles(blocks, lists)
     marked_article = any(b.content for b in blocks)
-    labels = [classify(b, lists, marked_article) for b in blocks]
-    return "\n".join(b.text for b, keep in zip(blocks, settle(blocks, labels, marked_article), strict=True) if keep)
+    kept: set[int] = set()
+    for inside in (True, False):
+        at = [i for i, b in enumerate(blocks) if (b.content > 0) == inside]
+        part = [blocks[i] for i in at]
+        labels = [classify(b, lists, inside) for b in part]
+        kept.update(i for i, keep in zip(at, settle(part, labels, inside, not marked_article), strict=True) if keep)
+    return "\n".join(b.text for i, b in enumerate(blocks) if i in kept)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -56,6 +56,27 @@ def test_titles_bylines_and_links_of_an_article_stay():
         "It is all in the text of the page as it was when it was written and read by all of us."]
 
 
+TEASER = f"<h3>Other</h3><p>{LONG[:150]}</p>"
+
+
+@pytest.mark.parametrize("other", [
+    f"<article class='related'>{TEASER}</article>" * 3, f"<article class='comment'><p>{LONG}</p></article>",
+    f"<div><article id=comment-1><p>{LONG}</p><article class=reply><p>{LONG[:150]}</p></article></article></div>"])
+@pytest.mark.parametrize("story", ["div class='content'", "article", "article class='post'", "main"])
+def test_named_articles_do_not_replace_the_story(story, other):
+    body = f"<h1>A title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    page = f"<html lang=en><body><{story}>{body}</{story.split()[0]}>{other}<p>Outside of all.</p></body></html>"
+    text = main_text(page)
+    assert text.startswith(f"A title\n{LONG.strip()}\nShort.\n{LONG.strip()}")
+    assert text.count(LONG.strip()) == 2 and "Other" not in text and LONG[:150].strip() not in text.split("\n")
+
+
+def test_a_story_beside_unnamed_articles_stays():
+    page = (f"<html lang=en><body><div class=content><h1>A title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
+            f"<article><h3>Teaser</h3><p>{LONG[:150]}</p></article></body></html>")
+    assert main_text(page).startswith(f"A title\n{LONG.strip()}\nShort.\n{LONG.strip()}")
+
+
 ITALIAN = ("Il governo presenta oggi una nuova legge sulla scuola pubblica, mentre i sindacati annunciano scioperi in tutte "
            "le regioni; secondo il ministro, servono risorse maggiori e insegnanti meglio pagati entro settembre. ") * 2
 RUSSIAN = "Правительство представило сегодня новый закон о школах, а профсоюзы объявили забастовки во всех регионах страны. " * 3
