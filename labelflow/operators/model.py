@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIT_ROWS_PER_PARTITION, INVERSE_REG, LABELS, MAX_FEATURES, MAX_ITER, TOL
 from ..session import store
-from . import evaluate
+from . import evaluate, stacked
 from .clean import clean_labelled, label_encode
 from .features import TfidfFit, fit_tfidf, tfidf_stages
 
@@ -172,20 +172,35 @@ def run_experiment(name: str, train: DataFrame, evaluate_on: DataFrame, clean: b
 def sweep(train: DataFrame, evaluate_on: DataFrame, grid: Sequence[tuple[str, dict]],
           labels: Sequence[str] = LABELS) -> DataFrame:
     """M8 over a grid of classifier parameters (``max_iter``, ``inverse_reg``,
-    ``tol``). TF-IDF is fitted once, the training features are stored once,
-    and the evaluation text is transformed once: all classifiers score the
-    same feature column, and their predictions leave the row as one array.
-    The result is one model-keyed table, evaluated by a single job."""
-    fit = fit_tfidf(labelled_rows(train))
-    feats = store(training_features(train, fit), "training-features")
+    ``tol``). TF-IDF is fitted once and the training features are stored once;
+    all settings are fitted in the same passes over them (``stacked``). The
+    evaluation text is transformed once: all classifiers score the same feature
+    column, and their predictions leave the row as one array. The result is one
+    model-keyed table, evaluated by a single job."""
+    fit, stacked_fit = fit_grid(train, grid, labels)
+    return score_grid(fit, [name for name, _ in grid], stacked_fit.weights(), evaluate_on, labels)
+
+
+def fit_grid(train: DataFrame, grid: Sequence[tuple[str, dict]], labels: Sequence[str] = LABELS,
+             tfidf: TfidfFit | None = None) -> tuple[TfidfFit, stacked.StackedFit]:
+    """The shared TF-IDF fit and the stacked fit of all settings."""
+    fit = tfidf or fit_tfidf(labelled_rows(train))
+    blocks = stacked.feature_blocks(training_features(train, fit), len(fit.vocabulary), len(labels))
+    found = stacked.fit_stacked(blocks, [stacked.Setting(name, **params) for name, params in grid])
+    blocks.release()
+    return fit, found
+
+
+def score_grid(fit: TfidfFit, names: Sequence[str], weights, evaluate_on: DataFrame,
+               labels: Sequence[str] = LABELS) -> DataFrame:
+    """The rows once for each classifier: ``model``, ``predicted_label``, ``probabilities``; the text is read once."""
     scored = PipelineModel(tfidf_stages(fit)).transform(evaluate_on)
+    decoded = F.array(*[F.lit(x) for x in labels])
     found = []
-    for i, (name, params) in enumerate(grid):
-        lr = fit_logistic(feats, fit.n_docs, **params)
-        own = f"_{i}"
+    for i, (name, w) in enumerate(zip(names, weights, strict=True)):
+        lr, own = stacked.as_model(w), f"_{i}"
         lr.setPredictionCol(f"{own}p").setProbabilityCol(f"{own}q").setRawPredictionCol(f"{own}r")
         scored = lr.transform(scored)
-        names = F.array(*[F.lit(x) for x in labels])
-        found.append(F.struct(F.lit(name).alias("model"), F.get(names, F.col(f"{own}p").cast("int")).alias("predicted_label"),
+        found.append(F.struct(F.lit(name).alias("model"), F.get(decoded, F.col(f"{own}p").cast("int")).alias("predicted_label"),
                               vector_to_array(f"{own}q").alias("probabilities")))
     return scored.select(*evaluate_on.columns, F.inline(F.array(*found)))

@@ -19,7 +19,7 @@ from ..operators import clean, compare, evaluate, features, split
 from ..operators.scoring import blank_guard as _blank_guard
 from ..operators.scoring import linear_score
 from ..session import scratch_path, store
-from ..sinks import write_keyed_csv, write_metrics_json, write_split_table, write_table_csv
+from ..sinks import write_keyed_csv, write_metrics_json, write_run_state, write_split_table, write_table_csv
 from ..sources.labelled import read_labelled_csv
 from ..sources.labelled import read_split as _read_split
 from ..sources.records import read_keyed_csv, read_metrics, read_run_history
@@ -122,22 +122,25 @@ def q_metrics_gather(spark, d):
     return read_metrics(spark, paths, pretty=False).drop("source_file")
 
 
+#: Steps that a checkpoint of the event history covers; it repeats as many from before.
+CHECKPOINT_STEPS = 1000
+
+
 def q_run_history_best_step(spark, d):
-    """Events as the run history of their users: two checkpoints a run, the later one repeating the steps."""
+    """Events as the run history of their users: a checkpoint for every block of steps, which repeats the block before."""
     path = scratch_path(spark, "history")
     events = table(spark, d, "events").select(
-        F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.round("value", 3).alias("f1"))
-    steps = events.select("run", F.explode(F.array(F.lit(1), F.lit(2))).alias("checkpoint"), "step", "f1").where(
-        (F.col("checkpoint") == 2) | (F.col("step") % 2 == 0))
-    entry = F.struct((F.col("step") / 10.0).alias("epoch"), "step", F.lit(0.5).alias("eval_loss"),
+        F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), F.round("value", 3).alias("f1"))
+    block = F.floor(F.col("step") / CHECKPOINT_STEPS)
+    entry = F.struct("step", (F.col("step") / 10.0).alias("epoch"), F.lit(0.5).alias("eval_loss"),
                      F.col("f1").alias("eval_f1_weighted"))
-    history = steps.groupBy("run", "checkpoint").agg(
+    checkpoints = events.select("run", "f1", "step", entry.alias("entry"), F.explode(F.array(block, block + 1)).alias("checkpoint"))
+    history = checkpoints.groupBy("run", "checkpoint").agg(
         F.max("f1").alias("best_metric"), F.max_by("step", F.struct("f1", -F.col("step"))).alias("best_global_step"),
-        F.collect_list(entry).alias("log_history"))
-    history.write.partitionBy("run", "checkpoint").json(path)
-    best = compare.best_step(read_run_history(spark, [f"{path}/*/*/*.json"]))
-    return best.select(F.regexp_extract("run", "run=(.*)", 1).cast("long").alias("run"), "best_step",
-                       r6("best_metric").alias("best_metric"))
+        F.collect_list("entry").alias("log_history"))
+    write_run_state(history, path)
+    best = compare.best_step(read_run_history(spark, [path], pretty=False))
+    return best.select(F.col("run").cast("long").alias("run"), "best_step", r6("best_metric").alias("best_metric"))
 
 
 def q_json_field(spark, d):

@@ -9,15 +9,18 @@ numbers with brute force on small fixtures.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
 from ..functions.text import na_to_null
-from ..operators import clean, evaluate, split
-from ..operators.model import (fit_classifier, largest_gradient, load_model, predict, run_experiment, save_model, sweep,
-                               write_results)
+from ..operators import clean, compare, evaluate, split
+from ..operators.model import (RESULTS, fit_classifier, fit_grid, largest_gradient, load_model, predict, run_experiment,
+                               save_model, score_grid, sweep, write_results)
+from ..operators.rounds import run_rounds
 from ..operators.scoring import score_texts
+from ..operators.stacked import Setting
 from ..session import scratch_path, store
 from ..streaming import score_stream
 from .base import labelled, raw_labelled, table
@@ -27,7 +30,11 @@ SWEEP = (
     ("lr_c1", {}),
     ("lr_c0.1", {"inverse_reg": 0.1}),
     ("lr_c10_it50", {"inverse_reg": 10.0, "max_iter": 50}),
+    ("lr_prior", {"inverse_reg": 1e-6}),
 )
+#: So strong a penalty leaves the classes' shares alone: such a run predicts the commonest class of its training
+#: rows everywhere, and SQL can tell all its numbers.
+PRIOR = {"inverse_reg": 1e-6}
 
 
 #: The tuned run's own parameters.
@@ -74,12 +81,17 @@ def _written(spark: SparkSession, results: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def baseline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty rows -> clean -> split -> fit -> metrics, report, confusion and predictions on test."""
+def _clean_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty rows, cleaned, with a known label, split and stored by part."""
     raw = raw_labelled(spark, sf_dir).select("row_id", na_to_null(F.col("text")).alias("text"),
                                              na_to_null(F.col("label")).alias("label"))
     good = clean.clean_labelled(raw, require=("text", "label"), strict=False).where(F.col("label").isin(*LABELS))
-    s = store(split.split_70_15_15(good), "splits", partition_by="split")
+    return store(split.split_70_15_15(good), "splits", partition_by="split")
+
+
+def baseline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty rows -> clean -> split -> fit -> metrics, report, confusion and predictions on test."""
+    s = _clean_split(spark, sf_dir)
     return _written(spark, run_experiment(BASELINE, _part(s, "train"), _part(s, "test")))
 
 
@@ -113,12 +125,79 @@ def save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: several parameter settings, one shared TF-IDF fit, one scan of the
-    evaluation text; rows evaluated per run."""
+    """M8: several parameter settings fitted in the same passes, one scan of the
+    evaluation text. Rows evaluated per run, the largest gradient entry to two
+    places, and of the run whose penalty leaves the classes' shares alone its F1."""
     s = split_table(spark, sf_dir)
-    runs = sweep(_part(s, "train"), _part(s, "val").select("row_id", "text", "label"), SWEEP)
+    fit, found = fit_grid(_part(s, "train"), SWEEP)
+    names = [name for name, _ in SWEEP]
+    runs = store(score_grid(fit, names, found.weights(), _part(s, "val").select("row_id", "text", "label")), "sweep")
     known = F.col("predicted_label").isin(*LABELS)
-    return runs.groupBy("model").agg(F.count("*").alias("n_rows"), F.count_if(~known).cast("int").alias("n_unknown"))
+    rows = runs.groupBy("model").agg(F.count("*").alias("n_rows"), F.count_if(~known).cast("int").alias("n_unknown"))
+    gradients = F.create_map(*[F.lit(x) for name, g in zip(names, found.gradients(), strict=True) for x in (name, abs(round(g, 2)))])
+    f1 = evaluate.metrics_record(runs).select("model", F.when(F.col("model") == "lr_prior", F.col("f1_weighted")).alias("prior_f1"))
+    return rows.join(f1, "model").withColumn("gradient", gradients[F.col("model")])
+
+
+def run_rounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's settings trained in rounds with evaluation on val after each.
+
+    Round 0 (the classes' shares in train) with its numbers; whether the best
+    step is the maximum of the history; whether the restored best model scores
+    val as the history says; whether the loss on train fell in every round."""
+    s = split_table(spark, sf_dir)
+    train, val = _part(s, "train"), _part(s, "val")
+    settings = [Setting(name, **params) for name, params in SWEEP]
+    done = run_rounds(train, val, settings, scratch_path(spark, "rounds"), rounds=5, steps_per_round=4)
+    history = store(done.history(spark), "history")
+    start = history.where("step = 0").select("run", F.round("eval_accuracy", 6).alias("accuracy_0"), F.round("eval_loss", 6).alias("loss_0"),
+                                             F.round("eval_f1_weighted", 6).alias("f1_0"))
+    best = compare.best_step(history)
+    highest = history.groupBy("run").agg(
+        F.max("eval_f1_weighted").alias("highest"),
+        (F.max_by("loss", "step") <= F.min("loss") + 1e-12).alias("loss_fell"))
+    models = done.best(spark)
+    weights = [next(st for st in m.stages if hasattr(st, "coefficientMatrix")) for m in models.values()]
+    restored = score_grid(done.tfidf, list(models), [_weights_of(lr) for lr in weights], val.select("row_id", "text", "label"))
+    again = evaluate.metrics_record(restored).select(F.col("model").alias("run"), F.col("f1_weighted").alias("again"))
+    return (start.join(best, "run").join(highest, "run").join(again, "run")
+            .select("run", "accuracy_0", "loss_0", "f1_0", (F.col("best_metric") == F.col("highest")).alias("best_is_highest"),
+                    (F.col("best_metric") == F.col("again")).alias("best_restored"), "loss_fell"))
+
+
+def _weights_of(lr) -> np.ndarray:
+    """A classifier's coefficients with its intercepts as the last column."""
+    return np.column_stack([lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()])
+
+
+def experiment_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of the four results of two complete runs, written and read
+    back: dirty rows -> clean -> split -> fit on train, or on train and val -> test."""
+    s = _clean_split(spark, sf_dir)
+    out = None
+    for name, train in (("baseline", _part(s, "train")), ("tuned", split.train_val_union(s))):
+        path = scratch_path(spark, "results")
+        write_results(run_experiment(name, train, _part(s, "test"), **PRIOR), path)
+        found = _values({r: spark.read.parquet(f"{path}/{r}") for r in RESULTS})
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _values(results: dict[str, DataFrame]) -> DataFrame:
+    """Every value of the four results: ``model, result, key1, key2, value``."""
+    def cells(name: str, key: str, columns: tuple[str, ...]) -> DataFrame:
+        df = results[name]
+        entries = F.array(*[F.struct(F.lit(c).alias("key2"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in columns])
+        return df.select("model", F.lit(name).alias("result"), F.col(key).cast("string").alias("key1"), F.inline(entries))
+
+    confusion = results["confusion"].select("model", F.lit("confusion").alias("result"), F.col("label").alias("key1"),
+                                            F.col("predicted_label").alias("key2"), F.col("n").cast("double").alias("value"))
+    predictions = results["predictions"].select(
+        "model", F.lit("predictions").alias("result"), F.col("row_id").cast("string").alias("key1"),
+        F.col("predicted_label").alias("key2"), F.lit(1.0).alias("value"))
+    metrics = cells("metrics", "model", ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted"))
+    report = cells("report", "row_name", ("precision", "recall", "f1_score", "support"))
+    return metrics.unionByName(report).unionByName(confusion).unionByName(predictions)
 
 
 def experiment_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +231,8 @@ MODEL_QUERIES = {
     "save_load": save_load,
     "experiment_sweep": experiment_sweep,
     "sweep_metrics": sweep_metrics,
+    "run_rounds": run_rounds_query,
+    "experiment_outputs": experiment_outputs,
     "experiment_tuned": experiment_tuned,
     "baseline_report": baseline_report,
     "baseline_end_to_end": baseline_end_to_end,

@@ -28,6 +28,7 @@ def _strip(expr: str) -> str:
 
 
 LABEL_LIST = ", ".join(_q(x) for x in LABELS)
+SWEEP_NAMES = "('lr_c1'), ('lr_c0.1'), ('lr_c10_it50'), ('lr_prior')"
 LABEL_VALUES = ", ".join(f"({_q(x)})" for x in LABELS)
 NA_LIST = ", ".join(_q(x) for x in NA_TOKENS)
 LABEL_IDX = "CASE {c} " + " ".join(f"WHEN {_q(x)} THEN {i}" for i, x in enumerate(LABELS)) + " END"
@@ -161,6 +162,13 @@ def split3_chain(p: str, src: str) -> str:
          FROM {p}rk r JOIN {p}bq USING (label))"""
 
 
+def prior_chain(p: str, src: str, fit_on: str, evaluate_on: str, models: str) -> str:
+    """{p}R: predictions of models that know the classes' shares alone: the commonest class of their training rows."""
+    return f"""{p}top AS (SELECT label AS predicted_label FROM {src} WHERE split IN ({fit_on}) GROUP BY label
+            ORDER BY count(*) DESC, label LIMIT 1),
+{p}R AS (SELECT model, row_id, label, predicted_label FROM {src}, {p}top, ({models}) m WHERE split IN ({evaluate_on}))"""
+
+
 def terms_chain(p: str, src: str) -> str:
     """{p}tok (word tokens), {p}trm (1-2 grams), {p}tc (row_id, term, tf)."""
     return f"""{p}tok AS (SELECT row_id, regexp_extract_all(lower(text), {_q(WORD_RE2)}) AS t FROM {src}),
@@ -352,8 +360,28 @@ ORACLE: dict[str, str] = {
     + f"coalesce({_strip('text')}, '') = '' AS blank FROM documents)",
     "score_stream": "SELECT count(*) AS n_rows, 0 AS n_different FROM documents",
     "save_load": "SELECT count(*) AS n_rows, 0 AS n_different FROM documents",
-    "experiment_sweep": W(LAB, S3) + "SELECT model, count(*) AS n_rows, 0 AS n_unknown FROM sS "
-    "CROSS JOIN (VALUES ('lr_c1'), ('lr_c0.1'), ('lr_c10_it50')) m(model) WHERE split = 'val' GROUP BY model",
+    "experiment_sweep": W(LAB, S3, prior_chain("p", "sS", "'train'", "'val'", "SELECT 'lr_prior' AS model"),
+                          eval_chain("", "pR"))
+    + "SELECT m.model, (SELECT count(*) FROM pR) AS n_rows, 0 AS n_unknown, 0.0 AS gradient, f1_weighted AS prior_f1 "
+    f"FROM (VALUES {SWEEP_NAMES}) m(model) LEFT JOIN met ON m.model = met.model",
+    "run_rounds": W(LAB, S3, prior_chain("p", "sS", "'train'", "'val'", f"SELECT * FROM (VALUES {SWEEP_NAMES}) m(model)"),
+                    "share AS (SELECT label, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM sS WHERE split = 'train' GROUP BY label)",
+                    "loss AS (SELECT -avg(ln(p)) AS loss FROM sS JOIN share USING (label) WHERE split = 'val')",
+                    eval_chain("", "pR"))
+    + "SELECT model AS run, accuracy AS accuracy_0, round(loss, 6) AS loss_0, f1_weighted AS f1_0, true AS best_is_highest, "
+    "true AS best_restored, true AS loss_fell FROM met, loss",
+    "experiment_outputs": W(LAB, RAW, NA, f"good AS (SELECT row_id, label FROM nb WHERE label IN ({LABEL_LIST}))",
+                            split3_chain("s", "good"),
+                            prior_chain("a", "sS", "'train'", "'test'", "SELECT 'baseline' AS model"),
+                            prior_chain("b", "sS", "'train', 'val'", "'test'", "SELECT 'tuned' AS model"),
+                            "RR AS (SELECT * FROM aR UNION ALL SELECT * FROM bR)", eval_chain("", "RR"))
+    + " UNION ALL ".join(
+        [f"SELECT model, 'metrics' AS result, model AS key1, '{c}' AS key2, {c} AS value FROM met"
+         for c in ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted")]
+        + [f"SELECT model, 'report', row_name, '{c}', round({c}, 6) FROM rep"
+           for c in ("precision", "recall", "f1_score", "support")]
+        + ["SELECT model, 'confusion', label, predicted_label, n FROM conf",
+           "SELECT model, 'predictions', CAST(row_id AS VARCHAR), predicted_label, 1.0 FROM RR"]),
     "experiment_tuned": W(LAB, S3) + f"""SELECT result, n_rows FROM (VALUES ('metrics', 1), ('report', {len(LABELS) + 3}),
         ('confusion', {len(LABELS) ** 2})) v(result, n_rows)
       UNION ALL SELECT 'predictions', count(*) FROM sS WHERE split = 'test'""",

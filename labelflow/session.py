@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,6 +103,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers.
+
+    What ``--py-files`` does, for a session that was started without it: a zip
+    of the package's sources, sent once per Spark context by ``addPyFile``."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_labelflow_shipped", False) or not os.path.isdir(root):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="labelflow-"), "labelflow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._labelflow_shipped = True
+
+
 def set_local_checkpoint_dir_if_unset(spark: SparkSession, path: str) -> None:
     """For tests and local benches only: set a checkpoint folder if none is set."""
     sc = spark.sparkContext

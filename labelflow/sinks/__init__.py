@@ -39,5 +39,10 @@ def write_metrics_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_run_state(df: DataFrame, path: str) -> None:
+    """Run-history records as JSON lines, added to those there (``read_run_history(..., pretty=False)``)."""
+    df.write.mode("append").json(path)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)

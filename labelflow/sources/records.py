@@ -80,30 +80,33 @@ def _under(path: Column, listed: str) -> Column:
     return (path == name) | path.startswith(name + "/")
 
 
-HISTORY_SCHEMA = ("best_metric double, best_global_step bigint, "
-                  "log_history array<struct<epoch: double, step: bigint, eval_loss: double, eval_f1_weighted: double>>")
+#: What a run's log says of an evaluated step, beside the step itself.
+EVALUATED = ("epoch", "loss", "eval_loss", "eval_accuracy", "eval_precision_weighted", "eval_recall_weighted", "eval_f1_weighted")
+HISTORY_SCHEMA = ("run string, best_metric double, best_global_step bigint, log_history array<struct<step: bigint, "
+                  + ", ".join(f"{c}: double" for c in EVALUATED) + ">>")
 
 
-def read_run_history(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_run_history(spark: SparkSession, paths: Sequence[str], pretty: bool = True) -> DataFrame:
     """Nested run-history JSON -> one row per run and evaluated step.
 
-    Columns: run (the folder above the checkpoint's folder), epoch, step,
-    eval_loss, eval_f1_weighted, best_metric, best_global_step. Checkpoints of
-    one run repeat its earlier steps; each step is kept once, with the latest
-    checkpoint's best. A malformed file raises.
+    Columns: run, epoch, step, the evaluated metrics, best_metric,
+    best_global_step. The run is the record's own ``run`` field or, without
+    one, the folder above the checkpoint's folder. Checkpoints of one run
+    repeat its earlier steps; each step is kept once, with the latest
+    checkpoint's best. ``pretty`` reads one record per file, else one per line
+    (such files are split among tasks). A malformed file raises.
     """
     raw = (
         spark.read.schema(HISTORY_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", pretty)
         .option("mode", "FAILFAST")
         .json(list(paths))
         .withColumn("_file", F.col("_metadata.file_path"))
     )
-    run = F.element_at(F.split(F.col("_file"), "/"), -3)
+    run = F.coalesce("run", F.element_at(F.split(F.col("_file"), "/"), -3))
     steps = raw.select(run.alias("run"), "best_metric", "best_global_step", F.explode("log_history").alias("h"))
-    latest = F.max_by(F.struct("h.epoch", "h.eval_loss", "h.eval_f1_weighted", "best_metric", "best_global_step"),
+    latest = F.max_by(F.struct(*[f"h.{c}" for c in EVALUATED], "best_metric", "best_global_step"),
                       F.struct("best_global_step", "best_metric"))
     return (steps.where(F.col("h.eval_f1_weighted").isNotNull()).groupBy("run", F.col("h.step").alias("step"))
             .agg(latest.alias("l"))
-            .select("run", "l.epoch", "step", "l.eval_loss", "l.eval_f1_weighted", "l.best_metric",
-                    "l.best_global_step"))
+            .select("run", "l.epoch", "step", *[f"l.{c}" for c in EVALUATED[1:]], "l.best_metric", "l.best_global_step"))
