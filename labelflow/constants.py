@@ -48,6 +48,7 @@ TEST_SIZE = 0.3
 VAL_TEST_SIZE = 0.5
 MAX_FEATURES = 5000
 MAX_LENGTH = 128
+BATCH_ROWS = 8  # texts of a batch that is padded to its own longest
 MAX_ITER = 1000
 INVERSE_REG = 1.0  # C of the L2-penalised logistic regression
 TOL = 1e-4  # stopping tolerance of the classifier's optimiser

@@ -9,8 +9,9 @@ a job (a distinct over the label column).
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, REQUIRED_STRICT
@@ -84,6 +85,64 @@ def clean_labelled(
     return out
 
 
+#: Why a row is rejected, in the order in which the reasons are tried.
+REJECT_REASONS = ("null_text", "null_label", "blank_text", "unknown_label")
+
+
+@dataclass
+class Checked:
+    """A validated table: its good rows, its quarantine, and the rows counted by reason while it was written."""
+
+    good: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def reject_reason(text: Column, label: Column, drop_blank: bool = True,
+                  allowed_labels: Iterable[str] | None = LABELS) -> Column:
+    """Why the cleaning steps P1 to P5 would drop a raw row, or null."""
+    reason = F.when(text.isNull(), "null_text").when(label.isNull(), "null_label")
+    if drop_blank:
+        reason = reason.when(strip(text.cast("string")) == "", "blank_text")
+    if allowed_labels is not None:
+        reason = reason.when(~normalise_label(label.cast("string")).isin(*allowed_labels), "unknown_label")
+    return reason
+
+
+def clean_to_table(df: DataFrame, path: str, require: Iterable[str] = REQUIRED_STRICT, drop_blank: bool = True,
+                   allowed_labels: Iterable[str] | None = LABELS, strict: bool = True) -> Checked:
+    """P1 to P5 in one pass: the input is read once, cleaned, judged, counted and written.
+
+    Below ``path`` the rows lie by ``rejected``: good rows cleaned, rejected
+    rows as they came, with their ``reject_reason``. The rows of each reason
+    are counted by an observation of the write itself, looked at when the write
+    is done: with ``strict`` unknown labels raise ``ValueError`` with their number
+    and two of them, and the quarantine stays for inspection."""
+    check_required(df, require)
+    reason = reject_reason(F.col("text"), F.col("label"), drop_blank, allowed_labels)
+    fine = F.col("reject_reason").isNull()
+    judged = df.withColumn("reject_reason", reason)
+    judged = judged.withColumns({
+        "text": F.when(fine, strip(F.col("text").cast("string"))).otherwise(F.col("text").cast("string")),
+        "label": F.when(fine, normalise_label(F.col("label").cast("string"))).otherwise(F.col("label").cast("string")),
+        "rejected": ~fine})
+    seen = Observation()
+    unknown = F.when(F.col("reject_reason") == "unknown_label", F.col("label"))
+    observed = judged.observe(
+        seen, F.count("*").alias("rows"), F.count_if(fine).alias("good"),
+        *[F.count_if(F.col("reject_reason") == r).alias(r) for r in REJECT_REASONS],
+        F.min(unknown).alias("first_unknown"), F.max(unknown).alias("last_unknown"))
+    observed.write.mode("overwrite").partitionBy("rejected").parquet(path)
+    found = seen.get
+    counts = {k: int(found[k]) for k in ("rows", "good", *REJECT_REASONS)}
+    if strict and counts["unknown_label"]:
+        raise ValueError(f"unsupported labels in {counts['unknown_label']} of {counts['rows']} rows, such as "
+                         f"{found['first_unknown']!r} and {found['last_unknown']!r}; see {path}")
+    table = df.sparkSession.read.schema(judged.schema).parquet(path)
+    return Checked(table.where(~F.col("rejected")).drop("rejected", "reject_reason"),
+                   table.where("rejected").drop("rejected"), counts)
+
+
 def label_encode(df: DataFrame, labels: Sequence[str] = LABELS, col: str = "label",
                  out: str = "label_id") -> DataFrame:
     """Label -> id by a literal map (constant-folded); a miss is null."""

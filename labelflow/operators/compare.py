@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_TABLE_HEADERS, DIGITS, LABELS, SUMMARY_HEADERS
@@ -29,6 +29,17 @@ def results_summary(metrics: DataFrame, order: Sequence[str],
     return df.select("ordinal", *[F.col(k).alias(v) for k, v in headers.items()]).orderBy("ordinal")
 
 
+def run_title(name: Column, **parameters: Column) -> Column:
+    """a run's name for people, with the parameters that tell it from others: ``name (key value, key value)``."""
+    shown = F.concat_ws(", ", *[F.concat_ws(" ", F.lit(k), v.cast("string")) for k, v in parameters.items()])
+    return F.format_string("%s (%s)", name, shown)
+
+
+def result_file(name: Column, result: str, kind: str = "csv") -> Column:
+    """the file name of one of a run's results."""
+    return F.format_string(f"%s_{result}.{kind}", name)
+
+
 def best_model(metrics: DataFrame, order: Sequence[str] | None = None, digits: int | None = DIGITS,
                metric: str = "f1_weighted") -> DataFrame:
     """The model with the highest (rounded) metric; the first listed wins a

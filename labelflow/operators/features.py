@@ -20,11 +20,13 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MAX_FEATURES, MAX_LENGTH, PAD_ID, UNK_ID, WORD_PATTERN
+from ..constants import BATCH_ROWS, MAX_FEATURES, MAX_LENGTH, PAD_ID, UNK_ID, WORD_PATTERN
 from ..functions.text import ngrams_1_2, run_starts, term_frequencies, word_tokens
+from ..session import store
+from .ids import dense_ids
 
 
 def tokens(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
@@ -78,7 +80,7 @@ def tfidf_of_texts(df: DataFrame, fit: TfidfFit, id_col: str = "row_id", text_co
     vectors = PipelineModel(tfidf_stages(fit, text_col)).transform(df.select(id_col, text_col))
     sparse = F.unwrap_udt("features")
     entries = F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("w"))
-    names = F.array(*[F.lit(t) for t in fit.vocabulary]) if fit.vocabulary else F.array().cast("array<string>")
+    names = F.split(F.lit("|".join(fit.vocabulary)), "[|]")  # one literal, split once; no term holds the sign
     rows = vectors.select(id_col, F.inline(entries).alias("i", "weight"))
     return rows.select(id_col, F.get(names, F.col("i")).alias("term"), "weight")
 
@@ -103,9 +105,9 @@ def fit_tfidf(df: DataFrame, text_col: str = "text", id_col: str = "row_id",
 
 
 def terms_sql(text_col: str = "text") -> str:
-    """The ``terms`` expression in SQL, for a persistable SQLTransformer."""
+    """The ``terms`` expression in SQL, for a persistable SQLTransformer; a null text has none."""
     pattern = WORD_PATTERN.replace("\\", "\\\\")
-    tok = f"regexp_extract_all(lower({text_col}), '{pattern}', 0)"
+    tok = f"regexp_extract_all(lower(coalesce({text_col}, '')), '{pattern}', 0)"
     bind = "t -> concat(t, transform(slice(t, 2, greatest(size(t) - 1, 0)), (y, i) -> concat(t[i], ' ', y)))"
     return f"element_at(transform(array({tok}), {bind}), 1)"
 
@@ -122,49 +124,65 @@ def tfidf_stages(fit: TfidfFit, text_col: str = "text", features_col: str = "fea
 
 def word_vocabulary(df: DataFrame, k: int | None = None, id_col: str = "row_id",
                     text_col: str = "text") -> DataFrame:
-    """Unigram vocabulary for encodings: ``(term, id)``, ids from 2 by falling
+    """Unigram vocabulary for encodings: ``(term, id)``, ids (long) from 2 by falling
     frequency, then term; all words unless a size ``k`` is asked for.
 
-    Ids come from prefix sums over the counts of (frequency, first characters),
-    so words are only sorted within such a group, never all in one task."""
+    The words are sorted by ranges of (frequency, word), so a prefix or a
+    frequency that most words share is cut like any other range."""
     toks = df.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term"))
-    counts = toks.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 3))
-    groups = counts.groupBy("n", "head").agg(F.count(F.lit(1)).alias("words"))
-    levels = groups.groupBy("n").agg(F.sum("words").alias("words"))
-    # one row per distinct frequency: a few thousand at most for any text (they grow as the root of the text's length)
-    above = levels.select("n", (F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")).alias("above"))
-    before = groups.select("n", "head", (F.sum("words").over(Window.partitionBy("n").orderBy("head"))
-                                         - F.col("words")).alias("before"))
-    start = before.join(above, "n").select("n", "head", (F.col("above") + F.col("before")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("n", "head").orderBy("term"))
-    ranked = counts.withColumn("r", rank).join(start, ["n", "head"]).select(
-        "term", (F.col("start") + F.col("r") + UNK_ID).cast("int").alias("id"))
-    return ranked.where(F.col("id") <= k + UNK_ID) if k else ranked
-
-
-def encode(df: DataFrame, vocab: DataFrame, max_length, id_col: str = "row_id",
-           text_col: str = "text", validate: bool = True) -> DataFrame:
-    """ids cut to ``max_length``, right-padded with PAD_ID; mask 1/0.
+    counts = store(toks.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    ranked = dense_ids(counts, [F.desc("n"), F.asc("term")], start=UNK_ID + 1).select("term", "id")
+    return ranked.where(F.col("id") <= k + UNK_ID) if k is not None else ranked
+
+
+def encode_ids(df: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "row_id", text_col: str = "text",
+               validate: bool = True) -> DataFrame:
+    """``(id, ids)``: the vocabulary ids of a text's first ``max_length`` words, not padded.
 
-    Only the first ``max_length`` tokens are exploded (bounded per text),
-    looked up in the vocabulary (a miss is UNK_ID; Spark broadcasts it only if
-    its measured size allows), and regrouped by id; ids must be unique.
+    Only those tokens are exploded (bounded per text), looked up in the
+    vocabulary (a miss is UNK_ID; Spark broadcasts it only if its measured size
+    allows), and regrouped by id; ids must be unique.
     """
     if validate and (twice := df.groupBy(id_col).count().where("count > 1").limit(1).collect()):
         raise ValueError(f"duplicate ids, e.g. {twice[0].asDict()}")
-    ml = F.lit(max_length) if isinstance(max_length, int) else max_length
-    cut = df.select(id_col, F.slice(word_tokens(F.col(text_col)), 1, ml).alias("_t"))
+    cut = df.select(id_col, F.slice(word_tokens(F.col(text_col)), 1, max_length).alias("_t"))
     exploded = cut.select(id_col, F.posexplode_outer("_t").alias("pos", "term"))
     looked = exploded.join(vocab.select("term", "id"), "term", "left")
     tok = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     grouped = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(tok)).alias("_p"))
-    ids = F.transform(F.col("_p"), lambda s: s["id"])
-    pad = F.greatest(ml - F.size(ids), F.lit(0))
-    return grouped.select(
-        id_col,
-        F.concat(ids, F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
-    )
+    return grouped.select(id_col, F.transform(F.col("_p"), lambda s: s["id"]).alias("ids"))
+
+
+def padded(ids: Column, width: Column) -> tuple[Column, Column]:
+    """``input_ids`` right-padded with PAD_ID to ``width``, and the mask: 1 for a word, 0 for padding."""
+    pad = F.greatest(width - F.size(ids), F.lit(0))
+    return (F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), pad)).alias("input_ids"),
+            F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
+
+
+def encode(df: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "row_id",
+           text_col: str = "text", validate: bool = True) -> DataFrame:
+    """ids cut to ``max_length``, right-padded with PAD_ID; mask 1/0."""
+    coded = encode_ids(df, vocab, max_length, id_col, text_col, validate)
+    return coded.select(id_col, *padded(F.col("ids"), F.lit(max_length)))
+
+
+def encode_batches(df: DataFrame, vocab: DataFrame, batch_rows: int = BATCH_ROWS, max_length: int = MAX_LENGTH,
+                   by_length: bool = True, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """``(id, batch, width, input_ids, attention_mask)`` in batches of ``batch_rows``,
+    each padded to its own longest text (at most ``max_length``).
+
+    Batches follow the texts' length, then their id, so that texts of like
+    length share one and little is padded; or the ids alone, as they came. Every
+    batch is full but the last. The batches are made of a narrow table of ids
+    and lengths, numbered by a range sort; ids must be unique."""
+    coded = store(encode_ids(df, vocab, max_length, id_col, text_col), "encoded")
+    sizes = coded.select(id_col, F.size("ids").alias("size"))
+    order = [F.col("size"), F.col(id_col)] if by_length else [F.col(id_col)]
+    numbered = dense_ids(sizes, order, out="batch").withColumn("batch", F.floor(F.col("batch") / batch_rows))
+    widths = numbered.groupBy("batch").agg(F.max("size").alias("width"))
+    placed = numbered.join(widths, "batch").select(id_col, "batch", "width")
+    return coded.join(placed, id_col).select(id_col, "batch", "width", *padded(F.col("ids"), F.col("width")))
 
 
 def longest_length(df: DataFrame, text_col: str = "text", max_length: int = MAX_LENGTH) -> int:

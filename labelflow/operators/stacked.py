@@ -29,6 +29,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..constants import INVERSE_REG, MAX_ITER, TOL
 from ..session import ship_package, store
@@ -84,9 +85,10 @@ def feature_blocks(feats: DataFrame, n_features: int, n_classes: int, features_c
     """``(features, label)`` rows as compressed sparse blocks, stored once and kept in memory or on disk.
 
     A block holds at most ``BLOCK_ROWS`` rows; sparse and dense vectors are
-    accepted. A label outside 0 to ``n_classes - 1`` raises."""
+    accepted, and structs of ``indices`` and ``values``. A label outside 0 to ``n_classes - 1`` raises."""
     ship_package(feats.sparkSession)
-    vector = F.unwrap_udt(features_col)
+    is_struct = isinstance(feats.schema[features_col].dataType, StructType)
+    vector = F.col(features_col) if is_struct else F.unwrap_udt(features_col)
     rows = feats.select(vector["indices"].alias("indices"), vector["values"].alias("values"), F.col(label_col).cast("int").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS, MAX_FEATURES, MAX_LENGTH
 from ..functions.text import na_to_null
-from ..operators import clean, compare, evaluate, features, split
+from ..operators import clean, compare, evaluate, features, split, vocabulary
 from ..operators.scoring import blank_guard as _blank_guard
 from ..operators.scoring import linear_score
 from ..session import scratch_path, store
 from ..sinks import write_keyed_csv, write_metrics_json, write_run_state, write_split_table, write_table_csv
-from ..sources.labelled import read_labelled_csv
+from ..sources.labelled import file_order_ids, read_labelled_csv
 from ..sources.labelled import read_split as _read_split
-from ..sources.records import read_keyed_csv, read_metrics, read_run_history
+from ..sources.records import read_keyed_csv, read_metrics, read_run_history, read_table_csv
 from .base import (CANDIDATES, RULE_MODELS, labelled, linear_weights, raw_labelled, rule_label, rule_predictions, table,
                    with_unknown_truth)
 
@@ -112,6 +112,50 @@ def q_keyed_report_csv(spark, d):
                                      for c in ("precision", "recall", "f1_score", "support")])
 
 
+def q_prediction_csv(spark, d):
+    """All models' predictions as a CSV with a byte-order mark, read back."""
+    path = scratch_path(spark, "predictions-csv")
+    write_table_csv(_preds(spark, d).select("row_id", "language", "label", "model", "predicted_label"), path, byte_order_mark=True)
+    return read_table_csv(spark, path).withColumn("row_id", F.col("row_id").cast("long"))
+
+
+def q_summary_csv(spark, d):
+    """The summary under its presentation headers as a CSV with a byte-order mark, read back."""
+    path = scratch_path(spark, "summary-csv")
+    write_table_csv(compare.results_summary(_metrics(spark, d), CANDIDATES), path, byte_order_mark=True)
+    back = read_table_csv(spark, path)
+    return back.select(F.col("ordinal").cast("int").alias("ordinal"), "Модель",
+                       *[F.col(c).cast("double").alias(c) for c in back.columns[2:]])
+
+
+def q_run_titles(spark, d):
+    """Names of the runs and of their files, from their metrics."""
+    m = _metrics(spark, d)
+    return m.select("model", compare.run_title(F.col("model"), accuracy=F.format_number("accuracy", 4)).alias("title"),
+                    compare.result_file(F.col("model"), "metrics", "json").alias("metrics_file"),
+                    compare.result_file(F.col("model"), "predictions").alias("predictions_file"))
+
+
+def q_file_order_ids(spark, d):
+    """Labelled rows written as several CSV files in id order, read back and numbered as they stand in the files."""
+    path = scratch_path(spark, "ordered-csv")
+    rows = labelled(spark, d).select("row_id", "language", F.regexp_replace("text", "[\r\n]+", " ").alias("text"), "label")
+    write_table_csv(rows.repartitionByRange(5, "row_id").sortWithinPartitions("row_id"), path)
+    back = read_labelled_csv(spark, [path], required=("text", "language", "label"))
+    numbered = file_order_ids(back.withColumnRenamed("row_id", "doc_id"), [path], scratch_path(spark, "numbered"), id_col="place")
+    return numbered.select("place", F.col("doc_id").cast("long").alias("row_id"), "label")
+
+
+def q_rejects_by_reason(spark, d):
+    """Dirty rows validated in the pass that writes them: rows by reason in the quarantine, and as counted meanwhile."""
+    checked = clean.clean_to_table(_na(spark, d), scratch_path(spark, "checked"), strict=False)
+    counted = F.create_map(*[F.lit(x) for r in clean.REJECT_REASONS for x in (r, checked.counts[r])])
+    rejected = checked.rejected.groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n_rows"))
+    good = checked.good.agg(F.lit("none").alias("reason"), F.count("*").alias("n_rows"))
+    n_counted = F.coalesce(counted[F.col("reason")], F.lit(checked.counts["good"])).cast("long")
+    return rejected.unionByName(good).withColumn("n_counted", n_counted)
+
+
 def q_metrics_gather(spark, d):
     """Each model's metrics in a folder of its own, gathered in list order."""
     root = scratch_path(spark, "metrics")
@@ -347,6 +391,31 @@ def q_vocabulary_topk(spark, d):
         "term", "tf_total", "df", F.col("rank").cast("long").alias("rank"))
 
 
+def q_vocabulary_threshold(spark, d):
+    """The same terms by local summaries and a threshold."""
+    train, _ = _train_test(spark, d)
+    return vocabulary.top_terms(features.term_counts(train), MAX_FEATURES).select(
+        "term", "tf_total", "df", F.col("rank").cast("long").alias("rank"))
+
+
+#: A vocabulary that is a table: its terms are never on the driver.
+LARGE_FEATURES = 1_000_000
+
+
+def _large_weights(fit_on, texts):
+    fitted = vocabulary.fit_vocabulary(fit_on, LARGE_FEATURES)
+    return vocabulary.tfidf_weights(texts, fitted).select("row_id", "term", r6("weight").alias("weight"))
+
+
+def q_tfidf_fit_large(spark, d):
+    train, _ = _train_test(spark, d)
+    return _large_weights(train, train)
+
+
+def q_tfidf_transform_large(spark, d):
+    return _large_weights(*_train_test(spark, d))
+
+
 def q_idf(spark, d):
     train, _ = _train_test(spark, d)
     return _vocab_idf(train).select("term", "df", r6("idf").alias("idf"))
@@ -370,9 +439,9 @@ def q_tfidf_transform(spark, d):
     return _weights(*_train_test(spark, d))
 
 
-def _encoded(df):
+def _encoded(df, *others):
     return df.select(
-        "row_id",
+        "row_id", *others,
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
         F.array_join(F.col("attention_mask").cast("array<string>"), " ").alias("attention_mask"),
     )
@@ -388,6 +457,11 @@ def q_encode_longest(spark, d):
     return _encoded(features.encode_longest(lab, features.word_vocabulary(lab)))
 
 
+def q_encode_batches(spark, d):
+    lab = labelled(spark, d)
+    return _encoded(features.encode_batches(lab, features.word_vocabulary(lab)), "batch", "width")
+
+
 # ---------------------------------------------------------------- score
 def _scored(spark, d, digits=None):
     emb = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("true_class"), "embedding")

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from ..constants import LABELS
 from ..functions.text import na_to_null
 from ..operators import clean, compare, evaluate, split
-from ..operators.model import (RESULTS, fit_classifier, fit_grid, largest_gradient, load_model, predict, run_experiment,
+from ..operators.model import (RESULTS, assemble, fit_classifier, fit_grid, largest_gradient, load_model, predict, run_experiment,
                                save_model, score_grid, sweep, write_results)
 from ..operators.rounds import run_rounds
 from ..operators.scoring import score_texts
-from ..operators.stacked import Setting
+from ..operators.stacked import Setting, as_model
 from ..session import scratch_path, store
-from ..streaming import score_stream
+from ..streaming import count_stream, score_stream, stream_metrics
 from .base import labelled, raw_labelled, table
 
 BASELINE = "tfidf_lr"
@@ -225,7 +225,21 @@ def score_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                        score_texts(model, _documents(spark, sf_dir)).select("row_id", *columns))
 
 
+def evaluate_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Val and test evaluated as a stream of several files, and as a batch, by the same model."""
+    s = split_table(spark, sf_dir)
+    fit, found = fit_grid(_part(s, "train"), [("prior", {"max_iter": 0})])  # where every fit starts: the classes' shares
+    model = assemble(fit, as_model(found.weights()[0]))
+    rows = _part(s, "val", "test").select("row_id", "text", "label")
+    source, sink = scratch_path(spark, "labelled-stream"), scratch_path(spark, "stream-counts")
+    rows.repartitionByRange(4, "row_id").write.parquet(source)
+    counts = count_stream(spark, model, source, rows.schema, sink, scratch_path(spark, "stream-ckpt"), max_files_per_trigger=1)
+    batch = predict(model, rows, ["label"]).withColumn("model", F.lit("batch"))
+    return stream_metrics(counts, "stream").unionByName(evaluate.metrics_record(batch))
+
+
 MODEL_QUERIES = {
+    "evaluate_stream": evaluate_stream_query,
     "lr_fit_predict": lr_fit_predict,
     "score_batch": score_batch,
     "save_load": save_load,

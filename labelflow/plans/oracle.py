@@ -10,7 +10,7 @@ bucketed Spark operator must reproduce.
 
 from __future__ import annotations
 
-from ..constants import LABELS, MAX_FEATURES, MAX_LENGTH, NA_TOKENS
+from ..constants import BATCH_ROWS, LABELS, MAX_FEATURES, MAX_LENGTH, NA_TOKENS
 from .base import CANDIDATES, IDEOGRAPHIC_SPACE, NBSP, RULE_MODELS, UNKNOWN_EVERY
 
 # RE2 twin of the strip characters (RE2's \s lacks \v and U+0085).
@@ -178,11 +178,11 @@ def terms_chain(p: str, src: str) -> str:
           GROUP BY row_id, term)"""
 
 
-def tfidf_chain(p: str, fit_src: str, apply_src: str) -> str:
+def tfidf_chain(p: str, fit_src: str, apply_src: str, k: int = MAX_FEATURES) -> str:
     """{p}voc (term, tf_total, df, rank), {p}idf, {p}w (row_id, term, weight)."""
     return f"""{terms_chain(p + 'f', fit_src)},
 {p}voc0 AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf_total, count(*) AS df FROM {p}ftc GROUP BY term
-            ORDER BY tf_total DESC, term LIMIT {MAX_FEATURES}),
+            ORDER BY tf_total DESC, term LIMIT {k}),
 {p}voc AS (SELECT *, row_number() OVER (ORDER BY tf_total DESC, term) AS rank FROM {p}voc0),
 {p}n AS (SELECT count(*) AS n FROM {fit_src}),
 {p}idf AS (SELECT term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM {p}voc, {p}n),
@@ -211,6 +211,18 @@ def encode_chain(p: str, src: str, max_len: str) -> str:
   FROM {p}enc, {p}ml)"""
 
 
+def batch_chain(p: str, src: str, max_len: int, rows: int) -> str:
+    """{p}out: encodings in batches of ``rows`` by (length, row_id), each as wide as its longest text."""
+    return f"""{encode_chain(p + 'f', src, str(max_len))},
+{p}sz AS (SELECT row_id, ids, len(ids) AS size FROM {p}fenc),
+{p}bt AS (SELECT *, (row_number() OVER (ORDER BY size, row_id) - 1) // {rows} AS batch FROM {p}sz),
+{p}wd AS (SELECT *, CAST(max(size) OVER (PARTITION BY batch) AS INTEGER) AS width FROM {p}bt),
+{p}out AS (SELECT row_id, batch, width,
+  array_to_string(list_concat(ids, list_transform(range(width - size), lambda x: 0)), ' ') AS input_ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(width - size), lambda x: 0)), ' ')
+    AS attention_mask FROM {p}wd)"""
+
+
 SCORE = "lg AS (SELECT vec_id, label, " + ", ".join(
     f"list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (((7 * (i - 1) + {13 * k}) % 17) - 8) / 8.0)) AS l{k}"
     for k in range(3)) + """ FROM embeddings),
@@ -237,6 +249,7 @@ def W(*ctes: str) -> str:
 EV = W(LAB, PREDS, eval_chain("", "R"))
 EVB = W(LAB, PREDS, eval_chain("", "R"), BEST)
 S3 = split3_chain("s", "lab")
+TRAIN = "trn AS (SELECT * FROM sS WHERE split = 'train')"
 
 
 def _r6(cols):
@@ -324,6 +337,12 @@ ORACLE: dict[str, str] = {
     "term_counts": W(LAB, terms_chain("", "lab")) + "SELECT row_id, term, tf FROM tc",
     "vocabulary_topk": W(LAB, S3, "trn AS (SELECT * FROM sS WHERE split = 'train')", tfidf_chain("v", "trn", "trn"))
     + "SELECT term, tf_total, df, rank FROM vvoc",
+    "vocabulary_threshold": W(LAB, S3, TRAIN, tfidf_chain("v", "trn", "trn")) + "SELECT term, tf_total, df, rank FROM vvoc",
+    "tfidf_fit_large": W(LAB, S3, TRAIN, tfidf_chain("v", "trn", "trn", 1_000_000))
+    + "SELECT row_id, term, round(weight, 6) AS weight FROM vw",
+    "tfidf_transform_large": W(LAB, S3, TRAIN, "tst AS (SELECT * FROM sS WHERE split = 'test')",
+                               tfidf_chain("v", "trn", "tst", 1_000_000))
+    + "SELECT row_id, term, round(weight, 6) AS weight FROM vw",
     "idf": W(LAB, S3, "trn AS (SELECT * FROM sS WHERE split = 'train')", tfidf_chain("v", "trn", "trn"))
     + "SELECT term, df, round(idf, 6) AS idf FROM vidf",
     "tfidf": W(LAB, tfidf_chain("v", "lab", "lab")) + "SELECT row_id, term, round(weight, 6) AS weight FROM vw",
@@ -338,6 +357,8 @@ ORACLE: dict[str, str] = {
         "e", "lab",
         f"(SELECT least({MAX_LENGTH}, max(len(regexp_extract_all(lower(text), {_q(WORD_RE2)})))) FROM lab)"))
     + "SELECT row_id, input_ids, attention_mask FROM eout",
+    "encode_batches": W(LAB, batch_chain("e", "lab", MAX_LENGTH, BATCH_ROWS))
+    + "SELECT row_id, batch, width, input_ids, attention_mask FROM eout",
     # score
     "softmax": W(SCORE) + "SELECT vec_id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2 FROM sc",
     "argmax_class": W(SCORE) + "SELECT vec_id, class_id, predicted_label FROM sc",
@@ -370,6 +391,9 @@ ORACLE: dict[str, str] = {
                     eval_chain("", "pR"))
     + "SELECT model AS run, accuracy AS accuracy_0, round(loss, 6) AS loss_0, f1_weighted AS f1_0, true AS best_is_highest, "
     "true AS best_restored, true AS loss_fell FROM met, loss",
+    "evaluate_stream": W(LAB, S3, prior_chain("p", "sS", "'train'", "'val', 'test'", "SELECT * FROM (VALUES ('stream'), ('batch')) m(model)"),
+                         eval_chain("", "pR"))
+    + "SELECT model, accuracy, precision_weighted, recall_weighted, f1_weighted FROM met",
     "experiment_outputs": W(LAB, RAW, NA, f"good AS (SELECT row_id, label FROM nb WHERE label IN ({LABEL_LIST}))",
                             split3_chain("s", "good"),
                             prior_chain("a", "sS", "'train'", "'test'", "SELECT 'baseline' AS model"),
@@ -391,6 +415,16 @@ ORACLE: dict[str, str] = {
         ('confusion', {len(LABELS) ** 2})) v(result, n_rows)
       UNION ALL SELECT 'predictions', count(*) FROM sS WHERE split = 'test'""",
     # files
+    "prediction_csv": W(LAB, PREDS) + "SELECT row_id, language, label, model, predicted_label FROM R",
+    "summary_csv": EVB + 'SELECT ordinal, model AS "Модель", accuracy AS "Accuracy", '
+    'precision_weighted AS "Precision", recall_weighted AS "Recall", f1_weighted AS "F1-score" FROM metord',
+    "run_titles": EV + "SELECT model, model || ' (accuracy ' || format('{:.4f}', accuracy) || ')' AS title, "
+    "model || '_metrics.json' AS metrics_file, model || '_predictions.csv' AS predictions_file FROM met",
+    "file_order_ids": W(LAB) + "SELECT row_number() OVER (ORDER BY row_id) - 1 AS place, row_id, label FROM lab",
+    "rejects_by_reason": W(LAB, RAW, NA, f"""why AS (SELECT CASE WHEN text IS NULL THEN 'null_text' WHEN label IS NULL THEN 'null_label'
+        WHEN {_strip('text')} = '' THEN 'blank_text' WHEN lower({_strip('label')}) NOT IN ({LABEL_LIST}) THEN 'unknown_label'
+        ELSE 'none' END AS reason FROM na)""")
+    + "SELECT reason, count(*) AS n_rows, count(*) AS n_counted FROM why GROUP BY reason",
     "csv_round_trip": W(LAB, RAW, NA) + "SELECT row_id, language, text, label FROM na",
     "keyed_report_csv": EV + "SELECT row_name, " + _r6(["precision", "recall", "f1_score", "support"])
     + f" FROM rep WHERE model = {_q(RULE_MODELS[0])}",

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import REQUIRED_LENIENT
 from ..functions.text import na_to_null
+from ..operators.ids import running_total
+from .records import listed_place
 
 
 def check_required(df: DataFrame, required: Iterable[str], source: str = "input") -> DataFrame:
@@ -71,6 +73,28 @@ def freeze_row_ids(df: DataFrame, path: str, id_col: str = "row_id") -> DataFram
     return df.sparkSession.read.parquet(path)
 
 
+def file_order_ids(df: DataFrame, paths: Sequence[str], path: str, id_col: str = "row_id") -> DataFrame:
+    """Number the rows of a file scan as they stand in the files: gapless from 0, files
+    in the order of ``paths`` (a folder's by name), frozen by writing parquet.
+
+    ``df`` must be a scan of those paths, with projections at most: a filter
+    would leave gaps. A file's pieces may be read by any tasks; the numbers of a
+    piece's first row come from the sizes of the pieces before it in the file,
+    and of the files before it. No row is sorted or shuffled."""
+    place = F.col("_metadata")
+    df.select("*", place["file_path"].alias("_file"), place["file_block_start"].alias("_start"),
+              F.monotonically_increasing_id().alias("_at")).write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    pieces = rows.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_within", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    files = pieces.groupBy("_file").agg(F.sum("n").alias("n")).withColumn("_listed", listed_place(F.col("_file"), paths)["i"])
+    starts = running_total(files, ["_listed", "_file"], out="_before").select("_file", "_before")
+    number = F.col("_before") + F.col("_within") + F.col("_at") - F.col("_first")
+    return (rows.join(pieces.join(starts, "_file").drop("n"), ["_file", "_start"])
+            .select(*[c for c in df.columns if c != id_col], number.cast("long").alias(id_col)))
+
+
 def read_labelled_parquet(spark: SparkSession, path: str,
                           required: Iterable[str] = REQUIRED_LENIENT) -> DataFrame:
     df = spark.read.parquet(path)

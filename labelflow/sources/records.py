@@ -58,12 +58,16 @@ def read_metrics(spark: SparkSession, paths: Sequence[str], order: Sequence[str]
         .json(paths)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
-    plain = F.regexp_replace("source_file", "^[a-z0-9]+:/*(?=/)", "")
+    return df.withColumn("ordinal", listed_place(F.col("source_file"), order or paths)["i"].cast("int"))
+
+
+def listed_place(file: Column, paths: Sequence[str]) -> Column:
+    """``i``, the position (from 1) of the listed path that a file is or lies under: the longest such path."""
+    plain = F.regexp_replace(file, "^[a-z0-9]+:/*(?=/)", "")
     places = [F.when(_under(plain, p), F.struct(F.lit(len(_plain(p))).alias("n"), F.lit(i + 1).alias("i")))
-              for i, p in enumerate(order or paths)]
+              for i, p in enumerate(paths)]
     # greatest over one path needs two arguments
-    place = F.greatest(*places, *places[:1]) if places else F.lit(None).cast("struct<n:int,i:int>")
-    return df.withColumn("ordinal", place["i"].cast("int"))
+    return F.greatest(*places, *places[:1]) if places else F.lit(None).cast("struct<n:int,i:int>")
 
 
 def _plain(path: str) -> str:

@@ -7,7 +7,7 @@ def test_oracle_keys_are_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     own = {k for k in q if not (k.startswith("op") or k == "pipeline")}
-    assert len(own) == 71 and len(own & set(o)) == 69
+    assert len(own) == 83 and len(own & set(o)) == 81
 
 
 def test_entry_smoke(spark):
