@@ -15,27 +15,25 @@ SCHEMA = "vec_id long, embedding array<float>, query_id long, score string"
 
 def brute(rows, k):
     def whole(v):
-        fine = v and all(x is not None and math.isfinite(x) for x in v)
+        fine = v is not None and all(x is not None and math.isfinite(x) for x in v)
         return [math.floor(1024 * float(np.float32(x))) for x in v] if fine else None
 
-    kept = {}
-    for key, vector in rows:
-        w = whole(vector)
-        if key is not None and w is not None:
-            kept[key] = min(w, kept.get(key, w))
+    kept = [(key, whole(vector)) for key, vector in rows]
+    kept = [(key, v) for key, v in kept if v is not None]
     out = []
-    for q, v in kept.items():
-        if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in kept.items() if c != q)
-            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:k])]
-    return sorted(out)
+    for i, (q, v) in enumerate(kept):
+        if q is not None and q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), c is None, c or 0, c) for j, (c, w) in enumerate(kept) if j != i)
+            out += [(q, n + 1, c, -s) for n, (s, _, _, c) in enumerate(scores[:k])]
+    return sorted(out, key=repr)
 
 
 def random_rows(seed, n, dims):
     pick = random.Random(seed)
     rows = [(i, [pick.gauss(0, 1) for _ in range(dims)]) for i in range(n)]
     rows += [(n, None), (n + 1, []), (n + 2, [1.0, None]), (n + 3, [float("nan")] * dims), (n + 4, [float("inf")] * dims),
-             (None, [1.0] * dims), (200, [9.0] * dims), (n + 5, [1.0]), rows[1], rows[1]]
+             (None, [1.0] * dims), (200, [9.0] * dims), (n + 5, [1.0]), rows[1], rows[1],
+             rows[0], (0, [8.0] * dims), (300, []), (7, [2.0] * (dims - 1))]
     rows += [(n + 10 + i, [0.5] * dims) for i in range(30)]  # ties
     return rows
 
@@ -46,7 +44,7 @@ def test_equals_brute_force(spark, n, dims, block, group):
     frame = spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA)
     got = top_k(frame, F.col("vec_id") % 100 == 0, 10, block_vectors=block, group_queries=group)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
-    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 10)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 10)
 
 
 def test_index_stops_only_on_proof():
@@ -67,5 +65,20 @@ def test_oracle(spark):
     assert sorted(tuple(r) for r in op8_topk(spark, SF001).collect()) == sorted(want)
 
 
+def test_rows_that_repeat_a_key_are_rows_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (3, [9.0, 9.0]), (3, [1.0, 1.0]), (4, []), (100, [2.0, 0.0]), (None, [1.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, 10)
+    got = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert got == brute(rows, 10) and sum(r[2] == 3 for r in got) == 4 and sum(r[2] == 4 for r in got) == 2
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    frame = spark.createDataFrame([(100, [1e300, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(frame, F.col("vec_id") % 100 == 0, 10)
+    large = spark.createDataFrame([(100, [1e5, 1.0]), (2, [-1e5, 1.0])], "vec_id long, embedding array<double>")
+    assert top_k(large, F.col("vec_id") % 100 == 0, 10).first()["score"] == -(102_400_000 ** 2) + 1024 ** 2
+
+
 def test_empty_table(spark):
     assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0, 10).collect() == []
