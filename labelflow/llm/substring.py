@@ -167,13 +167,15 @@ def remove_repeats(docs: DataFrame, width: int, text: str = "text", key: str = "
     empty table gives an empty table. Input columns called ``n_words`` or
     ``n_removed`` are replaced."""
     ship(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "block")
-    total = docs.agg(F.sum(text_bytes(text)).alias("b")).first()["b"]
+    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    place, owner = kept.index(text), kept.index(key)
+    # plain names on the way, whatever the columns are called
+    docs = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(kept)])
+    total = docs.agg(F.sum(text_bytes(f"c{place}")).alias("b")).first()["b"]
     n_blocks = blocks_for(total, block_bytes)
     n_ranges = max(1, n_blocks // BLOCKS_PER_RANGE)
     names = docs.columns
-    place = names.index(text)
-    blocks = docs.withColumn("block", block_of(F.xxhash64(F.col(key).cast("string"), F.col(text)), n_blocks))
+    blocks = docs.withColumn("block", block_of(F.xxhash64(F.col(f"c{owner}").cast("string"), F.col(f"c{place}")), n_blocks))
 
     def anchor_hashes(block: BlockText) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         position, hashes = block.anchors()
@@ -213,9 +215,10 @@ def remove_repeats(docs: DataFrame, width: int, text: str = "text", key: str = "
     windows = blocks.groupBy("block").cogroup(anchor_replies.groupBy("block")).applyInArrow(send_windows, SENT_SCHEMA)
     window_replies = windows.groupBy("range").applyInArrow(shared_hashes, SHARED_SCHEMA)
     replies = anchor_replies.unionByName(window_replies)
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields]
                        + ["n_words bigint", "n_removed bigint"])
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
+    done = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
+    return done.toDF(*kept, "n_words", "n_removed")
 
 
 def op2_query(docs: DataFrame) -> DataFrame:

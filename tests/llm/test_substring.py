@@ -63,6 +63,15 @@ def test_kept_spacing_and_other_columns(awkward_docs, awkward):
                                                                            ["", "after", "", ""], ["", "", "after", ""])
 
 
+def test_columns_called_like_inner_ones_stay(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"a {passage}", 7, 8, 9, "x", "y"), (2, f"{passage} b", 70, 80, 90, "x", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, block int, `range` int, stage int, `c.0` string, N_WORDS string")
+    got = remove_repeats(frame, 35)
+    assert got.columns == ["doc_id", "text", "block", "range", "stage", "c.0", "n_words", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a ", 7, 8, 9, "x", 41, 40), (2, "b", 70, 80, 90, "x", 41, 40)]
+
+
 def test_oracle(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF001}/documents.parquet'")
