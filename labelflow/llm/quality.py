@@ -30,7 +30,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Share of a group's documents that the estimate rests on.
 CORE = 0.75
-STEPS = 4
+#: Concentration goes on until no group's log determinant moves by more, or for so many steps.
+CONVERGED, MAX_STEPS = 1e-6, 12
 #: A clean document is rejected with about this probability if the statistics are normal.
 TAIL = 1e-5
 #: A group with fewer documents is judged by the estimate of its whole language, or else of all documents.
@@ -190,6 +191,7 @@ def concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFr
     cuts = (bins.withColumn("below", F.sum("k").over(upto) - F.col("k"))
             .withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
             .where(F.col("below") < CORE * F.col("all")).groupBy(*keys).agg(F.max("bin").alias("cut")))
+    cuts = stored(cuts, "cuts")  # a row for each group, whose known size spares its rows a shuffle by group
     return estimates(near.select(*keys, "bin", *DIMENSIONS).join(cuts, keys).where("bin <= cut"), keys)
 
 
@@ -212,8 +214,12 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
                            *[F.lit(1 / list(DIMENSIONS.values())[i] if i == j else 0.0).alias(f"w{i}{j}")
                              for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("log_det"))
     current = stored(whole.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))), "starts")
-    for _ in range(STEPS):
-        current = stored(concentrate(rows, current, ["group", "start"]), "concentrated")
+    for _ in range(MAX_STEPS):
+        last, current = current, stored(concentrate(rows, current, ["group", "start"]), "concentrated")
+        change = F.max(F.abs(F.col("log_det") - F.col("before")))
+        before = last.select("group", "start", F.col("log_det").alias("before"))
+        if (current.join(before, ["group", "start"]).agg(change).first()[0] or 0.0) <= CONVERGED:
+            break
     best = current.groupBy("group").agg(F.min_by(F.struct(*[c for c in current.columns if c not in ("group", "start")]),
                                                  F.struct("log_det", "start")).alias("e"))
     return best.select("group", "e.*")
@@ -231,9 +237,10 @@ def rate(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     documents rejects none. Null and empty texts fail the word limit. Repeated
     rows are rated alike; an empty table gives an empty table; input columns
     named like a statistic are replaced."""
-    names = [c for c in (keep_columns or docs.columns) if c not in (*BASE, "kept")]
+    names = [c for c in (keep_columns or docs.columns) if c.lower() not in (*BASE, "kept")]
+    # the caller's row stays whole in one column, so that its names meet none of ours
     labelled = docs.select(
-        *names, F.col(text).alias("_text"),
+        F.struct(*["`" + c.replace("`", "``") + "`" for c in names]).alias("_row"), F.col(text).alias("_text"),
         F.to_json(F.struct(F.col(lang).alias("l"))).alias("_language"),
         F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s"))).alias("_group"))
     rated = stored(with_statistics(labelled, "_text").drop("_text"), "quality-statistics")
@@ -253,7 +260,7 @@ def rate(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     found = robust_estimates(vectors)
     judged = (with_vector(rated).join(groups.drop("levels"), "_group", "left").join(found, "group", "left"))
     outlier = F.coalesce(tail_probability(distance() / spread, F.col("n")) < tail, F.lit(False))
-    return judged.select(*names, *BASE, (~F.col("base_failed") & ~outlier).alias("kept"))
+    return judged.select("_row.*", *BASE, (~F.col("base_failed") & ~outlier).alias("kept"))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from labelflow.llm.quality import chi_square, chi_square_quantile, op9_quality, rate
+from labelflow.llm.quality import (BASE, CORE, DIMENSIONS, TAIL, P, chi_square, chi_square_quantile, op9_quality, rate,
+                                   with_statistics, with_vector)
 from tests.conftest import SF01
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +105,63 @@ def test_small_groups_are_judged_by_all_rows_above_them(spark):
     assert [(r.lang, r.source) for r in got if r.kept == r.junk] == []
 
 
+def plain_mcd(x, least, core):
+    """Exact concentration from many random starts, in numpy: the covariance of least determinant."""
+    n, p = x.shape
+    h, pick, best = int(math.ceil(core * n)), np.random.default_rng(1), None
+    for start in range(40):
+        at = pick.choice(n, p + 1, replace=False) if start else np.arange(n)
+        for _ in range(100):
+            mean, cov = x[at].mean(axis=0), np.cov(x[at].T, bias=True) + np.diag(np.square(least))
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.argsort(d, kind="stable")[:h]
+            if np.array_equal(np.sort(new), np.sort(at)):
+                break
+            at = new
+        value = np.linalg.slogdet(cov)[1]
+        if best is None or value < best[0]:
+            best = value, d, h
+    return best[1], best[2]
+
+
+def test_verdict_follows_a_plain_mcd(spark):
+    """Distances and verdicts of one group against exact concentration; near the limit either verdict is right."""
+    pick = random.Random(21)
+
+    def text(i):
+        words = ["".join(pick.choice("abcdefghij") for _ in range(pick.randrange(2, 9))) for _ in range(pick.randrange(60, 300))]
+        if i % 9 == 0:  # some symbols, from none to many
+            words = [w + "*" * (pick.random() < i / 900) for w in words]
+        if i % 11 == 0:
+            words = [w + "x" * (i // 60) for w in words]
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i), "en", "s") for i in range(900)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in rate(docs).collect()}
+    x = with_vector(with_statistics(docs)).select("doc_id", "base_failed", *DIMENSIONS).toPandas()
+    x = x[~x.base_failed]
+    d, h = plain_mcd(x[list(DIMENSIONS)].to_numpy(), list(DIMENSIONS.values()), CORE)
+    core = chi_square_quantile(CORE, P // 2)
+    d = d / (CORE / chi_square(core, P // 2 + 1))
+    free = (h - P) / 2
+    z = 1 / (1 + d / (h - 1))
+    tail = z ** free * (1 + free * (1 - z))
+    for doc_id, t in zip(x.doc_id, tail, strict=True):
+        if not TAIL / 10 < t < TAIL * 10:
+            assert kept[doc_id] == (t >= TAIL), (doc_id, t)
+    assert 20 < (tail < TAIL / 10).sum() < 200
+
+
+def test_columns_called_like_inner_ones_stay(spark):
+    names = ["group", "n", "m0", "log_det", "_group", "_text", "_words", "_row", "_language", "n_lines", "x_symbols", "bin", "start", "a.b"]
+    rows = [(i, "word " * 3 + " ".join(f"w{j}" for j in range(30 + i)), "en", "s", *range(len(names))) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                  + ", ".join(f"`{n}` int" for n in names)).withColumn("Kept", F.lit(1))
+    got = rate(frame)
+    assert got.columns == ["doc_id", "text", "lang", "source", *names, *BASE, "kept"]
+    assert all([r[4 + i] for i in range(len(names))] == list(range(len(names))) for r in got.collect())
+
+
 def test_a_small_corpus_loses_its_outliers(spark):
     pick = random.Random(11)
     rows = [(i, " ".join("".join(pick.choice("abcdefghij") for _ in range(pick.randrange(2, 9)))
