@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..session import ship_package as ship  # noqa: F401 (operators import it from here)
 
 #: The characters that separate words: space and \\x09-\\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,26 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers.
-
-    What ``--py-files`` does, for a session that was started without it: a zip
-    of the package's sources, sent once per Spark context by ``addPyFile``."""
-    sc = spark.sparkContext
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if getattr(sc, "_labelflow_shipped", False) or not os.path.isdir(root):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="labelflow-"), "labelflow.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(root):
-            for name in sorted(files):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._labelflow_shipped = True
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table below ``spark.checkpoint.dir`` and read it back.
 
