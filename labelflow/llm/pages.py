@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,7 +75,9 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)", re.S)
 CLASS_OR_ID = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
-LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+HTML_TAG = re.compile(r"<html\b[^>]*", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+UNCLOSED = re.compile(r"<[!?]")
 #: Letters of scripts written without spaces count as this many in lengths where no stop words are known.
 DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 DENSE_FACTOR = 3
@@ -129,8 +132,9 @@ def blocks_of(page: str) -> list[Block]:
         link_parts.clear()
         heading = title = False
 
-    position = 0
-    while match := TOKEN.match(page, position):
+    open_names: Counter = Counter()
+    position, last = 0, page.rfind(">")
+    while match := TOKEN.match(page, position) if position <= last else None:
         position = match.end()
         name = match["name"]
         if name is None:
@@ -157,9 +161,10 @@ def blocks_of(page: str) -> list[Block]:
         if marked or name in BLOCK_TAGS or name in BAD_TAGS:
             flush()
         if match["close"]:
-            if any(entry[0] == name for entry in stack):
+            if open_names[name]:
                 while stack:
                     open_name, was_marked, was_content, was_named = stack.pop()
+                    open_names[open_name] -= 1
                     if was_marked or open_name in CONTENT_TAGS:
                         flush()
                     bad_depth -= was_marked != ""
@@ -172,10 +177,12 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID_TAGS and not match["rest"].endswith("/"):
             if name == "p" or name in HEADINGS:  # a paragraph ends where the next begins
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font"):
-                    _, was_marked, content, named_bad = stack.pop()
+                    open_name, was_marked, content, named_bad = stack.pop()
+                    open_names[open_name] -= 1
                     bad_depth -= was_marked != ""
                     header_depth -= was_marked == HEADER
             stack.append((name, marked, content, named_bad))
+            open_names[name] += 1
             bad_depth += marked != ""
             header_depth += marked == HEADER
             if name in CONTENT_TAGS and not bad_depth:
@@ -184,6 +191,11 @@ def blocks_of(page: str) -> list[Block]:
                 if name == "article" and _class_words(match["rest"]) & BAD_WORDS:
                     named_bad = contents
             heading, title = name in HEADINGS, name == "h1"
+    # no tag ends behind the last ">": the rest is text, up to a comment or declaration that is never closed
+    rest = html_lib.unescape(UNCLOSED.split(page[position:], maxsplit=1)[0])
+    parts.append(rest)
+    if link_depth:
+        link_parts.append(rest)
     flush()
     return blocks
 
@@ -275,8 +287,8 @@ def main_text(page: str | None) -> str:
     """The article's blocks in page order, one per line; empty if there is none."""
     if not page:
         return ""
-    language = LANG.search(page)
-    named = STOP_WORDS.get(language[1].lower()) if language else None
+    language = next((found[-1] for tag in HTML_TAG.finditer(page) if (found := LANG.findall(tag[0]))), None)
+    named = STOP_WORDS.get(language.lower()) if language else None
     lists = [named] if named else [] if language else list(STOP_WORDS.values())
     blocks = blocks_of(page)
     if not any(len(b.text) >= SHORT_LENGTH and not b.bad and stop_density(b.text, lists) >= STOP_LOW for b in blocks):

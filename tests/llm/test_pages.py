@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -113,3 +114,18 @@ def test_columns_nulls_and_repeats(spark):
     assert sorted(map(str, (tuple(r) for r in frame.collect()))) == sorted(map(str, [
         (1, "u", 3, "x", 1), (1, "u", 3, "x", 1), (None, None, 0, "", 0)]))
     assert extract(frame.limit(0).withColumnRenamed("text", "html")).collect() == []
+
+
+@pytest.mark.parametrize("piece", ["<a x ", "<div><b>", "<div>", "<html ", "<!-- x ", "<", '<a x="', "<aaaa b='c", "<li><p>", "&amp"])
+def test_a_megabyte_of_odd_markup_in_linear_time(piece):
+    for page in (piece * (1_000_000 // len(piece)), piece * (1_000_000 // len(piece)) + ">", piece * 100_000 + "</i>" * 100_000):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 15
+
+
+def test_text_behind_the_last_tag():
+    story = "There is a house in the town and it was the house of my mother, who was a tailor there for all of her days. " * 3
+    assert main_text(f"<p>{story}</p><p>{story} &amp; more <b").split("\n")[1] == story + "& more <b"
+    assert main_text(f"<p>{story}</p><p>{story} more <!-- never {story}").split("\n")[1] == story + "more"
+    assert main_text(f"{story}<!-- a -->{story}") == f"{story}{story}".strip()
