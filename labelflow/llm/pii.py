@@ -14,8 +14,7 @@ SHA-256 of the key, the kind of value, the round and the other half:
 - an address of four bytes: halves are 16-bit numbers, added modulo 2**16;
 - a date: the day number in its span of 2**16 days, halves of 8 bits, walking the
   cycle until the new day fits the old one's layout;
-- a card number among other numbers: the cycle is walked until the new number is
-  again the one that is found in its run of digits;
+- a card number keeps the digits that name its network and gets a new check digit;
 - letters and digits (mail addresses, secrets): each character of a half is
   shifted within its own class, so lengths, separators and classes stay.
 
@@ -73,10 +72,18 @@ PATTERNS = {
     "month_date": rf"(?<![\w.])\d{{1,2}} (?:{MONTHS}) \d{{4}}(?![\w])|(?<![\w])(?:{MONTHS}) \d{{1,2}}, \d{{4}}(?![\w])",
 }
 ANY = "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in PATTERNS.values())
-#: Runs of digits that may hold card numbers, looked for between the other values; a card's groups in a longer run
-#: have three digits or more.
+# Card numbers by network (first digits, lengths), solid or in the usual groups.
+CARD_FORMS = (
+    r"4(?:\d{12}|\d{15}|\d{18})", r"5[1-5]\d{14}", r"2[2-7]\d{14}", r"3[47]\d{13}", r"3[0689]\d{12,17}", r"35\d{14,17}",
+    r"(?:50|5[6-8]|6\d)\d{11,17}",
+    r"(?:4\d|5[0-8]|2[2-7]|6\d|35)\d\d(?:[ -]\d{4}){3}", r"3[47]\d\d[ -]\d{6}[ -]\d{5}", r"3[0689]\d\d[ -]\d{6}[ -]\d{4}",
+)
+CARD = rf"(?:{'|'.join(CARD_FORMS)})(?![0-9])"
+CARD_START = rf"(?<![0-9])(?={CARD})"
+#: First digits that a card keeps: they name its network. A number spans at most so many groups.
+CARD_HEAD, CARD_SPAN = 2, 4
+#: Runs of digits that may hold card numbers, looked for between the other values.
 RUN = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})[\d -]*\d(?![\w-])"
-CARD_DIGITS, CARD_GROUP = (13, 19), 3
 #: A cheap test that a text can hold any of them at all: each has a digit, or is a mail address.
 HINT = "[0-9@]"
 KINDS = ("email", "secret", "iban", "phone", "ssn", "card", "ip", "date")
@@ -191,94 +198,51 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda n, d: n + d)
 
 
-def is_card(digits: Column) -> Column:
-    return (F.length(digits).between(*CARD_DIGITS) & ~digits.rlike("^(.)\\1*$")
-            & (luhn_sum(digits, 1) % 10 == 0))
+def other_card(number: Column, key: str, back: bool) -> Column:
+    """The first digits, another body and its check digit, in the groups of the number."""
+    def body(digits: Column) -> Column:
+        head = F.substring(digits, 1, CARD_HEAD)
+        inner = F.substring(digits, F.lit(CARD_HEAD + 1), F.length(digits) - CARD_HEAD - 1)
+        return let(F.concat(head, permute_digits(inner, key, "card", back)),
+                   lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
 
-
-def other_card(digits: Column, key: str, back: bool) -> Column:
-    """Another body and its check digit."""
-    return let(permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", back),
-               lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
+    return let(let(digits_of(number), body), lambda d: regroup(d, number))
 
 
 def cards(run: Column, key: str, back: bool) -> Column:
     """A run of digits with its card numbers replaced, and their number.
 
-    The whole run is a card if it can be one. Else, of all pieces between group
-    borders that are valid cards, the one that ends first is taken (of these
-    the longest), and then the next behind it. What is found depends only on
-    digits up to its end, so a new number for which the same piece is found
-    again can be undone."""
-    whole_form = run.rlike(r"^\d(?:[ -]?\d){12,18}$")
-
-    def found_at(digits: Column, groups: Column, k: Column, last: Column) -> Column:
-        """Start of the longest card that ends with group ``k``, or null."""
-        widest = CARD_DIGITS[1] // CARD_GROUP
-
-        def begins(i: Column) -> Column:
-            return F.get(groups, i)["end"] - F.get(groups, i)["size"]
-
-        def fits(i: Column) -> Column:
-            end = F.get(groups, k)["end"]
-            return ((begins(i) >= last) & (end - begins(i)).between(*CARD_DIGITS)
-                    & F.forall(F.slice(groups, i + 1, k - i + 1), lambda g: g["size"] >= CARD_GROUP)
-                    & is_card(F.substring(digits, begins(i) + 1, end - begins(i))))
-
-        return F.get(F.transform(F.filter(F.sequence(F.greatest(k - widest, F.lit(0)), k), fits), begins), F.lit(0))
-
-    def parsed(p: Column) -> Column:
-        digits, groups = p["digits"], p["groups"]
-        total = F.length(digits)
-
-        def replaced(state: Column, k: Column, start: Column) -> Column:
-            end = F.get(groups, k)["end"]
-            before, behind = F.substring(digits, F.lit(1), start), F.substring(digits, end + 1, total)
-
-            def same(new: Column) -> Column:  # the same piece is found in the new run
-                def check(text: Column) -> Column:
-                    earlier = F.filter(
-                    F.filter(F.sequence(F.greatest(k - CARD_DIGITS[1] // CARD_GROUP, F.lit(0)), k), lambda j: j < k),
-                    lambda j: F.get(groups, j)["end"] > start)
-                    return (F.forall(earlier, lambda j: found_at(text, groups, j, state["last"]).isNull())
-                            & F.coalesce(found_at(text, groups, k, state["last"]) == start, F.lit(False))
-                            & ~(p["form"] & is_card(F.concat(text, behind))))
-
-                return let(F.concat(before, new), check)
-
-            def walk(x: Column, _: Column) -> Column:
-                return F.when(x["found"], x).otherwise(let(other_card(x["d"], key, back), lambda d: F.struct(
-                    d.alias("d"), same(d).alias("found"))))
-
-            first = F.struct(F.substring(digits, start + 1, end - start).alias("d"), F.lit(False).alias("found"))
-            return let(F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, walk), lambda w: F.struct(
-                F.concat(state["out"], F.substring(digits, state["last"] + 1, start - state["last"]), w["d"]).alias("out"),
-                end.alias("last"), (state["n"] + 1).alias("n")))
-
-        def step(state: Column, k: Column) -> Column:
-            return let(found_at(digits, groups, k, state["last"]),
-                       lambda start: F.when(start.isNull(), state).otherwise(replaced(state, k, start)))
-
-        none = F.struct(F.lit("").alias("out"), F.lit(0).alias("last"), F.lit(0).alias("n"))
-        pieces = let(F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), none, step), lambda z: F.struct(
-            F.concat(z["out"], F.substring(digits, z["last"] + 1, total)).alias("d"), z["n"].alias("n")))
-        whole = F.struct(other_card(digits, key, back).alias("d"), F.lit(1).alias("n"))
-        return F.when(p["form"] & is_card(digits), whole).otherwise(pieces)
-
-    def group_ends(sizes: Column) -> Column:
-        ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda to, x: F.concat(
-            to, F.array(x + F.coalesce(F.try_element_at(to, F.lit(-1)), F.lit(0)))))
-        return F.zip_with(sizes, ends, lambda a, b: F.struct(a.alias("size"), b.alias("end")))
-
-    def written(z: Column, groups: Column) -> Column:
-        separators = F.split(F.regexp_replace(run, "[0-9]", ""), "")
-        return F.array_join(F.zip_with(groups, separators, lambda g, c: F.concat(
-            F.substring(z["d"], g["end"] - g["size"] + 1, g["size"]), F.coalesce(c, F.lit("")))), "")
-
-    groups = let(F.transform(F.split(run, "[ -]"), F.length), group_ends)
-    start = F.struct(digits_of(run).alias("digits"), whole_form.alias("form"), groups.alias("groups"))
-    return let(start, lambda p: let(parsed(p), lambda z: F.struct(
-        F.when(z["n"] > 0, written(z, p["groups"])).otherwise(run).alias("text"), z["n"].alias("n"))))
+    The run is cut before every number that looks like a card (network, length,
+    groups); each is judged by its check digit. Of valid ones that overlap the
+    first is taken. A piece is looked at with the few pieces beside it that a
+    number can reach, so the work grows with the run's length."""
+    def looked_at(pieces: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            ahead = F.array_join(F.slice(pieces, i + 1, CARD_SPAN), "")
+            return let(F.regexp_extract(ahead, f"^{CARD}", 0), lambda c: F.struct(
+                piece.alias("piece"), c.alias("card"), ((c != "") & (luhn_sum(digits_of(c), 1) % 10 == 0)).alias("valid")))
+
+        return F.transform(pieces, one)
+
+    def reached(found: Column, i: Column, by: str) -> Column:
+        """How many characters of piece ``i`` belong to an earlier number that is marked ``by``."""
+        before = F.slice(found, F.greatest(i + 2 - CARD_SPAN, F.lit(1)), F.least(i, F.lit(CARD_SPAN - 1)))
+        return F.aggregate(before, F.lit(0), lambda n, f: F.greatest(
+            n, F.when(f[by], F.length(f["card"])).otherwise(0)) - F.length(f["piece"]))
+
+    def taken(found: Column) -> Column:
+        return F.transform(found, lambda f, i: F.struct(f["piece"].alias("piece"), f["card"].alias("card"), (
+            f["valid"] & (reached(found, i, "valid") <= 0)).alias("taken")))
+
+    def written(marked: Column) -> Column:
+        def one(f: Column, i: Column) -> Column:
+            return F.when(f["taken"], F.concat(other_card(f["card"], key, back), F.substr(f["piece"], F.length(f["card"]) + 1))) \
+                .otherwise(F.substr(f["piece"], F.greatest(reached(marked, i, "taken"), F.lit(0)) + 1))
+
+        return F.struct(F.array_join(F.transform(marked, one), "").alias("text"),
+                        F.size(F.filter(marked, lambda f: f["taken"])).alias("n"))
+
+    return let(let(let(F.split(run, CARD_START, -1), looked_at), taken), written)
 
 
 def without_cards(piece: Column, key: str, back: bool) -> Column:

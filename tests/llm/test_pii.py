@@ -1,5 +1,6 @@
 import datetime
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,47 @@ def test_values_beside_other_digits_and_words(spark):
     assert renamed(spark, new, back=True) == texts
 
 
+def test_cards_need_a_network_and_the_usual_groups(spark):
+    def checked(body):
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    solid = [checked(b) for b in ("412345678901", "412345678901234", "412345678901234567", "51234567890123", "55000000000000",
+                                  "222100000000000", "34000000000000", "3000000000000", "353011133330000", "501800000000000",
+                                  "601100000000000")]
+    solid = [x for x in solid if len(x) != 15 or x[:2] in ("34", "37")]
+    grouped = ["4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005", "3056 930902 5904"]
+    no_cards = [checked(b) for b in ("012345678901234", "112345678901234", "712345678901234", "812345678901234", "912345678901234",
+                                     "41234567890123", "5123456789012")] + ["411 111 111 111 111 1", "41111 1111 1111 111"]
+    new = renamed(spark, solid + grouped)
+    for old, other in zip(solid + grouped, new, strict=True):
+        assert other != old and skeleton(other) == skeleton(old) and luhn(re.sub(r"\D", "", other)) and other[:2] == old[:2]
+    assert renamed(spark, new, back=True) == solid + grouped
+    assert renamed(spark, no_cards) == no_cards
+    # numbers of three digits are no cards, however they add up
+    table = " ".join(f"{i * 7919 % 1000:03}" for i in range(3000))
+    assert renamed(spark, [table]) == [table]
+
+
+def test_equal_cards_stay_linked_in_any_surroundings(spark):
+    card = "4111 1111 1111 1111"
+    texts = [card, f"{card} 4242", f"12 {card}", f"9999 {card} 9999", f"{card}-{card}", card.replace(" ", "")]
+    new = renamed(spark, texts)
+    other = new[0]
+    assert new[1:] == [f"{other} 4242", f"12 {other}", f"9999 {other} 9999", f"{other}-{other}", other.replace(" ", "")]
+
+
+def test_a_megabyte_of_digits_in_linear_time(spark):
+    card = "4111 1111 1111 1111"
+    texts = [" ".join(f"{i * 7919 % 10000:04}" for i in range(200_000)), " ".join(str(i % 10) for i in range(300_000)),
+             "4" * 500_000, f"{card} " * 20_000]
+    renamed(spark, [card])
+    for text in texts:
+        began = time.time()
+        new = renamed(spark, [text])[0]
+        assert time.time() - began < 60 and len(new) == len(text)
+    assert card not in new
+
+
 def test_dates_of_all_layouts_and_years(spark):
     texts = ["1850-07-04", "2150-01-31", "0001-01-01", "9999-12-31", "March 05, 2004", "05 March 2004", "05 Mar 1890",
              "1/05/2004", "01/5/2004", "5.06.2001", "06.5.2001", "14/3/1799", "2004-03-05T10:00:00Z", "31/12/2004"]
