@@ -7,17 +7,17 @@ each leaf holds the target bytes. Rows with the same value are ordered by text
 and then by id, so a node can also be cut inside one source or one group of
 copies.
 
-A quantile is found by distributed histograms: one aggregate per pass sums the
-bytes of all nodes' bins (at most ``BINS`` rows a node come to the driver, never
-data), and the next pass looks into the bin that holds the quantile, between
-the smallest and largest key seen there, until that bin is small. Passes read a
-narrow stored table, not the texts.
+The tree is grown a level at a time, and its nodes are rows of a table: what a
+node's rows span, where it is cut, and to which child a row goes are all
+aggregates and joins by the node, so neither the driver nor a plan grows with
+the number of shards. A quantile is found by distributed histograms: one
+aggregate sums the bytes of all nodes' bins, and the next looks into the bin that
+holds the quantile, between the smallest and largest key seen there, until that
+bin is small. All of it reads a narrow stored table, not the texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ from .common import read_table, stored
 
 #: Bytes a document takes besides its text.
 OVERHEAD = 16
-BINS = 512
+#: Bins of a node: as many as keep a level's bins at ``LEVEL_BINS``, within these limits.
+BINS, LEVEL_BINS = (64, 4096), 1 << 20
 #: A quantile is fixed once its bin holds at most this share of a shard's bytes.
 TOLERANCE = 0.002
 #: Rows numbered by one sort when slots are given out.
@@ -34,31 +35,6 @@ SLOT_ROWS = 4096
 POSITION_BITS, TIE_BITS = 31, 31
 
 
-@dataclass
-class Node:
-    """A part of the space, for ``shards`` shards from ``first`` on."""
-
-    first: int
-    shards: int
-    dimension: str = ""
-    cut: int | None = None
-    left: Node | None = None
-    right: Node | None = None
-    low: int = 0
-    high: int = 0
-    below: float = 0.0
-    wanted: float = 0.0
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.left is None else self.left.leaves() + self.right.leaves()
-
-    def choose(self, value) -> Column:
-        """``value(leaf)`` of the leaf that a row falls into."""
-        if self.left is None:
-            return value(self)
-        return F.when(F.col(self.dimension) < self.cut, self.left.choose(value)).otherwise(self.right.choose(value))
-
-
 def position(value: Column) -> Column:
     """A place on the axis of a categorical value; null has its own."""
     return F.coalesce(F.pmod(F.xxhash64(value.cast("string")), F.lit(1 << POSITION_BITS)), F.lit(0).cast("long"))
@@ -78,64 +54,66 @@ def metadata(docs: DataFrame, key: str, text: str, categories: list[str]) -> Dat
                               *[(p * (1 << TIE_BITS) + tie).alias(f"d{i}") for i, p in enumerate(places)]), "metadata")
 
 
-def split(rows: DataFrame, root: Node, dimensions: list[str], target: float) -> None:
-    """Give every leaf that stands for several shards a cut and two children."""
-    leaves = [n for n in root.leaves() if n.shards > 1]
-    number = {id(n): i for i, n in enumerate(leaves)}
-    node = root.choose(lambda n: F.lit(number.get(id(n), -1)))
-    spans = rows.groupBy(node.alias("node")).agg(
+def widest(rows: DataFrame, dimensions: list[str], whole: dict[str, int]) -> DataFrame:
+    """The nodes to be cut: the dimension in which each is widest, its span there, and the bytes wanted on the left."""
+    spans = rows.where("shards > 1").groupBy("first", "shards").agg(
         F.sum("size").alias("bytes"), *[f(d).alias(f"{name}_{d}") for d in dimensions
-                                       for name, f in (("low", F.min), ("high", F.max))]).collect()
-    whole = {d: max((s[f"high_{d}"] for s in spans), default=0) - min((s[f"low_{d}"] for s in spans), default=0)
-             for d in dimensions}
-    live = {}
-    for s in spans:
-        if s["node"] < 0:
-            continue
-        n = leaves[s["node"]]
-        scale = {d: ((s[f"high_{d}"] >> TIE_BITS) - (s[f"low_{d}"] >> TIE_BITS)) / max(1, whole[d] >> TIE_BITS)
-                 for d in dimensions}
-        n.dimension = max(dimensions, key=lambda d: (scale[d], -dimensions.index(d)))
-        n.low, n.high = s[f"low_{n.dimension}"], s[f"high_{n.dimension}"] + 1
-        n.wanted, n.below = s["bytes"] * (n.shards // 2) / n.shards, 0.0
-        live[s["node"]] = n
-    for n in leaves:
-        if number[id(n)] not in live:  # no row at all: any cut will do
-            n.dimension, n.cut = dimensions[0], 0
-    while live:
-        widths = {i: max(1, -(-(n.high - n.low) // BINS)) for i, n in live.items()}
-
-        def bin_of(n: Node) -> Column:
-            i = number.get(id(n), -1)
-            if i not in live:
-                return F.lit(None)
-            key = F.col(n.dimension)
-            inside = key.between(F.lit(n.low), F.lit(n.high - 1))
-            return F.when(inside, F.struct(F.lit(i).alias("node"), F.floor((key - n.low) / widths[i]).alias("bin"),
-                                           key.alias("at")))
-
-        bins = (rows.select("size", root.choose(bin_of).alias("b")).where("b is not null")
-                .groupBy("b.node", "b.bin").agg(F.sum("size").alias("bytes"), F.min("b.at").alias("low"),
-                                                F.max("b.at").alias("high"))
-                .orderBy("node", "bin").collect())
-        for i, n in list(live.items()):
-            below = n.below
-            for b in (b for b in bins if b["node"] == i):
-                if below + b["bytes"] >= n.wanted or b is bins[-1]:
-                    if b["bytes"] <= TOLERANCE * target or b["low"] == b["high"]:
-                        before, after = n.wanted - below, below + b["bytes"] - n.wanted
-                        n.cut = b["low"] if before <= after else b["high"] + 1
-                        del live[i]
-                    else:
-                        n.low, n.high, n.below = b["low"], b["high"] + 1, below
-                    break
-                below += b["bytes"]
-            else:  # rounding only: the quantile is the node's end
-                n.cut = n.high
-                live.pop(i, None)
-    for n in leaves:
-        n.left = Node(n.first, n.shards // 2)
-        n.right = Node(n.first + n.shards // 2, n.shards - n.shards // 2)
+                                       for name, f in (("low", F.min), ("high", F.max))])
+    scales = F.array(*[(F.shiftright(f"high_{d}", TIE_BITS) - F.shiftright(f"low_{d}", TIE_BITS)) / max(1, whole[d] >> TIE_BITS)
+                       for d in dimensions])
+    dimension = (F.array_position(scales, F.array_max(scales)) - 1).cast("int")  # the first of equals
+
+    def there(name: str) -> Column:
+        return F.get(F.array(*[F.col(f"{name}_{d}") for d in dimensions]), F.col("dimension"))
+
+    spans = spans.withColumn("dimension", dimension)
+    return spans.select("first", "shards", "dimension", there("low").alias("low"), (there("high") + 1).alias("high"),
+                        F.lit(0).cast("long").alias("below"),
+                        (F.col("bytes") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("wanted"))
+
+
+def narrowed(rows: DataFrame, nodes: DataFrame, dimensions: list[str], bins: int, enough: float) -> DataFrame:
+    """The nodes with the bin that holds their quantile as the new span, or with their cut if it is small."""
+    key = F.get(F.array(*dimensions), F.col("dimension"))
+    width = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("high") - F.col("low")) / bins))
+    found = (rows.select("first", "size", *dimensions).join(nodes.select("first", "dimension", "low", "high"), "first")
+             .withColumn("at", key).where("at >= low and at < high")
+             .groupBy("first", F.floor((F.col("at") - F.col("low")) / width).alias("bin"))
+             .agg(F.sum("size").alias("bytes"), F.min("at").alias("from"), F.max("at").alias("to")))
+    upto = F.sum("bytes").over(Window.partitionBy("first").orderBy("bin"))
+    held = (found.withColumn("upto", upto).join(nodes.select("first", "below", "wanted"), "first")
+            .where("below + upto >= wanted").groupBy("first")
+            .agg(F.min(F.struct("bin", "bytes", "from", "to", "upto")).alias("b")))
+    before = F.col("below") + F.col("b.upto") - F.col("b.bytes")
+    small = (F.col("b.bytes") <= enough) | (F.col("b.from") == F.col("b.to"))
+    nearer = F.when(F.col("wanted") - before <= before + F.col("b.bytes") - F.col("wanted"), F.col("b.from")).otherwise(F.col("b.to") + 1)
+    # no bin reaches it by rounding only: the quantile is the node's end
+    cut = F.when(F.col("b").isNull(), F.col("high")).when(small, nearer)
+    return nodes.join(held, "first", "left").select(
+        "first", "shards", "dimension", F.coalesce("b.from", "low").alias("low"), F.coalesce(F.col("b.to") + 1, "high").alias("high"),
+        F.coalesce(before, "below").alias("below"), "wanted", cut.alias("cut"))
+
+
+def cut_level(rows: DataFrame, dimensions: list[str], whole: dict[str, int], target: float) -> DataFrame:
+    """Every node that stands for several shards cut once; each row names its new node."""
+    live, cuts = stored(widest(rows, dimensions, whole), "nodes"), None
+    while n := live.count():
+        bins = min(max(LEVEL_BINS // n, BINS[0]), BINS[1])
+        found = stored(narrowed(rows, live, dimensions, bins, TOLERANCE * target), "nodes")
+        done = found.where("cut is not null").select("first", "dimension", "cut")
+        cuts = done if cuts is None else cuts.unionByName(done)
+        live = found.where("cut is null").drop("cut")
+    if cuts is None:
+        return rows
+    half = F.floor(F.col("shards") / 2).cast("int")
+    left = F.get(F.array(*dimensions), F.col("dimension")) < F.col("cut")
+    placed = rows.join(cuts, "first", "left").withColumn("half", half)
+    whole_node = F.col("cut").isNull()
+    return stored(placed.select(
+        *[c for c in rows.columns if c not in ("first", "shards")],
+        F.when(whole_node | left, F.col("first")).otherwise(F.col("first") + F.col("half")).alias("first"),
+        F.when(whole_node, F.col("shards")).when(left, F.col("half")).otherwise(F.col("shards") - F.col("half")).alias("shards")),
+        "placed")
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id",
@@ -151,14 +129,16 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     categories = ["lang", "source"] if categories is None else categories
     rows = metadata(docs, key, text, categories)
     dimensions = [c for c in rows.columns if c.startswith("d")]
-    sums = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    ends = [f(d).alias(f"{name}_{d}") for d in dimensions for name, f in (("low", F.min), ("high", F.max))]
+    sums = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *ends).first()
     total = sums["bytes"] or 0
     shards = shards or max(1, -(-total // target_bytes))
-    root = Node(0, shards)
-    while any(n.shards > 1 for n in root.leaves()):
-        split(rows, root, dimensions, max(1.0, total / shards))
+    whole = {d: (sums[f"high_{d}"] or 0) - (sums[f"low_{d}"] or 0) for d in dimensions}
+    rows = rows.withColumns({"first": F.lit(0), "shards": F.lit(shards)})
+    for _ in range((shards - 1).bit_length()):
+        rows = cut_level(rows, dimensions, whole, max(1.0, total / shards))
     n_groups = max(1, -(-sums["n"] // (shards * SLOT_ROWS)))
-    placed = rows.select("key", "size", "text_crc32", root.choose(lambda n: F.lit(n.first)).alias("shard"),
+    placed = rows.select("key", "size", "text_crc32", F.col("first").alias("shard"),
                          F.pmod(F.xxhash64("key", "text_crc32"), F.lit(n_groups)).cast("int").alias("group"))
     counts = placed.groupBy("shard", "group").agg(F.count("*").alias("k"))
     before = F.sum("k").over(Window.partitionBy("shard").orderBy("group")) - F.col("k")

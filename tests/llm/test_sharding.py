@@ -1,8 +1,10 @@
+import itertools
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from labelflow.llm.sharding import kd_shards
+from labelflow.llm.sharding import TIE_BITS, kd_shards, metadata
 
 
 def size_of(text):
@@ -33,6 +35,46 @@ def test_hot_group_of_copies_is_cut(spark):
     assert max(sums) <= 1.05 * sum(sums) / 40
 
 
+def plain_tree(rows, shards, dimensions):
+    """Rows (size, keys by dimension) in shards, by recursion over sorted keys: the bytes of each shard."""
+    whole = [max(r[1][d] for r in rows) - min(r[1][d] for r in rows) for d in range(dimensions)]
+
+    def cut(part, first, n):
+        if n == 1 or not part:
+            return {first: part}
+        spans = [((max(r[1][d] for r in part) >> TIE_BITS) - (min(r[1][d] for r in part) >> TIE_BITS)) / max(1, whole[d] >> TIE_BITS)
+                 for d in range(dimensions)]
+        d = spans.index(max(spans))
+        part = sorted(part, key=lambda r: r[1][d])
+        wanted, upto, at = sum(r[0] for r in part) * (n // 2) / n, 0, 0
+        for _, same in itertools.groupby(part, key=lambda r: r[1][d]):  # rows of one key are not parted
+            same = list(same)
+            size = sum(r[0] for r in same)
+            if upto + size >= wanted:  # the cut goes to the nearer side of the quantile
+                at += len(same) * (wanted - upto > upto + size - wanted)
+                break
+            upto, at = upto + size, at + len(same)
+        return {**cut(part[:at], first, n // 2), **cut(part[at:], first + n // 2, n - n // 2)}
+
+    return {s: sum(r[0] for r in part) for s, part in cut(rows, 0, shards).items()}
+
+
+def test_shards_follow_a_plain_tree(spark, awkward_docs):
+    rows = metadata(awkward_docs, "doc_id", "text", ["lang", "source"]).collect()
+    want = plain_tree([(r["size"], (r.d0, r.d1, r.d2)) for r in rows], 6, 3)
+    got = {r.shard: r.bytes for r in kd_shards(awkward_docs, shards=6).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    assert got == {s: b for s, b in want.items() if b}
+
+
+def test_many_shards(spark):
+    """A thousand shards: the plan and the driver see nothing that grows with them."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 50 + id % 60) as text", "concat('l', id % 3) as lang",
+                                          "if(id % 3 = 0, 'hot', concat('s', id % 40)) as source")
+    rows = kd_shards(docs, shards=1000).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    sums = [r.bytes for r in rows]
+    assert len(rows) == 1000 and max(sums) - min(sums) <= 6 * 126 and sum(r.n for r in rows) == 20_000
+
+
 def test_target_bytes_and_repeat(awkward_docs):
     first = kd_shards(awkward_docs, target_bytes=100_000)
     again = kd_shards(awkward_docs.repartition(3), target_bytes=100_000)
