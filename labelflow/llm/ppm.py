@@ -126,7 +126,7 @@ def sent(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, n_ranges:
     order, cut = borders(keys, kind, n_ranges)
     keys, counts = keys[order], counts[order]
     return [(kind, r, block, keys[lo:hi].tobytes(), counts[lo:hi].astype(np.uint32).tobytes())
-            for r, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+            for r, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if kind == WORDS or hi > lo]
 
 
 def received(replies: pa.Table, kind: int, keys: np.ndarray, n_ranges: int, dtype: type) -> np.ndarray:
@@ -160,6 +160,14 @@ def parts_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
     return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_parts)).astype(np.int64)
 
 
+def by_part(keys: np.ndarray, n_parts: int) -> list[tuple[int, np.ndarray]]:
+    """Each part that has strings, with their places: sorted once, whatever the number of parts."""
+    part = parts_of(keys, n_parts)
+    order = np.argsort(part, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(keys) else np.empty(0, np.int64)
+    return [(int(part[places[0]]), places) for places in np.split(order, heads[1:])] if len(keys) else []
+
+
 class Level:
     """Seen strings of one order: counts by (context, byte), totals by context."""
 
@@ -296,9 +304,8 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
 
     def string_totals(table: pa.Table) -> pa.Table:
         _, keys, counts = range_totals(table)
-        part = parts_of(keys, n_ranges)
         number = table.column("range")[0].as_py()
-        rows = [(int(p), number, keys[part == p].tobytes(), counts[part == p].tobytes()) for p in np.unique(part)]
+        rows = [(p, number, keys[at].tobytes(), counts[at].tobytes()) for p, at in by_part(keys, n_ranges)]
         return by_range(rows, ["part", "range", "keys", "counts"],
                         [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
@@ -313,10 +320,9 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
 
     def string_replies(table: pa.Table, logs: pa.Table) -> pa.Table:
         keys, known, _ = range_totals(table)
-        part = parts_of(known, n_ranges)
-        value = np.zeros(len(known), np.float32)
+        value, places = np.zeros(len(known), np.float32), dict(by_part(known, n_ranges))
         for row in logs.to_pylist():
-            value[part == row["part"]] = np.frombuffer(row["logs"], np.float64)
+            value[places[row["part"]]] = np.frombuffer(row["logs"], np.float64)
         rows = [(STRINGS, r, b, value[np.searchsorted(known, k)].tobytes(), 0, 0) for r, b, k in
                 zip(table.column("range").to_pylist(), table.column("block").to_pylist(), keys, strict=True)]
         return by_range(rows, ["kind", "range", "block", "numbers", "total", "distinct"],
