@@ -14,12 +14,14 @@ a block sends its distinct strings and words with their training counts, in
 sorted arrays by range, and gets back one number for each. Counts are summed
 by range; the trie is then cut by the last two context bytes, below which all
 contexts of order two and more are complete in one part, and the orders one and
-zero come from one table of at most 65,536 byte pairs.
+zero come from one table of at most 65,536 byte pairs. A pair of bytes that
+ends very many contexts is cut by the byte before it as well; the order-two
+counts of such pairs are added up beforehand and given to all their parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ ORDER = 5
 BLOCK_BYTES = 10 << 20
 #: Bytes whose contexts are looked at together.
 SLICE_BYTES = 1 << 19
+#: Occurrences from which a pair of last context bytes is cut by the byte before it.
+HOT_PAIR = 8 << 20
 #: Key of the token that ends every document.
 END = np.zeros(1, np.uint64)
 WORDS, STRINGS = 1, 2
@@ -155,14 +159,17 @@ def word_replies(table: pa.Table) -> pa.Table:
                     [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])
 
 
-def parts_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
-    """The trie's part of each string, by its last two context bytes."""
-    return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_parts)).astype(np.int64)
+def parts_of(keys: np.ndarray, n_parts: int, hot: np.ndarray) -> np.ndarray:
+    """The trie's part of each string, by its last two context bytes, by the last three of a hot pair."""
+    context = keys >> np.uint64(8)
+    pair = context & np.uint64(0xFFFF)
+    cell = np.where(hot[pair.astype(np.int64)], context & np.uint64(0xFFFFFF) | np.uint64(1 << 24), pair)
+    return (mix(cell) % np.uint64(n_parts)).astype(np.int64)
 
 
-def by_part(keys: np.ndarray, n_parts: int) -> list[tuple[int, np.ndarray]]:
+def by_part(keys: np.ndarray, n_parts: int, hot: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Each part that has strings, with their places: sorted once, whatever the number of parts."""
-    part = parts_of(keys, n_parts)
+    part = parts_of(keys, n_parts, hot)
     order = np.argsort(part, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(keys) else np.empty(0, np.int64)
     return [(int(part[places[0]]), places) for places in np.split(order, heads[1:])] if len(keys) else []
@@ -190,18 +197,42 @@ class Level:
         return np.add.reduceat(numbers, self.heads) if len(numbers) else numbers
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+class Shared:
+    """What every part knows: training counts of the byte pairs, which pairs of
+    last context bytes are hot, and the order-two strings behind those."""
+
+    def __init__(self, pairs: np.ndarray, hot: np.ndarray | None = None, triples: np.ndarray | None = None,
+                 counts: np.ndarray | None = None):
+        self.pairs = pairs
+        self.hot = np.zeros(1 << 16, bool) if hot is None else hot
+        self.triples = np.empty(0, np.uint64) if triples is None else triples
+        self.counts = np.empty(0, np.int64) if counts is None else counts
+
+    def order_two(self, keys: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A part's seen order-two strings, whole for its hot pairs too; ``keys`` are all its strings."""
+        own = ~self.hot[(seen >> np.uint64(8)).astype(np.int64)]
+        here = np.zeros(1 << 16, bool)
+        here[((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)] = True
+        whole = here[(self.triples >> np.uint64(8)).astype(np.int64)]
+        return summed(np.concatenate([seen[own], self.triples[whole]]),
+                      np.concatenate([counts[own], self.counts[whole]]))
+
+
+def code_lengths(keys: np.ndarray, counts: np.ndarray, shared: Shared, order: int) -> np.ndarray:
     """log10 probability of each string's last byte after the bytes before it.
 
-    ``keys`` hold all strings of some sets of last two context bytes, ``counts``
-    their training counts (zero: unseen); ``pairs`` is the 256 x 256 table of
-    training counts of byte pairs. A byte seen in a context is seen in every
-    shorter one, so the bytes excluded at an order are those seen one order up."""
+    ``keys`` hold all strings of some sets of last two context bytes, or three
+    where the two are hot, ``counts`` their training counts (zero: unseen). A
+    byte seen in a context is seen in every shorter one, so the bytes excluded
+    at an order are those seen one order up."""
+    pairs = shared.pairs
     levels: dict[int, Level] = {}
     seen_keys, seen_counts = keys[counts > 0], counts[counts > 0]
     for k in range(order, 1, -1):
         mask = np.uint64((1 << (8 * (k + 1))) - 1)
         seen_keys, seen_counts = summed(seen_keys & mask, seen_counts)
+        if k == 2:
+            seen_keys, seen_counts = shared.order_two(keys, seen_keys, seen_counts)
         levels[k] = Level(seen_keys, seen_counts)
     single = pairs.sum(axis=0)
     pair_seen, pair_kinds = pairs.sum(axis=1), (pairs > 0).sum(axis=1)
@@ -250,29 +281,55 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order:
     return logs
 
 
-def byte_pairs(docs: DataFrame) -> np.ndarray:
-    """Training counts of (previous byte, byte); at most 65,536 rows reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            data, offsets = string_buffers(batch.column(0))
-            for lo, hi in slices(offsets, SLICE_BYTES):
-                strings = contexts(lowered(data[offsets[lo]:offsets[hi]]), offsets[lo:hi + 1], 1)
-                counts += np.bincount(strings.astype(np.int64), minlength=1 << 16)
-        pair = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(counts[pair])], names=["pair", "n"])
-
-    rows = (docs.where("not held_out").select("text").mapInArrow(run, "pair int, n bigint")
-            .groupBy("pair").agg(F.sum("n").alias("n")).collect())
-    pairs = np.zeros(1 << 16, np.int64)
-    for row in rows:
-        pairs[row["pair"]] = row["n"]
-    return pairs.reshape(256, 256)
+def byte_counts(docs: DataFrame, hot_pair: int) -> Shared:
+    """Training counts of (previous byte, byte), and of the strings of order two
+    behind pairs of context bytes that occur ``hot_pair`` times or more in all
+    documents. At most 131,072 rows of pairs reach the driver, and of the
+    strings at most 256 for each hot pair, of which there are no more than
+    65,536 nor than the text has ``hot_pair`` bytes."""
+
+    def counted(table: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray], train: bool) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(size, np.int64)
+            for batch in batches:
+                data, offsets = string_buffers(batch.column(0))
+                held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for lo, hi in slices(offsets, SLICE_BYTES):
+                    ends = offsets[lo:hi + 1]
+                    strings = contexts(lowered(data[ends[0]:ends[-1]]), ends, 2)
+                    counts += np.bincount(of(strings, np.repeat(held_out[lo:hi], np.diff(ends) + 1)), minlength=size)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["at", "n"])
+
+        table = table.where("not held_out") if train else table
+        rows = (table.select("text", "held_out").mapInArrow(run, "at bigint, n bigint")
+                .groupBy("at").agg(F.sum("n").alias("n")).toArrow())
+        counts = np.zeros(size, np.int64)
+        counts[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+        return counts
+
+    def all_pairs(strings: np.ndarray, held_out: np.ndarray) -> np.ndarray:
+        return np.concatenate([(strings[~held_out] & np.uint64(0xFFFF)).astype(np.int64),
+                               (strings >> np.uint64(8)).astype(np.int64) + (1 << 16)])
+
+    both = counted(docs, 1 << 17, all_pairs, train=False)
+    pairs, hot = both[:1 << 16].reshape(256, 256), both[1 << 16:] >= hot_pair
+    contexts_of = np.flatnonzero(hot)
+    if not len(contexts_of):
+        return Shared(pairs)
+    number = np.cumsum(hot) - 1
+
+    def hot_triples(strings: np.ndarray, held_out: np.ndarray) -> np.ndarray:
+        pair = (strings >> np.uint64(8)).astype(np.int64)
+        return (number[pair] * 256 + (strings & np.uint64(255)).astype(np.int64))[hot[pair]]
+
+    triples = counted(docs, 256 * len(contexts_of), hot_triples, train=True)
+    at = np.flatnonzero(triples)
+    return Shared(pairs, hot, (contexts_of[at >> 8] * 256 + (at & 255)).astype(np.uint64), triples[at])
 
 
 def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text: str = "text",
-          order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          order: int = ORDER, block_bytes: int = BLOCK_BYTES, hot_pair: int = HOT_PAIR) -> DataFrame:
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score`` for every row.
 
@@ -280,7 +337,8 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     text is empty: one token, its end. Repeated rows train and are scored like
     any others. Without a training document every byte costs log10 256. An
     empty table gives an empty table; other columns are not carried. Words and
-    their counts are kept by 64-bit hash."""
+    their counts are kept by 64-bit hash. ``hot_pair`` changes how the trie is
+    dealt to tasks, never a score."""
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
     ship(docs.sparkSession)
@@ -289,7 +347,7 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     total = docs.agg(F.sum(text_bytes()).alias("b")).first()["b"]
     n_blocks = blocks_for(total, block_bytes)
     n_ranges = n_blocks
-    pairs = byte_pairs(docs)
+    shared = byte_counts(docs, hot_pair)
     blocks = docs.withColumn("block", block_of(F.xxhash64(F.col("key").cast("string"), "text"), n_blocks))
 
     def send(kind: int):
@@ -305,14 +363,14 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     def string_totals(table: pa.Table) -> pa.Table:
         _, keys, counts = range_totals(table)
         number = table.column("range")[0].as_py()
-        rows = [(p, number, keys[at].tobytes(), counts[at].tobytes()) for p, at in by_part(keys, n_ranges)]
+        rows = [(p, number, keys[at].tobytes(), counts[at].tobytes()) for p, at in by_part(keys, n_ranges, shared.hot)]
         return by_range(rows, ["part", "range", "keys", "counts"],
                         [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def trie(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        logs = code_lengths(np.concatenate(keys), counts, pairs, order)
+        logs = code_lengths(np.concatenate(keys), counts, shared, order)
         each = np.split(logs, np.cumsum([len(k) for k in keys])[:-1])
         rows = [(p, r, x.tobytes()) for p, r, x in zip(table.column("part").to_pylist(),
                                                      table.column("range").to_pylist(), each, strict=True)]
@@ -320,7 +378,7 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
 
     def string_replies(table: pa.Table, logs: pa.Table) -> pa.Table:
         keys, known, _ = range_totals(table)
-        value, places = np.zeros(len(known), np.float32), dict(by_part(known, n_ranges))
+        value, places = np.zeros(len(known)), dict(by_part(known, n_ranges, shared.hot))
         for row in logs.to_pylist():
             value[places[row["part"]]] = np.frombuffer(row["logs"], np.float64)
         rows = [(STRINGS, r, b, value[np.searchsorted(known, k)].tobytes(), 0, 0) for r, b, k in
@@ -333,7 +391,7 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
         n = table.num_rows
         words, strings = block.distinct_words()[0], block.distinct_strings()[0]
         counts = received(replies, WORDS, words, n_ranges, np.int64)
-        logs = received(replies, STRINGS, strings, n_ranges, np.float32)
+        logs = received(replies, STRINGS, strings, n_ranges, np.float64)
         train_tokens = sum(replies.column("total").to_pylist())
         vocabulary = sum(replies.column("distinct").to_pylist())
         end_count = int(counts[np.searchsorted(words, END)[0]])
@@ -347,7 +405,7 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
             n_known[lo:hi] += np.bincount(doc, of_word > 0, hi - lo).astype(np.int64)
             base[lo:hi] += np.bincount(doc, np.log10(of_word + 1.0), hi - lo)
             own, inverse = np.unique(contexts(data, offsets, order), return_inverse=True)
-            each = logs[np.searchsorted(strings, own)].astype(np.float64)[inverse]
+            each = logs[np.searchsorted(strings, own)][inverse]
             scores[lo:hi] = np.add.reduceat(each, offsets[:-1] + np.arange(hi - lo))
         base -= n_tokens * np.log10(train_tokens + vocabulary + 1.0)
         return pa.table([table.column("key"), table.column("held_out"), pa.array(n_tokens, pa.int64()),
