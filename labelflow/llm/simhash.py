@@ -3,7 +3,8 @@
 Distinct fingerprints are dealt to blocks by the leading bits of their Gray
 rank, so a block is a run of the Gray order. A fingerprint also visits the
 blocks whose leading bits differ from its own in at most ``max_bits`` places;
-no other block can hold a partner. Within a block the members are sorted by
+no other block can hold a partner. A block with many members or visitors is cut
+into cells, each a slice of both, so no task holds a block whole. Within a cell the members are sorted by
 Gray rank, and every run of eight nodes is factored: bits on which all members
 agree move into the node above as a masked pattern. A search walks the levels,
 adds up the differences on each node's own masked bits, and drops a whole
@@ -20,7 +21,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table, ship, stored
@@ -30,8 +31,10 @@ BITS = 64
 FAN_OUT = 8
 #: Members of a block on average; the number of leading bits follows from it.
 BLOCK_MEMBERS = 1024
-#: A block with more members is searched by several tasks, each with a share of its queries.
+#: A block with more members, or with more visitors, is searched in cells: each holds a slice of both.
 SLICE_MEMBERS = 8192
+#: Visitors of a cell for each of its members; they are walked through the tree in chunks.
+VISITORS_PER_MEMBER = 4
 #: Queries walked through the tree at once.
 QUERY_CHUNK = 1024
 
@@ -166,16 +169,28 @@ def links(classes: DataFrame, max_bits: int, block_members: int = BLOCK_MEMBERS,
     masks = [sum(1 << i for i in flips) for k in range(max_bits + 1) for flips in combinations(range(prefix_bits), k)]
     prefix = F.shiftrightunsigned("fp", BITS - prefix_bits)
     placed = classes.select("fp", prefix.alias("block"))
-    sizes = placed.groupBy("block").agg(F.count("*").alias("members")).select(
-        "block", F.ceil(F.col("members") / slice_members).cast("int").alias("slices"))
+    sizes = stored(placed.groupBy("block").agg(F.count("*").alias("members")), "block-sizes")
     # each pair of blocks meets once: the fingerprint of the lower block visits the higher one
     visits = F.filter(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]),
                                   lambda m: F.col("block").bitwiseXOR(m)), lambda b: b >= F.col("block"))
-    queries = (placed.select("fp", F.explode(visits).alias("block")).join(sizes, "block")
-               .select("block", F.pmod(F.xxhash64("fp"), "slices").cast("int").alias("slice"), "fp",
-                       F.lit(False).alias("member")))
-    members = placed.join(sizes, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "fp", F.lit(True).alias("member"))
+    visitors = (sizes.select(F.explode(visits).alias("block"), "members")
+                .groupBy("block").agg(F.sum("members").alias("visitors")))
+    cells = sizes.join(visitors, "block").select(
+        "block", F.ceil(F.col("members") / slice_members).cast("int").alias("member_slices"),
+        F.ceil(F.col("visitors") / (slice_members * VISITORS_PER_MEMBER)).cast("int").alias("query_slices"))
+
+    def one_of(slices: str) -> Column:
+        return F.pmod(F.xxhash64("fp"), slices).cast("int")
+
+    def all_of(slices: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(slices) - 1))
+
+    queries = (placed.select("fp", F.explode(visits).alias("block")).join(cells, "block")
+               .select("block", one_of("query_slices").alias("query_slice"),
+                       all_of("member_slices").alias("member_slice"), "fp", F.lit(False).alias("member")))
+    members = placed.join(cells, "block").select(
+        "block", all_of("query_slices").alias("query_slice"), one_of("member_slices").alias("member_slice"), "fp",
+        F.lit(True).alias("member"))
 
     def run(table: pa.Table) -> pa.Table:
         values = table.column("fp").to_numpy().view(np.uint64)
@@ -183,7 +198,7 @@ def links(classes: DataFrame, max_bits: int, block_members: int = BLOCK_MEMBERS,
         a, b = block_links(values[is_member], values[~is_member], max_bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return queries.unionByName(members).groupBy("block", "slice").applyInArrow(run, "a bigint, b bigint")
+    return queries.unionByName(members).groupBy("block", "query_slice", "member_slice").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int, max_bits: int, key: str = "doc_id", text: str = "text",

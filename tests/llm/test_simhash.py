@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from labelflow.llm import simhash
 from labelflow.llm.components import components
 from labelflow.llm.simhash import GrayIndex, block_links, gray_rank, links, near_duplicates, op7_query
 
@@ -88,6 +89,29 @@ def test_links_of_all_blocks(spark, block, slice_members):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+@pytest.mark.parametrize("slice_members", [16, 8192])
+def test_a_hot_block_is_cut_into_cells(spark, slice_members, monkeypatch):
+    """All fingerprints share their leading bits, and no call gets more than a slice of members and visitors."""
+    values = sorted({v >> 24 for v in clustered(4, 600)})
+    signed = [int(np.uint64(v).view(np.int64)) for v in values]
+    whole = simhash.block_links
+
+    def bounded(members, queries, max_bits):
+        if len(members) > 3 * slice_members or len(queries) > 3 * simhash.VISITORS_PER_MEMBER * slice_members:
+            raise AssertionError(f"{len(members)} members, {len(queries)} visitors in one call")
+        return whole(members, queries, max_bits)
+
+    monkeypatch.setattr(simhash, "block_links", bounded)
+    found = links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, 64, slice_members).collect()
+    root = {r.node: r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    want = brute_roots(values, 2)
+    theirs, mine = {}, {}
+    for i, v in enumerate(signed):
+        theirs.setdefault(want[i], set()).add(v)
+        mine.setdefault(root.get(v, v), set()).add(v)
+    assert sorted(map(sorted, theirs.values())) == sorted(map(sorted, mine.values()))
+
+
 def test_long_chain_and_star(spark):
     pairs = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
