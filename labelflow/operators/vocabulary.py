@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_FEATURES
 from ..session import ship_package, store
-from .features import idf_table, term_counts
+from .features import idf_table, term_counts, term_totals
 from .ids import dense_ids
 
 #: Distinct terms that a task counts before it hands them on as a summary of their own.
@@ -109,8 +109,7 @@ def fit_vocabulary(df: DataFrame, max_features: int = MAX_FEATURES, id_col: str
     The terms are ranked and numbered by range sorts; the ``max_features`` most
     frequent stay (ties: term order)."""
     n_docs = df.count()
-    totals = term_counts(df, id_col, text_col).groupBy("term").agg(
-        F.sum("tf").cast("long").alias("tf_total"), F.count(F.lit(1)).alias("df"))
+    totals = store(term_totals(df, text_col), "term-totals")
     ranked = dense_ids(totals, [F.desc("tf_total"), F.asc("term")], out="rank").where(F.col("rank") < max_features)
     kept = store(idf_table(ranked.select("term", "df"), n_docs), "kept-terms")
     terms = store(dense_ids(kept, [F.asc("term")]), "vocabulary")
@@ -121,12 +120,14 @@ def _looked_up(df: DataFrame, vocabulary: VocabularyTable, id_col: str, text_col
     """``(id, term, i, w)``: each text's known terms with number and raw weight.
 
     Terms are looked up by a join under ``SALTS`` keys, so a term of every text
-    is no task's alone."""
+    is no task's alone. The join is asked for by name: the size that Spark goes by
+    is the stored table's, packed and without its copies, and a broadcast of them
+    all would pass through the driver's memory."""
     salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt")
     counts = term_counts(df, id_col, text_col).select(id_col, "term", "tf", salt)
     terms = vocabulary.terms.select("term", F.col("id").cast("int").alias("i"), "idf",
                                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return counts.join(terms, ["term", "salt"]).select(id_col, "term", "i", (F.col("tf") * F.col("idf")).alias("w"))
+    return counts.join(terms.hint("merge"), ["term", "salt"]).select(id_col, "term", "i", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def _normalised(entries: str) -> Column:

@@ -100,3 +100,36 @@ def test_encode_rejects_repeated_ids(spark):
     df = spark.createDataFrame([(1, "two words"), (1, "and two")], "row_id long, text string")
     with pytest.raises(ValueError, match="duplicate ids"):
         features.encode(df, features.word_vocabulary(df), 4)
+
+
+def test_local_counts_sum_to_the_term_counts(spark, monkeypatch):
+    texts = [*CORPUS, None, "", "one", "aa aa aa aa", "aa", *[f"w{i % 7} w{i % 3} w{i}" for i in range(40)]]
+    df = _df(spark, texts).coalesce(1)
+    want = collections.defaultdict(lambda: [0, 0])
+    for text in texts:
+        for term, n in collections.Counter(brute_terms(text or "")).items():
+            want[term][0] += n
+            want[term][1] += 1
+    for words, rows, terms in ((features.COUNT_WORDS, features.COUNT_ROWS, features.COUNT_TERMS), (5, 3, 4), (1, 1, 1)):
+        monkeypatch.setattr(features, "COUNT_WORDS", words)
+        monkeypatch.setattr(features, "COUNT_ROWS", rows)
+        monkeypatch.setattr(features, "COUNT_TERMS", terms)
+        got = {r.term: [r.tf_total, r.df] for r in features.term_totals(df).collect()}
+        assert got == dict(want)
+    assert features.term_totals(df.limit(0)).collect() == []
+
+
+def test_a_large_vocabulary_is_never_broadcast(spark):
+    from labelflow.operators import vocabulary
+
+    df = _df(spark, CORPUS)
+    weights = vocabulary.tfidf_weights(df, vocabulary.fit_vocabulary(df, 1000))
+    _, want = brute_tfidf(CORPUS, CORPUS, 1000)
+    got = collections.defaultdict(dict)
+    for r in weights.collect():
+        got[r.row_id][r.term] = r.weight
+    assert {i: set(x) for i, x in got.items()} == {i: set(x) for i, x in enumerate(want) if x}
+    assert all(math.isclose(w, want[i][t], rel_tol=1e-12) for i, x in got.items() for t, w in x.items())
+    # the offsets of the sorted partitions are one row each; the terms themselves pass no driver
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [term" not in plan and "SortMergeJoin [term" in plan
