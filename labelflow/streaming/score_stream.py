@@ -19,6 +19,13 @@ from ..constants import LABELS
 from ..operators.scoring import score_texts
 
 
+def table_source(path: str) -> str:
+    """A table's path, one file or a folder of part files, as the source of a stream:
+    a pattern that matches this path only, as Spark takes a plain path for a folder."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def score_stream(
     spark: SparkSession,
     model: PipelineModel,
@@ -32,7 +39,8 @@ def score_stream(
     path_glob: str | None = None,
 ) -> DataFrame:
     """Score every file under the folder ``source`` (optionally only names
-    matching ``path_glob``) into ``sink``; return the sink table."""
+    matching ``path_glob``; for one table of a folder see ``table_source``) into
+    ``sink``; return the sink table."""
     reader = spark.readStream.schema(schema)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)

@@ -116,3 +116,22 @@ def test_run_returns_four_results(spark, fitted, tmp_dir):
     write_results(results, tmp_dir)
     sizes = {name: spark.read.parquet(f"{tmp_dir}/{name}").count() for name in results}
     assert sizes == {"metrics": 1, "report": 6, "confusion": 9, "predictions": test.count()}
+
+
+def test_score_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_dir):
+    import glob
+    import os
+
+    from labelflow.plans.experiments import score_stream_query
+
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i % 5}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    for kind in ("folder", "file"):
+        d = f"{tmp_dir}/{kind}"
+        labels.write.parquet(f"{d}/labels.parquet")
+        if kind == "folder":
+            docs.repartition(3).write.parquet(f"{d}/documents.parquet")
+        else:
+            docs.coalesce(1).write.parquet(f"{d}-parts")
+            os.link(glob.glob(f"{d}-parts/part-*")[0], f"{d}/documents.parquet")
+        assert [tuple(r) for r in score_stream_query(spark, d).collect()] == [(60, 0)]
