@@ -80,8 +80,8 @@ def run_rounds(train: DataFrame, val: DataFrame, settings: Sequence[stacked.Sett
     places, so equal rounds are equal."""
     spark = train.sparkSession
     fit = tfidf or fit_tfidf(labelled_rows(train))
-    blocks = stacked.feature_blocks(training_features(train, fit), len(fit.vocabulary), len(labels))
-    held_out = stacked.feature_blocks(training_features(val, fit), len(fit.vocabulary), len(labels))
+    blocks = stacked.feature_blocks(training_features(train, fit, rows_per_partition=stacked.PASS_ROWS), len(fit.vocabulary), len(labels))
+    held_out = stacked.feature_blocks(training_features(val, fit, rows_per_partition=stacked.PASS_ROWS), len(fit.vocabulary), len(labels))
     if not held_out.n_rows:
         raise ValueError("no labelled rows to evaluate on")
     training = stacked.StackedFit(blocks, settings)

@@ -135,3 +135,27 @@ def test_score_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_dir):
             docs.coalesce(1).write.parquet(f"{d}-parts")
             os.link(glob.glob(f"{d}-parts/part-*")[0], f"{d}/documents.parquet")
         assert [tuple(r) for r in score_stream_query(spark, d).collect()] == [(60, 0)]
+
+
+def test_training_features_are_made_of_the_text_once(spark):
+    from labelflow.operators.features import fit_tfidf
+    from labelflow.operators.model import training_features
+
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {i % 5}", i % 2 if i % 7 else None) for i in range(40)]
+    train = spark.createDataFrame(rows, "row_id long, text string, label_id int")
+    feats = training_features(train, fit_tfidf(train), rows_per_partition=10)
+    # a fit reads its rows several times: what it reads holds features, not the steps from the text
+    assert "regexp_extract_all" not in feats._jdf.queryExecution().toString()
+    assert sorted(r["_y"] for r in feats.collect()) == sorted(float(r[2]) for r in rows if r[2] is not None)
+    assert feats.rdd.getNumPartitions() <= 4
+
+
+def test_a_stream_of_one_file_is_spread_over_tasks(spark, fitted, tmp_dir):
+    from labelflow.streaming import count_stream
+
+    model, _, test = fitted
+    rows = test.select("row_id", "text", "label")
+    rows.coalesce(1).write.parquet(f"{tmp_dir}/src")
+    found = [sorted(tuple(r) for r in count_stream(spark, model, f"{tmp_dir}/src", rows.schema, f"{tmp_dir}/sink{n}", f"{tmp_dir}/ckpt{n}",
+                                                   max_files_per_trigger=1, spread_over=n).collect()) for n in (None, 3)]
+    assert found[0] == found[1] and sum(r[2] for r in found[0]) == test.count()
