@@ -15,7 +15,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..constants import LABELS
 from ..operators.scoring import score_texts
 
 
@@ -33,14 +32,15 @@ def score_stream(
     schema: StructType,
     sink: str,
     checkpoint: str,
-    labels: Sequence[str] = LABELS,
+    labels: Sequence[str] | None = None,
     text_col: str = "text",
     max_files_per_trigger: int | None = None,
     path_glob: str | None = None,
 ) -> DataFrame:
     """Score every file under the folder ``source`` (optionally only names
     matching ``path_glob``; for one table of a folder see ``table_source``) into
-    ``sink``; return the sink table."""
+    ``sink``; return the sink table. The class names are the fitted model's unless
+    given, as in ``score_texts``."""
     reader = spark.readStream.schema(schema)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)

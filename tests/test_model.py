@@ -159,3 +159,24 @@ def test_a_stream_of_one_file_is_spread_over_tasks(spark, fitted, tmp_dir):
     found = [sorted(tuple(r) for r in count_stream(spark, model, f"{tmp_dir}/src", rows.schema, f"{tmp_dir}/sink{n}", f"{tmp_dir}/ckpt{n}",
                                                    max_files_per_trigger=1, spread_over=n).collect()) for n in (None, 3)]
     assert found[0] == found[1] and sum(r[2] for r in found[0]) == test.count()
+
+
+def test_a_model_without_the_last_class_scores_and_counts_a_stream(spark, tmp_dir):
+    from labelflow.plans.experiments import score_stream_query
+    from labelflow.streaming import count_stream
+
+    # no row is positive, so the fitted model has probabilities for two classes only
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i % 5}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(0).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    docs.write.parquet(f"{tmp_dir}/sf/documents.parquet")
+    labels.write.parquet(f"{tmp_dir}/sf/labels.parquet")
+    s = split_table(spark, f"{tmp_dir}/sf")
+    assert {r.label for r in s.select("label").distinct().collect()} == {"negative", "neutral"}
+    assert [tuple(r) for r in score_stream_query(spark, f"{tmp_dir}/sf").collect()] == [(60, 0)]
+
+    model = fit_classifier(s.where("split = 'train'"))
+    rows = s.select("row_id", "text", "label")
+    rows.write.parquet(f"{tmp_dir}/src")
+    counted = count_stream(spark, model, f"{tmp_dir}/src", rows.schema, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
+    batch = predict(model, rows).groupBy("label", "predicted_label").count()
+    assert sorted(tuple(r) for r in counted.collect()) == sorted(tuple(r) for r in batch.collect())
