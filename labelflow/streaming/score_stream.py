@@ -18,11 +18,18 @@ from pyspark.sql.types import StructType
 from ..operators.scoring import score_texts
 
 
-def table_source(path: str) -> str:
-    """A table's path, one file or a folder of part files, as the source of a stream:
-    a pattern that matches this path only, as Spark takes a plain path for a folder."""
-    path = path.rstrip("/")
-    return f"{path[:-1]}[{path[-1]}]"
+def table_source(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """``(source, path_glob)`` of a stream that reads the table at ``path`` and nothing else.
+
+    A folder of part files is a source as it stands, partitioned by columns or
+    not. One file is the only name taken from its folder. Neither is made a
+    pattern: Spark reads no partition columns below a pattern, and Hadoop
+    matches none whose path holds a colon."""
+    sc = spark.sparkContext
+    file = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(sc._jsc.hadoopConfiguration()).isFile(file):
+        return path, None
+    return file.getParent().toString(), file.getName()
 
 
 def score_stream(

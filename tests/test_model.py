@@ -180,3 +180,36 @@ def test_a_model_without_the_last_class_scores_and_counts_a_stream(spark, tmp_di
     counted = count_stream(spark, model, f"{tmp_dir}/src", rows.schema, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt")
     batch = predict(model, rows).groupBy("label", "predicted_label").count()
     assert sorted(tuple(r) for r in counted.collect()) == sorted(tuple(r) for r in batch.collect())
+
+
+@pytest.mark.parametrize("layout", ["folder", "file", "partitioned"])
+def test_score_stream_reads_what_the_batch_reads(spark, tmp_dir, layout):
+    import glob
+    import os
+
+    from labelflow.plans.experiments import score_stream_query
+
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i % 5}", "en" if i % 4 else "de") for i in range(60)],
+                                 "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    d = f"{tmp_dir}/sf" if layout == "partitioned" else f"{tmp_dir}/2026-01-01T00:00/sf=1"  # no pattern takes a colon in a path
+    labels.write.parquet(f"{d}/labels.parquet")
+    if layout == "partitioned":
+        docs.write.partitionBy("lang").parquet(f"{d}/documents.parquet")
+    elif layout == "folder":
+        docs.repartition(3).write.parquet(f"{d}/documents.parquet")
+    else:
+        docs.coalesce(1).write.parquet(f"{d}/parts")
+        os.link(glob.glob(f"{d}/parts/part-*")[0], f"{d}/documents.parquet")
+    assert [tuple(r) for r in score_stream_query(spark, d).collect()] == [(60, 0)]
+
+
+def test_a_stream_of_a_partitioned_table_keeps_its_columns(spark, fitted, tmp_dir):
+    from labelflow.streaming import table_source
+
+    model, _, _ = fitted
+    rows = [(i, "Sehr gut" if i % 2 else None, "en" if i % 3 else "de") for i in range(12)]
+    spark.createDataFrame(rows, "row_id long, text string, lang string").write.partitionBy("lang").parquet(f"{tmp_dir}/docs")
+    source, path_glob = table_source(spark, f"{tmp_dir}/docs")
+    out = score_stream(spark, model, source, spark.read.parquet(f"{tmp_dir}/docs").schema, f"{tmp_dir}/sink", f"{tmp_dir}/ckpt", path_glob=path_glob)
+    assert sorted((tuple(r) for r in out.select("row_id", "text", "lang").collect()), key=lambda r: r[0]) == rows
